@@ -12,6 +12,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op3_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from wordloom.llm.minhash_join import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents"), percent=85)
+
+
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from wordloom.llm.line_dedup import drop_shared_lines
 
@@ -42,6 +48,7 @@ FROM marked GROUP BY doc_id
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op3_minhash_near_dedup": op3_minhash_near_dedup,
         "op4_line_dedup": op4_line_dedup,
     }
 
