@@ -105,7 +105,7 @@ def _fill(bits: int, min_chars: int):
 
     def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         once, twice = Bloom(bits), Bloom(bits)
-        for table in batches(frames):
+        for table in batches(frames, size=4 << 20):
             lines = Lines(table["text"], min_chars)
             found = _hashes(lines.keys(lines.long))
             pairs = np.unique(np.stack([found, lines.text_of(lines.long).astype(np.uint64)]), axis=1)[0] if len(found) else found
@@ -143,7 +143,7 @@ def _merge(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _suspects(shared, bits: int, min_chars: int):
     def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         twice = Bloom(bits, zstandard.ZstdDecompressor().decompress(shared.value))
-        for table in batches(frames):
+        for table in batches(frames, size=4 << 20):
             lines = Lines(table["text"], min_chars)
             keys = lines.keys(lines.long)
             hit = np.flatnonzero(twice.has(_hashes(keys))) if keys else np.zeros(0, np.int64)
@@ -156,7 +156,7 @@ def _suspects(shared, bits: int, min_chars: int):
 
 def _clean(min_chars: int):
     def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in batches(frames):
+        for table in batches(frames, size=4 << 20):
             lines = Lines(table["text"], min_chars)
             drops = table["drops"].combine_chunks().to_pylist()
             hit = np.array([i for i, d in enumerate(drops) if d], np.int64)
