@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -12,6 +12,28 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def fold(k: int) -> Column:
+    """The remainder by which rows are held out."""
+    return F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(k))
+
+
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from wordloom.llm.toxicity import score_toxicity
+
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    out = score_toxicity(docs, docs.where(fold(3) != 1), labels.where(fold(3) != 1))
+    held_out = F.coalesce(fold(3) == 1, F.lit(False)).alias("held_out")
+    return out.select("doc_id", held_out, "score", (F.col("score") >= 0.7).cast("int").alias("predicted"), "spans")
+
+
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from wordloom.llm.langid import identify
+
+    docs = table(spark, sf_dir, "documents")
+    out = identify(docs, docs.where(fold(4) != 2))
+    return out.select("doc_id", F.coalesce(fold(4) == 2, F.lit(False)).alias("held_out"), "lang_pred", "score")
+
+
 def op3_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from wordloom.llm.minhash_join import near_duplicates
 
@@ -48,6 +70,8 @@ FROM marked GROUP BY doc_id
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_toxicity": op1_toxicity,
+        "op8_language_id": op8_language_id,
         "op3_minhash_near_dedup": op3_minhash_near_dedup,
         "op4_line_dedup": op4_line_dedup,
     }
