@@ -34,6 +34,13 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.coalesce(fold(4) == 2, F.lit(False)).alias("held_out"), "lang_pred", "score")
 
 
+def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from wordloom.llm.line_rules import clean_lines
+
+    out = clean_lines(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "words_left")
+
+
 def op3_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from wordloom.llm.minhash_join import near_duplicates
 
@@ -71,6 +78,7 @@ FROM marked GROUP BY doc_id
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_toxicity": op1_toxicity,
+        "op2_quality_rules": op2_quality_rules,
         "op8_language_id": op8_language_id,
         "op3_minhash_near_dedup": op3_minhash_near_dedup,
         "op4_line_dedup": op4_line_dedup,
