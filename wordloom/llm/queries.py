@@ -75,6 +75,21 @@ FROM marked GROUP BY doc_id
 """
 
 
+def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from wordloom.llm.packing import pack_documents
+
+    return pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=1, capacity=4096)
+
+
+def op6_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from wordloom.llm.mixing import mix_sources
+
+    out = mix_sources(table(spark, sf_dir, "documents"), share=1.5, cap=2.0, weights=(5, 2, 1))
+    return out.select("doc_id", "size", "source_size", "target", "taken")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_toxicity": op1_toxicity,
@@ -82,6 +97,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_language_id": op8_language_id,
         "op3_minhash_near_dedup": op3_minhash_near_dedup,
         "op4_line_dedup": op4_line_dedup,
+        "op5_best_fit_packing": op5_best_fit_packing,
+        "op6_mix_sources": op6_mix_sources,
     }
 
 
