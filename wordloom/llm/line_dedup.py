@@ -26,11 +26,10 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from wordloom.llm.bloom import PIECE_BITS, Bloom
 from wordloom.llm.shared import materialize
 from wordloom.llm.textcols import batches, is_space, lower_ascii, text_bytes
 
-PIECE_BITS = 1 << 19
-
 
 class Lines:
     """The lines of a batch of texts and the keys of the long ones.
@@ -78,28 +77,6 @@ def _hashes(keys: list[bytes]) -> np.ndarray:
     return np.fromiter(map(xxhash.xxh3_64_intdigest, keys), np.uint64, len(keys))
 
 
-def _places(hashes: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
-    return hashes & np.uint64(bits - 1), (hashes >> np.uint64(32)) & np.uint64(bits - 1)
-
-
-class Bloom:
-    """A Bloom filter of two hash functions over a bit array."""
-
-    def __init__(self, bits: int, packed: bytes | None = None):
-        self.bits = bits
-        self.array = np.zeros(bits >> 3, np.uint8) if packed is None else np.frombuffer(packed, np.uint8)
-
-    def add(self, hashes: np.ndarray) -> None:
-        for p in _places(hashes, self.bits):
-            np.bitwise_or.at(self.array, p >> np.uint64(3), (np.uint8(1) << (p & np.uint64(7)).astype(np.uint8)))
-
-    def has(self, hashes: np.ndarray) -> np.ndarray:
-        found = np.ones(len(hashes), bool)
-        for p in _places(hashes, self.bits):
-            found &= (self.array[p >> np.uint64(3)] >> (p & np.uint64(7)).astype(np.uint8)) & 1 == 1
-        return found
-
-
 def _fill(bits: int, min_chars: int):
     """Each task's filters, in compressed pieces."""
 

@@ -33,6 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from wordloom.llm.bloom import id_filter, may_hold
 from wordloom.llm.components import components
 from wordloom.llm.shared import materialize
 from wordloom.llm.textcols import batches, hash_binary, mix, words_of
@@ -98,11 +99,19 @@ def _sign(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([table["doc_id"].combine_chunks(), pa.array([len(s) for s in sets], pa.int64()), pa.array(ids, pa.binary()), flat], ["doc_id", "n_shingles", "set_id", "sig"])
 
 
-def _sets(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for table in batches(frames, size=6 << 20):
-        sets = shingle_sets(table["text"])
-        ids = [xxhash.xxh3_128_digest(s.tobytes()) for s in sets]
-        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())], ["set_id", "members"])
+def _sets(wanted):
+    """The full sets of the documents that a filter of ids lets through."""
+
+    def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in batches(frames, size=12 << 20):
+            ids = table["node"].combine_chunks().fill_null(0).to_numpy(zero_copy_only=False)
+            texts = table["text"].combine_chunks().filter(pa.array(may_hold(wanted.value, ids), pa.bool_()))
+            for k in range(0, len(texts), 1024):
+                sets = shingle_sets(texts.slice(k, 1024))
+                names = [xxhash.xxh3_128_digest(s.tobytes()) for s in sets]
+                yield pa.RecordBatch.from_arrays([pa.array(names, pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())], ["set_id", "members"])
+
+    return run
 
 
 def _confirm(percent: int):
@@ -225,10 +234,11 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     pivots = prefix.groupBy("token").agg(F.max_by("node", F.struct("weight", -F.col("node"))).alias("pivot"), F.count(F.lit(1)).alias("df")).where("df > 1")
     stars = materialize(prefix.join(pivots, "token").where("node <> pivot").select("pivot", "node").distinct(), "stars")
 
-    involved = stars.select("node").union(stars.select("pivot")).distinct()
+    # Texts are not shuffled: a filter of bounded size picks those to read again.
+    involved = materialize(stars.select("node").union(stars.select("pivot")).distinct(), "involved")
     rows = classes.join(involved, "node", "left_semi")
-    read = docs.select(F.col("doc_id").cast("long").alias("node"), "text").join(involved, "node", "left_semi").select("text")
-    members = read.mapInArrow(_sets, "set_id binary, members binary").dropDuplicates(["set_id"])
+    read = docs.select(F.col("doc_id").cast("long").alias("node"), "text").mapInArrow(_sets(id_filter(involved)), "set_id binary, members binary")
+    members = read.join(rows.select("set_id"), "set_id", "left_semi").groupBy("set_id").agg(F.first("members").alias("members"))
     full = materialize(rows.join(members, "set_id").select("node", "n_shingles", "sig", "members"), "sets")
 
     left = full.select(F.col("node").alias("pivot"), F.col("sig").alias("sig_a"))
