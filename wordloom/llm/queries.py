@@ -90,6 +90,13 @@ def op6_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op7_run_index_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from wordloom.llm.run_index import remove_repeats
+
+    out = remove_repeats(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_bytes", "n_removed", F.size("removed").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op9_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     from wordloom.llm.ann import nearest
 
@@ -121,6 +128,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_line_dedup": op4_line_dedup,
         "op5_best_fit_packing": op5_best_fit_packing,
         "op6_mix_sources": op6_mix_sources,
+        "op7_run_index_dedup": op7_run_index_dedup,
         "op9_nearest_neighbours": op9_nearest_neighbours,
     }
 
