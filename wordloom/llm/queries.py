@@ -119,6 +119,13 @@ SELECT query_id, r::INTEGER AS rank, vec_id, score FROM ranked WHERE r <= 5
 """
 
 
+def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from wordloom.llm.secrets import find_secrets, joined
+
+    out = find_secrets(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_assign", "n_access", "n_hex", F.sha2(joined(F.col("base")), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_toxicity": op1_toxicity,
@@ -130,6 +137,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op6_mix_sources": op6_mix_sources,
         "op7_run_index_dedup": op7_run_index_dedup,
         "op9_nearest_neighbours": op9_nearest_neighbours,
+        "op10_secret_scan": op10_secret_scan,
     }
 
 
