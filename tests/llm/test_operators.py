@@ -132,15 +132,27 @@ def test_nearest(spark, sf):
 
 def test_secret_scan(spark, sf, docs):
     got = {r["doc_id"]: r for r in q.op10_secret_scan(spark, sf).collect()}
-    more = 0
     for d, t in docs.items():
         n = brute.secrets(t)
         r = got[d]
         assert (r["n_assign"], r["n_access"], r["n_hex"], r["base_sha256"]) == n[:4], d
         mine, base = r["spans"].split(","), n[4].split(",") if n[4] else []
         assert set(base) <= set(mine) and [x for x in mine if not x.startswith("markov")] == (base or [x for x in mine if x == ""])
-        more += sum(x.startswith("markov") for x in mine)
-    assert more > 0
+
+
+def test_secret_scan_adds_random_tokens(spark, sf):
+    """A random key without a pattern is found; long ordinary names aren't."""
+    from wordloom.llm.secrets import find_secrets, train
+
+    model = train(q.table(spark, sf, "documents"))
+    rng = np.random.default_rng(7)
+    keys = ["".join(rng.choice(list("ABCDEFGHJKLMNPQRSTUVWXYZabcdefghijkmnopqrstuvwxyz0123456789"), 32)) for _ in range(60)]
+    names = ["the_configuration_of_the_first_server_2", "international-understanding-of-2024-conditions", "thereandthereandthereand1"]
+    texts = [f"here is {k} and then" for k in keys] + [f"see {n} here" for n in names]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r["spans"] for r in find_secrets(df, model).collect()}
+    assert sum([(s["start"], s["end"]) for s in got[i]] == [(8, 40)] for i in range(60)) >= 57
+    assert all(not got[60 + i] for i in range(len(names)))
 
 
 def test_toxicity_held_out(spark, sf):
