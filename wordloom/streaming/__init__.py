@@ -1,0 +1 @@
+"""Empty on purpose: the engine this one replaces has no stream operators."""
