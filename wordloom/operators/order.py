@@ -19,7 +19,8 @@ def numbered(df: DataFrame, order: list[Column], name: str = "pos") -> DataFrame
 
     Rows are sorted over range partitions; a partition's first place is the
     number of rows in those before it, of which there is one count each."""
-    ranged = df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id())
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # named, so that no read joins partitions
+    ranged = df.repartitionByRange(parts, *order).withColumn("_part", F.spark_partition_id())
     inside = Window.partitionBy("_part").orderBy(*order)
     ranged = ranged.withColumn("_n", F.row_number().over(inside) - 1)
     counts = ranged.groupBy("_part").agg(F.count(F.lit(1)).alias("_size"))
