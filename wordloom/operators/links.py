@@ -54,4 +54,4 @@ def follow(ids: DataFrame, path: list[Hop]) -> DataFrame:
 def expand_forms(ids: DataFrame, forms: DataFrame, condition: Column, links: str) -> DataFrame:
     """Adds what inflected forms link to: rows of ``forms`` that meet the
     condition, their arrays of ids opened."""
-    return ids.select("id").unionByName(forms.where(condition).select(F.explode(links).cast("long").alias("id"))).distinct()
+    return ids.select("id").unionByName(forms.where(condition).select(F.explode(F.col(links).cast("array<bigint>")).alias("id"))).distinct()

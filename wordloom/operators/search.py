@@ -82,11 +82,16 @@ def _conditions(terms: list[Term], word: Column, folded: bool) -> list[list[Colu
     return [[word == w if t.phrase else matches(wildcard(w), folded, word) for w in t.words] for t in terms]
 
 
+def _reach(positions: Column, first: int, last: int) -> Column:
+    """All positions from ``first`` to ``last`` after each of some."""
+    return F.flatten(F.transform(positions, lambda x: F.sequence(x + first, x + last)))
+
+
 def _phrase_ends(positions: list[Column], steps: list[int]) -> Column:
     """Where a phrase's last word stands."""
     at = positions[0]
     for nxt, step in zip(positions[1:], steps[1:], strict=True):
-        at = F.array_intersect(nxt, F.flatten(F.transform(at, lambda x, s=step: F.sequence(x + 1, x + s))))
+        at = F.array_intersect(nxt, _reach(at, 1, step))
     return at
 
 
@@ -120,7 +125,7 @@ def verdict(terms: list[Term], near: int = NEAR) -> Verdict:
         else:
             # The words beside the operator: the last one before, the first one after.
             left, right = p[i - 1][-1], p[i][0]
-            reach = F.flatten(F.transform(right, lambda y, n=near, both=t.operator == "near": F.sequence(y - n, y + n if both else y)))
+            reach = _reach(right, -near, near if t.operator == "near" else 0)
             found = found & has & F.coalesce(F.arrays_overlap(left, reach), F.lit(False))
             marked = F.array_union(near_positions(marked, own, near, near), near_positions(own, marked, near, near))
     n_occ = sum((F.size(c) for own in p for c in own[1:]), F.size(p[0][0]))
