@@ -21,13 +21,18 @@ from wordloom.llm.textcols import batches
 CHUNK = 256
 
 
-def training_rows(docs: DataFrame, label: str, per_label: int) -> list[tuple]:
-    """A fixed random sample of about ``per_label`` rows of each label value
-    (all rows where there are fewer): (label, text) of texts, of which very
-    long ones give 16 stretches of 4,000 characters spread over the text."""
-    counts = docs.groupBy(label).agg(F.count(F.lit(1)).alias("n"))
+def sampled(rows: DataFrame, label: str, per_label: int) -> DataFrame:
+    """A fixed random sample of about ``per_label`` rows of each label value,
+    or all of them where there are fewer, by a hash of doc_id."""
+    counts = rows.groupBy(label).agg(F.count(F.lit(1)).alias("n"))
     u = F.pmod(F.xxhash64("doc_id", F.lit("sample")), F.lit(1 << 40)) / float(1 << 40)
-    picked = docs.join(F.broadcast(counts), label).where(u * F.col("n") < per_label)
+    return rows.join(F.broadcast(counts), label).where(u * F.col("n") < per_label).drop("n")
+
+
+def training_rows(docs: DataFrame, label: str, per_label: int | None) -> list[tuple]:
+    """(label, text) of a sample (None: of all rows, drawn before); very long
+    texts give 16 stretches of 4,000 characters spread over the text."""
+    picked = docs if per_label is None else sampled(docs, label, per_label)
     size = F.length("text")
     spread = F.array_join(F.transform(F.sequence(F.lit(0), F.lit(15)), lambda i: F.substring(F.col("text"), (i * size / 16).cast("int") + 1, F.lit(4000))), "\n")
     text = F.when(size > 64_000, spread).otherwise(F.col("text"))

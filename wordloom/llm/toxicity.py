@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wordloom.llm.crf import CoreWords, Crf, chains_of, fit, word_features
-from wordloom.llm.langid import training_rows
+from wordloom.llm.langid import sampled, training_rows
 from wordloom.llm.textcols import batches
 
 SPAN = "array<struct<start: long, end: long, p: double>>"
@@ -84,7 +84,10 @@ def train(docs: DataFrame, labels: DataFrame, per_label: int = 1500) -> ToxicMod
     (the documented bound) of ``docs`` that ``labels`` (doc_id, toxic) marks."""
     marks = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg((F.max("toxic") > 0).alias("bad"))
     share = {r["bad"]: r["count"] for r in marks.groupBy("bad").count().collect()}
-    rows = training_rows(docs.select("doc_id", "text").join(marks, "doc_id").where("text is not null"), "bad", per_label)
+    # Only ids meet the labels; the rows drawn are few (see the bound), so no text is shuffled.
+    known = docs.where("text is not null").select("doc_id").distinct().join(marks, "doc_id")
+    drawn = sampled(known, "bad", per_label)
+    rows = training_rows(docs.select("doc_id", "text").where("text is not null").join(F.broadcast(drawn), "doc_id"), "bad", None)
     toxic = np.array([r[0] for r in rows], bool)
     total = sum(share.values())
     if not toxic.any() or toxic.all():
