@@ -6,7 +6,10 @@ A passage counts where ``width`` bytes of it also start anywhere else.
    smallest hash is an anchor, so equal windows have equal anchors at equal
    offsets.  A window is inside the region of its anchor, the ``width - k``
    bytes to its left and ``width`` bytes to its right; regions of one hash
-   that overlap in a text are joined.  Tasks send only hashes and places.
+   that overlap in a text are joined.  A repeated window shares 124 bytes to
+   the right of its anchor's first byte, or 124 bytes from 76 to its left on.
+   Hashes of both are counted over the corpus, and a bounded filter of those
+   found in two places lets only such anchors and sides through.
 2. Regions of one anchor hash and one content are a class, counted before
    anything is sent.  A hash with one plain region repeats nothing; a class found
    twice is repeated as a whole; hashes with several classes are indexed.
@@ -36,27 +39,41 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from wordloom.llm.bloom import id_filter, may_hold
 from wordloom.llm.shared import materialize
 from wordloom.llm.textcols import batches, mix, text_bytes
 
 WIDTH, ANCHOR = 200, 48
+TURN = (WIDTH - ANCHOR) // 2
+FLANK = WIDTH - TURN
 BASE = np.uint64(0x9E3779B97F4A7C15)
 
 
-def kmer_hashes(data: np.ndarray, k: int) -> np.ndarray:
-    """A hash of the k bytes from each position, by doubling."""
-    h, span, out, used = mix(data.astype(np.uint64), 9), 1, None, 0
-    while True:
-        if k & span:
-            if out is None:
-                out, used = h, span
-            else:
-                out = mix(out[: len(h) - used] * BASE + h[used:], span)
-                used += span
-        if used >= k:
-            return out[: len(data) - k + 1]
-        h = mix(h[:-span] * BASE + h[span:], 64 + span)
-        span *= 2
+_BYTES = mix(np.arange(256, dtype=np.uint64), 9)
+_INVERSE = np.uint64(pow(int(BASE), -1, 1 << 64))
+_POWERS: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+
+
+class Rolling:
+    """Hashes of the k bytes from any place: differences of one running sum
+    of bytes times powers of an odd base, shifted back to power zero."""
+
+    def __init__(self, data: np.ndarray):
+        n = len(data)
+        if len(_POWERS[0]) < n:
+            for k, base in enumerate((BASE, _INVERSE)):
+                steps = np.full(n, base, np.uint64)
+                steps[0] = 1
+                _POWERS[k] = np.cumprod(steps, dtype=np.uint64)
+        self.sums = np.zeros(n + 1, np.uint64)
+        np.cumsum(_BYTES[data] * _POWERS[0][:n], dtype=np.uint64, out=self.sums[1:])
+
+    def everywhere(self, k: int) -> np.ndarray:
+        n = len(self.sums) - k
+        return mix((self.sums[k:] - self.sums[:n]) * _POWERS[1][:n], k)
+
+    def at(self, places: np.ndarray, k: int, salt: int) -> np.ndarray:
+        return mix((self.sums[places + k] - self.sums[places]) * _POWERS[1][places], salt)
 
 
 def window_minima(values: np.ndarray, width: int) -> np.ndarray:
@@ -69,13 +86,13 @@ def window_minima(values: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(right[:n], left[width - 1 : width - 1 + n])
 
 
-def anchors(data: np.ndarray, offsets: np.ndarray, width: int = WIDTH, k: int = ANCHOR) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def anchors(data: np.ndarray, offsets: np.ndarray, rolling: Rolling, width: int = WIDTH, k: int = ANCHOR) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Text, position and hash of all anchors of a batch.  Every place of a
     window's smallest hash is one, so ties are kept."""
     none = np.zeros(0, np.int64)
     if len(data) < width:
         return none, none, np.zeros(0, np.uint64)
-    h = kmer_hashes(data, k)
+    h = rolling.everywhere(k)
     span = width - k + 1
     low = window_minima(h, span)
     # Windows inside one text.
@@ -94,34 +111,95 @@ def anchors(data: np.ndarray, offsets: np.ndarray, width: int = WIDTH, k: int =
     return np.searchsorted(offsets, at, side="right") - 1, at, h[at]
 
 
-def regions(data: np.ndarray, offsets: np.ndarray, width: int = WIDTH, k: int = ANCHOR):
-    """Text, hash, begin and end (byte positions of the batch) of all regions,
-    and whether several anchors were joined, so that it may repeat itself."""
-    text, at, h = anchors(data, offsets, width, k)
-    order = np.lexsort((at, h, text))
-    text, at, h = text[order], at[order], h[order]
-    begin = np.maximum(at - (width - k), offsets[text])
-    end = np.minimum(at + width, offsets[text + 1])
-    if not len(at):
-        return text, h, begin, end, np.zeros(0, bool)
-    new = np.ones(len(at), bool)
-    new[1:] = (text[1:] != text[:-1]) | (h[1:] != h[:-1]) | (begin[1:] >= end[:-1])
-    first = np.flatnonzero(new)
-    last = np.append(first[1:], len(at)) - 1
-    return text[first], h[first], begin[first], end[last], last > first
-
-
-def _find(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for table in batches(frames, size=4 << 20, text="text"):
-        data, offsets = text_bytes(table["text"])
-        text, h, begin, end, inner = regions(data, offsets)
-        raw = data.tobytes()
-        content = [hashlib.md5(raw[a:b]).digest() for a, b in zip(begin.tolist(), end.tolist(), strict=True)]
-        base = offsets[text]
-        yield pa.RecordBatch.from_arrays(
-            [table["text_id"].combine_chunks().take(pa.array(text)), pa.array(h.view(np.int64)), pa.array(begin - base, pa.int64()), pa.array(end - begin, pa.int32()), pa.array(content, pa.binary()), pa.array(inner)],
-            ["text_id", "anchor", "at", "size", "content", "inner"],
-        )
+class Places:
+    """The anchors of a batch with their two sides.
+
+    ``left`` and ``right``: hashes of the 124 bytes that all windows share
+    which begin ``TURN`` bytes or more, or fewer, before the anchor; ``has_*``:
+    whether the text has room for such a window.
+    """
+
+    def __init__(self, data: np.ndarray, offsets: np.ndarray):
+        rolling = Rolling(data)
+        self.text, self.at, self.hash = anchors(data, offsets, rolling)
+        self.low, self.high = offsets[self.text], offsets[self.text + 1]
+        if not len(self.at):
+            self.has_left = self.has_right = np.zeros(0, bool)
+            self.left = self.right = np.zeros(0, np.uint64)
+            return
+        room = self.at - self.low
+        self.back_right, self.back_left = np.minimum(TURN - 1, room), np.minimum(WIDTH - ANCHOR, room)
+        self.has_right = self.at - self.back_right + WIDTH <= self.high
+        self.has_left = (room >= TURN) & (self.at - self.back_left + WIDTH <= self.high)
+        self.left, self.right = np.zeros(len(self.at), np.uint64), np.zeros(len(self.at), np.uint64)
+        self.right[self.has_right] = rolling.at(self.at[self.has_right], FLANK, 1)
+        self.left[self.has_left] = rolling.at(self.at[self.has_left] - TURN, FLANK, 2)
+
+    def regions(self, left: np.ndarray, right: np.ndarray):
+        """Text, hash, begin and end of the regions of the sides chosen, and
+        whether several anchors were joined, so that one may repeat itself."""
+        on = np.flatnonzero(left | right)
+        left, right = left[on], right[on]
+        at, text, h = self.at[on], self.text[on], self.hash[on]
+        if not len(on):
+            return text, h, at, at, np.zeros(0, bool)
+        begin = at - np.where(left, self.back_left[on], self.back_right[on])
+        end = np.minimum(at + np.where(right, WIDTH, FLANK), self.high[on])
+        order = np.lexsort((at, h, text))
+        text, h, begin, end = text[order], h[order], begin[order], end[order]
+        new = np.ones(len(on), bool)
+        new[1:] = (text[1:] != text[:-1]) | (h[1:] != h[:-1]) | (begin[1:] >= end[:-1])
+        first = np.flatnonzero(new)
+        last = np.append(first[1:], len(on)) - 1
+        return text[first], h[first], np.minimum.reduceat(begin, first), np.maximum.reduceat(end, first), last > first
+
+
+def _sides(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each side's hash with the smallest and largest text that has it; one
+    that a text has twice spans all texts."""
+    for table in batches(frames, size=1 << 20):
+        p = Places(*text_bytes(table["text"]))
+        key = np.concatenate([p.left[p.has_left], p.right[p.has_right]])
+        text = np.concatenate([p.text[p.has_left], p.text[p.has_right]])
+        order = np.lexsort((text, key))
+        key, text = key[order], text[order]
+        name = table["name"].to_numpy()[text]
+        start = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
+        low, high = (np.minimum.reduceat(name, start), np.maximum.reduceat(name, start)) if len(key) else (name, name)
+        twice = np.flatnonzero((key[1:] == key[:-1]) & (text[1:] == text[:-1]))
+        of = np.searchsorted(start, twice, side="right") - 1
+        low, high = low.copy(), high.copy()
+        low[of], high[of] = np.iinfo(np.int64).min, np.iinfo(np.int64).max
+        yield pa.RecordBatch.from_arrays([pa.array(key[start].view(np.int64)), pa.array(low), pa.array(high)], ["key", "low", "high"])
+
+
+def _find(shared):
+    def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in batches(frames, size=1 << 20):
+            data, offsets = text_bytes(table["text"])
+            p = Places(data, offsets)
+            live = [has & may_hold(shared.value, side.view(np.int64)) for has, side in ((p.has_left, p.left), (p.has_right, p.right))]
+            text, h, begin, end, inner = p.regions(*live)
+            raw = data.tobytes()
+            content = [hashlib.md5(raw[a:b]).digest() for a, b in zip(begin.tolist(), end.tolist(), strict=True)]
+            base = offsets[text]
+            yield pa.RecordBatch.from_arrays(
+                [table["text_id"].combine_chunks().take(pa.array(text)), table["row"].combine_chunks().take(pa.array(text)), pa.array(h.view(np.int64)), pa.array(begin - base, pa.int64()), pa.array(end - begin, pa.int32()), pa.array(content, pa.binary()), pa.array(inner)],
+                ["text_id", "row", "anchor", "at", "size", "content", "inner"],
+            )
+
+    return run
+
+
+def _maybe(shared):
+    """Adds whether a filter of text names may hold a text's."""
+
+    def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for frame in frames:
+            names = frame.column(frame.schema.get_field_index("name")).to_numpy(zero_copy_only=False)
+            yield pa.RecordBatch.from_arrays([*frame.columns, pa.array(may_hold(shared.value, names), pa.bool_())], [*frame.schema.names, "maybe"])
+
+    return run
 
 
 def _fetch(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -177,12 +255,9 @@ class RunIndex:
         padded = np.concatenate([self.data, np.zeros(8, np.uint8)]).astype(np.uint64)
         for j in range(7):
             key |= np.where(left > j, padded[j : j + n] + np.uint64(1), np.uint64(0)) << np.uint64(9 * (6 - j))
-        _, rank = np.unique(key, return_inverse=True)
-        _, rank = np.unique(rank + self.group.astype(np.int64) * (int(rank.max(initial=0)) + 1), return_inverse=True)
-        order = np.argsort(rank, kind="stable")
-        sorted_rank = rank[order]
+        order = np.lexsort((key, self.group))
         head = np.ones(n, bool)
-        head[1:] = sorted_rank[1:] != sorted_rank[:-1]
+        head[1:] = (key[order[1:]] != key[order[:-1]]) | (self.group[order[1:]] != self.group[order[:-1]])
         begin = np.maximum.accumulate(np.where(head, place, 0))
         rank = np.empty(n, np.int64)
         rank[order] = begin
@@ -281,7 +356,7 @@ def _index(width: int):
 
 
 def _remove(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for table in batches(frames, size=8 << 20):
+    for table in batches(frames, size=2 << 20):
         data, offsets = text_bytes(table["text"])
         raw = data.tobytes()
         spans, again = table["spans"].combine_chunks(), table["again"].combine_chunks().to_pylist()
@@ -309,7 +384,7 @@ def _remove(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def remove_repeats(docs: DataFrame, bucket_bytes: int = 2 << 20) -> DataFrame:
+def remove_repeats(docs: DataFrame, bucket_bytes: int = 1 << 19) -> DataFrame:
     """Marks every byte covered by ``WIDTH`` bytes that also start elsewhere.
 
     Returns for each row ``doc_id, n_bytes, n_removed, removed`` (the maximal
@@ -320,18 +395,25 @@ def remove_repeats(docs: DataFrame, bucket_bytes: int = 2 << 20) -> DataFrame:
     shorter than ``WIDTH`` bytes are left alone; an empty table gives an empty
     one; other columns are ignored.
     """
-    named = docs.select("doc_id", "text", F.md5(F.coalesce("text", F.lit(""))).alias("text_id"))
+    id_type = docs.schema["doc_id"].dataType.simpleString()
+    text = F.coalesce("text", F.lit(""))
+    named = docs.select("doc_id", "text", F.unhex(F.md5(text)).alias("text_id"), F.xxhash64(text).alias("name"), F.xxhash64("doc_id").alias("row"))
     # Equal texts: one is indexed; of two or more all bytes are repeated.
-    ids = materialize(named.groupBy("text_id").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc_id")).alias("first")).select("text_id", (F.col("n") > 1).alias("again")), "texts")
-    found = named.where(F.octet_length("text") >= WIDTH).select("text_id", "text").mapInArrow(_find, "text_id string, anchor long, at long, size int, content binary, inner boolean")
+    again = materialize(named.select("text_id", "name").groupBy("text_id").agg(F.count(F.lit(1)).alias("n"), F.first("name").alias("name")).where("n > 1").select("text_id", "name"), "texts")
+    long = named.where(F.octet_length("text") >= WIDTH)
+    sides = long.select("text", "name").mapInArrow(_sides, "key long, low long, high long")
+    repeated = materialize(sides.groupBy("key").agg(F.min("low").alias("low"), F.max("high").alias("high")).where("low <> high").select("key"), "sides")
+    found = long.select("text_id", "row", "text").mapInArrow(_find(id_filter(repeated)), "text_id binary, row long, anchor long, at long, size int, content binary, inner boolean")
     places = materialize(found, "regions")
     # Places of equal texts count once.
-    one = places.groupBy("anchor", "content", "text_id", "at", "size").agg(F.max("inner").alias("inner"))
-    classes = materialize(one.groupBy("anchor", "content").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("text_id", "at", "size")).alias("one"), F.max("inner").alias("inner")), "classes")
+    one = places.groupBy("anchor", "content", "text_id", "at", "size").agg(F.max("inner").alias("inner"), F.min("row").alias("row"))
+    classes = materialize(one.groupBy("anchor", "content").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("text_id", "row", "at", "size")).alias("one"), F.max("inner").alias("inner")), "classes")
     several = classes.groupBy("anchor").agg(F.count(F.lit(1)).alias("classes"), F.max("inner").alias("inner")).where("classes > 1 or inner")
-    indexed = classes.join(several.select("anchor"), "anchor").select(F.col("one.text_id").alias("text_id"), F.struct("anchor", "content", F.col("one.at").alias("at"), F.col("one.size").alias("size")).alias("place"))
-    wanted = indexed.groupBy("text_id").agg(F.collect_list("place").alias("places"))
-    texts = named.select("text_id", "text").join(wanted, "text_id").select("text", "places")
+    indexed = classes.join(several.select("anchor"), "anchor").select(F.col("one.text_id").alias("text_id"), F.col("one.row").alias("row"), F.struct("anchor", "content", F.col("one.at").alias("at"), F.col("one.size").alias("size")).alias("place"))
+    wanted = indexed.groupBy("text_id", "row").agg(F.collect_list("place").alias("places"))
+    names = named.select("text_id", "name")
+    sources = _filtered(long.select("text_id", "row", "text", "name"), names.join(wanted.select("text_id"), "text_id", "left_semi").select("name").distinct()).where("maybe")
+    texts = sources.select("text_id", "row", "text").join(wanted, ["text_id", "row"]).select("text", "places")
     fetched = materialize(texts.mapInArrow(_fetch, "anchor long, content binary, region binary"), "fetched")
     total = fetched.agg(F.sum(F.octet_length("region"))).first()[0] or 0
     buckets = max(1, -(-total // bucket_bytes))
@@ -344,7 +426,16 @@ def remove_repeats(docs: DataFrame, bucket_bytes: int = 2 << 20) -> DataFrame:
         .select("text_id", F.struct((F.col("at") + F.col("lo")).alias("lo"), (F.col("at") + F.col("hi")).alias("hi")).alias("span"))
         .groupBy("text_id").agg(F.collect_set("span").alias("spans"))
     )
-    about = ids.where("again").select("text_id", "again").join(spans, "text_id", "full").select(F.col("text_id").alias("of"), F.coalesce("again", F.lit(False)).alias("again"), "spans")
-    joined = named.join(about, F.col("text_id") == F.col("of"), "left").select("doc_id", "text", "again", "spans")
-    id_type = docs.schema["doc_id"].dataType.simpleString()
-    return joined.mapInArrow(_remove, f"doc_id {id_type}, n_bytes long, n_removed long, removed array<struct<lo: long, hi: long>>, kept binary")
+    about = again.select("text_id", F.lit(True).alias("again")).join(spans, "text_id", "full").select(F.col("text_id").alias("of"), F.coalesce("again", F.lit(False)).alias("again"), "spans")
+    about = materialize(about, "about")
+    # Texts that nothing is known of are left where they are; the others meet their spans.
+    split = _filtered(named, names.join(about.select(F.col("of").alias("text_id")), "text_id", "left_semi").select("name").distinct())
+    columns = ("doc_id", "text", "again", "spans")
+    joined = split.where("maybe").join(about, F.col("text_id") == F.col("of"), "left").select(*columns)
+    plain = split.where("not maybe").select("doc_id", "text", F.lit(False).alias("again"), F.lit(None).cast("array<struct<lo: long, hi: long>>").alias("spans"))
+    return joined.unionByName(plain.select(*columns)).mapInArrow(_remove, f"doc_id {id_type}, n_bytes long, n_removed long, removed array<struct<lo: long, hi: long>>, kept binary")
+
+
+def _filtered(rows: DataFrame, names: DataFrame) -> DataFrame:
+    fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema.fields)
+    return rows.mapInArrow(_maybe(id_filter(names)), f"{fields}, maybe boolean")

@@ -124,7 +124,7 @@ def batches(frames, rows: int = 1 << 30, size: int = 24 << 20, text: str = "text
     for frame in frames:
         at = 0
         while at < frame.num_rows:
-            step = max(1, min(frame.num_rows - at, 256))
+            step = min(frame.num_rows - at, 64)
             part = frame.slice(at, step)
             held.append(part)
             held_rows += step
