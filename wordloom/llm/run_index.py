@@ -342,7 +342,7 @@ def marked(index: RunIndex, statistics: np.ndarray, width: int) -> tuple[np.ndar
 def _index(width: int):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         # Repeated rows of one class would match themselves.
-        pdf = pdf.drop_duplicates(["anchor", "content"]).sort_values(["anchor", "content"], ignore_index=True)
+        pdf = pdf.drop_duplicates(["anchor", "content"]).sort_values("anchor", kind="stable", ignore_index=True)
         raws = pdf["region"].tolist()
         data = np.frombuffer(b"".join(raws), np.uint8)
         starts = np.concatenate([[0], np.cumsum([len(r) for r in raws])])
@@ -356,7 +356,7 @@ def _index(width: int):
 
 
 def _remove(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for table in batches(frames, size=2 << 20):
+    for table in batches(frames, size=1 << 20):
         data, offsets = text_bytes(table["text"])
         raw = data.tobytes()
         spans, again = table["spans"].combine_chunks(), table["again"].combine_chunks().to_pylist()
@@ -384,7 +384,7 @@ def _remove(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def remove_repeats(docs: DataFrame, bucket_bytes: int = 1 << 19) -> DataFrame:
+def remove_repeats(docs: DataFrame, bucket_bytes: int = 1 << 18) -> DataFrame:
     """Marks every byte covered by ``WIDTH`` bytes that also start elsewhere.
 
     Returns for each row ``doc_id, n_bytes, n_removed, removed`` (the maximal

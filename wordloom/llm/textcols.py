@@ -132,7 +132,10 @@ def batches(frames, rows: int = 1 << 30, size: int = 24 << 20, text: str = "text
             held_size += pc.sum(pc.binary_length(column)).as_py() or 0
             at += step
             if held_rows >= rows or held_size >= size:
-                yield pa.Table.from_batches(held).combine_chunks()
+                whole = pa.Table.from_batches(held).combine_chunks()
                 held, held_rows, held_size = [], 0, 0
+                yield whole
+                del whole
+                pa.default_memory_pool().release_unused()
     if held:
         yield pa.Table.from_batches(held).combine_chunks()
