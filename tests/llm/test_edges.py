@@ -1,0 +1,89 @@
+"""Nulls, empty and long texts, repeated rows, empty tables, other columns."""
+
+import public_tokenizers
+import pytest
+
+from wordloom.llm.ann import nearest
+from wordloom.llm.langid import identify
+from wordloom.llm.line_dedup import drop_shared_lines
+from wordloom.llm.line_rules import clean_lines
+from wordloom.llm.minhash_join import near_duplicates
+from wordloom.llm.mixing import mix_sources
+from wordloom.llm.packing import pack_documents
+from wordloom.llm.run_index import remove_repeats
+from wordloom.llm.secrets import find_secrets
+from wordloom.llm.toxicity import score_toxicity
+
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, node long, text_id string, carried int, part int, comp long"
+LONG = " ".join(f"word{i % 977} and {i}" for i in range(20_000))
+ROWS = [(1, None, "en", "a"), (2, "", None, None), (None, "some text without an id", "en", None), (None, None, None, "a"), (3, LONG, "en", "b"), (4, "the same row twice", "en", "a"), (4, "the same row twice", "en", "a"), (5, "\n \n\t", "fr", "b")]
+PATH = public_tokenizers.path("word_bpe_49k.json")
+
+
+def frame(spark, rows):
+    return spark.createDataFrame([(*r, 7, 1, "x", 2, 3, 4) for r in rows], SCHEMA)
+
+
+def labels(spark, n):
+    return spark.createDataFrame([(3, 0), (4, 1), (None, 1), (9, None)][:n], "doc_id long, toxic int")
+
+
+CASES = {
+    "toxicity": lambda s, d: score_toxicity(d, d, labels(s, 4)),
+    "quality": lambda s, d: clean_lines(d),
+    "near": lambda s, d: near_duplicates(d),
+    "lines": lambda s, d: drop_shared_lines(d, carry=("lang", "part")),
+    "mix": lambda s, d: mix_sources(d),
+    "repeats": lambda s, d: remove_repeats(d),
+    "language": lambda s, d: identify(d, d),
+    "secrets": lambda s, d: find_secrets(d),
+}
+
+
+@pytest.mark.parametrize("name", CASES)
+def test_rows_stay(spark, name):
+    out = CASES[name](spark, frame(spark, ROWS)).collect()
+    assert sorted(str(r["doc_id"]) for r in out) == sorted(str(r[0]) for r in ROWS)
+
+
+@pytest.mark.parametrize("name", CASES)
+def test_empty_table(spark, name):
+    assert CASES[name](spark, frame(spark, [])).collect() == []
+
+
+def test_packing(spark):
+    out = pack_documents(frame(spark, ROWS), PATH).collect()
+    assert {str(r["doc_id"]) for r in out} == {str(r[0]) for r in ROWS}
+    assert [r["length"] for r in out if r["doc_id"] in (1, 2, 5)] == [1, 1, 1]
+    assert sum(r["doc_id"] == 4 for r in out) == 2 and max(r["length"] for r in out) == 4096
+    assert pack_documents(frame(spark, []), PATH).collect() == []
+
+
+def test_near_values(spark):
+    got = {(r["doc_id"], r["n_shingles"]): (r["component_id"], r["kept"]) for r in near_duplicates(frame(spark, ROWS)).collect()}
+    assert got[1, 0] == (1, True) and got[None, 1] == (None, True) and got[4, 1] == (4, True)
+
+
+def test_nearest(spark):
+    rows = [(0, [1.0, 0.0], 1), (50, [1.0, 1.0], 1), (7, [1.0, 1.0], 1), (8, [1.0, 1.0], 1), (9, None, 1), (10, [0.0, 0.0], 1), (11, [float("nan"), 1.0], 1), (12, [None, 1.0], 1), (None, [1.0, 2.0], 1)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, code int")
+    got = [tuple(r) for r in nearest(df).orderBy("query_id", "rank").collect()]
+    assert [g[:3] for g in got] == [(0, 1, 7), (0, 2, 8), (0, 3, 50), (50, 1, 7), (50, 2, 8), (50, 3, 0)]
+    assert nearest(df.limit(0)).collect() == []
+
+
+def test_pipeline_stages(spark):
+    import corpus_pipeline
+
+    sf = "/root/testdata/sf0.001"
+    for rows in (ROWS, []):
+        docs = frame(spark, rows)
+        for name, stage in corpus_pipeline.STAGES:
+            out = stage(spark, docs, sf)
+            if name != "packing":
+                assert out.columns == list(corpus_pipeline.COLUMNS)
+            out.count()
+    mixed = corpus_pipeline.mix(spark, frame(spark, ROWS), sf)
+    assert all(r["text"] for r in mixed.collect())
+    kept = corpus_pipeline.near_dedup(spark, frame(spark, ROWS), sf).collect()
+    assert sum(r["doc_id"] == 4 for r in kept) == 1 and len(kept) == len(ROWS) - 1
