@@ -206,6 +206,41 @@ for _mode in lookups.MODES:
     _add_lookups(_mode)
 
 
+#: The lookups above index or look up a fixed part of their tables, as their
+#: SQL says.  These take whole tables, with targets between, below and above
+#: the keys.
+_ALL = """WITH k AS (SELECT o_orderkey::DOUBLE AS key, min(o_orderkey) AS rid FROM orders GROUP BY 1),
+  x AS (SELECT l_orderkey::DOUBLE AS l FROM lineitem UNION SELECT key FROM k), t AS (SELECT l AS target FROM x UNION SELECT l + 0.5 FROM x UNION SELECT l - 0.5 FROM x)"""
+_ALL_TEXT = """WITH k AS (SELECT p_name AS key, min(p_partkey) AS rid FROM part GROUP BY 1),
+  t AS (SELECT p_name AS target FROM part UNION SELECT p_name || ' ' FROM part UNION SELECT lower(n_name) FROM nation UNION SELECT '!' UNION SELECT '~')"""
+_FOUND = "SELECT target, rid FROM t {join} JOIN k ON target {sign} key"
+_TURNED = {"exact": "=", "last_before": ">", "first_after": "<", "exact_or_before": ">=", "exact_or_after": "<="}
+
+
+def _add_whole_lookups(mode: str) -> None:
+    found = _FOUND.format(join="LEFT" if mode == "exact" else "ASOF LEFT", sign=_TURNED[mode])
+
+    @query(f"{_ALL} {found}", f"lookup_all_{mode}")
+    def number(spark, sf):
+        key = F.col("o_orderkey").cast("double")
+        keys = table(spark, sf, "orders").select(key.alias("key"), F.col("o_orderkey").alias("rid"))
+        x = F.col("l_orderkey").cast("double")
+        wanted = table(spark, sf, "lineitem").select("l_orderkey").union(keys.select("rid")).distinct()
+        targets = wanted.select(F.explode(F.array(x - 0.5, x, x + 0.5)).alias("target"))
+        return lookups.lookup_many(keys, "key", "rid", targets, "target", mode, F.floor(F.col("_k") / 4096))
+
+    @query(f"{_ALL_TEXT} {found}", f"lookup_all_text_{mode}")
+    def text(spark, sf):
+        part = table(spark, sf, "part").select("p_name", F.col("p_partkey").alias("rid"))
+        targets = part.select(F.explode(F.array("p_name", F.concat("p_name", F.lit(" ")))).alias("target"))
+        targets = targets.union(table(spark, sf, "nation").select(F.lower("n_name"))).union(spark.createDataFrame([("!",), ("~",)], "target string"))
+        return lookups.lookup_many(part, "p_name", "rid", targets, "target", mode, F.ascii("_k"))
+
+
+for _mode in lookups.MODES:
+    _add_whole_lookups(_mode)
+
+
 @query("""SELECT 'exact' AS mode, o_orderkey AS rid FROM orders WHERE o_orderkey = 1000 UNION ALL
   SELECT 'last_before', max(o_orderkey) FROM orders WHERE o_orderkey < 1000 UNION ALL SELECT 'first_after', min(o_orderkey) FROM orders WHERE o_orderkey > 1000 UNION ALL
   SELECT 'exact_or_before', max(o_orderkey) FROM orders WHERE o_orderkey <= 1000 UNION ALL SELECT 'exact_or_after', min(o_orderkey) FROM orders WHERE o_orderkey >= 1000""")
