@@ -33,3 +33,12 @@ def test_lookups_of_all_names(spark, sf, mode):
     assert {r["target"] for r in got} >= first.keys() | {"!", "~"}
     for r in got:
         assert r["rid"] == first.get(neighbour(keys, r["target"], mode))
+
+
+def test_all_customers_by_nation(spark, sf):
+    nation = {r["n_nationkey"]: r["n_name"] for r in table(spark, sf, "nation").collect()}
+    rows = sorted((r["c_custkey"], nation[r["c_nationkey"]]) for r in table(spark, sf, "customer").collect())
+    want = sorted(rows, key=lambda r: r[1], reverse=True)  # stable: ties stay by key
+    got = sorted(catalogue.queries()["sort_via_link_all"](spark, sf).collect(), key=lambda r: r["pos"])
+    assert [r["pos"] for r in got] == list(range(len(want)))
+    assert [(r["c_custkey"], r["n_name"]) for r in got] == want

@@ -264,3 +264,9 @@ def sort_chain_desc(spark, sf):
 def sort_via_link(spark, sf):
     linked = order.through_link(table(spark, sf, "customer").select("c_custkey", "c_nationkey"), "c_nationkey", table(spark, sf, "nation"), "n_nationkey", "n_name", "n_name")
     return order.top(linked, order.chain(("n_name", False), rid="c_custkey"), 0, 100).select("c_custkey", "n_name", "pos")
+
+
+@query("SELECT c_custkey, n_name, row_number() OVER (ORDER BY n_name DESC NULLS LAST, c_custkey) - 1 AS pos FROM customer LEFT JOIN nation ON c_nationkey = n_nationkey")
+def sort_via_link_all(spark, sf):
+    linked = order.through_link(table(spark, sf, "customer").select("c_custkey", "c_nationkey"), "c_nationkey", table(spark, sf, "nation"), "n_nationkey", "n_name", "n_name")
+    return order.numbered(linked, order.chain(("n_name", False), rid="c_custkey")).select("c_custkey", "n_name", "pos")
