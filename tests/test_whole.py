@@ -3,7 +3,7 @@
 from bisect import bisect_left, bisect_right
 
 import pytest
-from wordloom.operators import lookups
+from wordloom.operators import lookups, tree
 from wordloom.plans import catalogue
 from wordloom.plans.registry import table
 
@@ -42,3 +42,25 @@ def test_all_customers_by_nation(spark, sf):
     got = sorted(catalogue.queries()["sort_via_link_all"](spark, sf).collect(), key=lambda r: r["pos"])
     assert [r["pos"] for r in got] == list(range(len(want)))
     assert [(r["c_custkey"], r["n_name"]) for r in got] == want
+
+
+def test_paths_of_a_deep_tree(spark):
+    deep = "/".join(f"d{i}" for i in range(150))
+    dirs, _ = tree.from_paths(spark.createDataFrame([(deep + "/f",), ("d0/x/f",), ("y/f",)], "path string"), "path")
+    got = sorted(r["path"] for r in tree.absolute_paths(dirs).collect())
+    want = ["", "/d0/x", "/y"] + ["/" + "/".join(f"d{i}" for i in range(n)) for n in range(1, 151)]
+    assert got == sorted(want)
+
+
+def test_paths_of_many_directories(spark):
+    n = 1_000_100
+    rows = spark.range(n).selectExpr("id AS dir_id", "if(id = 0, '', string(id)) AS name", "if(id = 0, null, if(id < 1000, 0, id % 999 + 1)) AS parent_id")
+    got = tree.absolute_paths(rows)
+    assert got.distinct().count() == n
+    assert {r["path"] for r in got.where("dir_id in (5, 999999)").collect()} == {"/5", "/1/999999"}
+
+
+def test_paths_without_a_root(spark):
+    rows = [(0, "", None), (1, "a", 0), (2, "b", 1), (3, "lost", 9), (4, "r", 5), (5, "s", 4), (6, "t", 5), (7, "own", 7)]
+    got = tree.absolute_paths(spark.createDataFrame(rows, "dir_id long, name string, parent_id long"))
+    assert sorted(tuple(r) for r in got.collect()) == [(0, ""), (1, "/a"), (2, "/a/b")]
