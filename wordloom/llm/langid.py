@@ -30,13 +30,10 @@ def sampled(rows: DataFrame, label: str, per_label: int) -> DataFrame:
 
 
 def training_rows(docs: DataFrame, label: str, per_label: int | None) -> list[tuple]:
-    """(label, text) of a sample (None: of all rows, drawn before); very long
-    texts give 16 stretches of 4,000 characters spread over the text."""
+    """(label, text) of a sample (None: of all rows, drawn before), each text
+    whole."""
     picked = docs if per_label is None else sampled(docs, label, per_label)
-    size = F.length("text")
-    spread = F.array_join(F.transform(F.sequence(F.lit(0), F.lit(15)), lambda i: F.substring(F.col("text"), (i * size / 16).cast("int") + 1, F.lit(4000))), "\n")
-    text = F.when(size > 64_000, spread).otherwise(F.col("text"))
-    return [tuple(r) for r in picked.select(label, text.alias("text"), F.coalesce("doc_id", F.lit(-1)).alias("k")).orderBy("k", "text").select(label, "text").collect()]
+    return [tuple(r) for r in picked.select(label, "text", F.coalesce("doc_id", F.lit(-1)).alias("k")).orderBy("k", "text").select(label, "text").collect()]
 
 
 def train(docs: DataFrame, per_label: int = 500) -> tuple[Crf, list[str]]:
