@@ -158,7 +158,10 @@ def _pack(capacity: int, round_no: int, last: bool):
         release = np.zeros(len(fill), bool)
         if not last:
             slack = np.flatnonzero(fill < capacity)
-            release[slack[np.argsort(fill[slack], kind="stable")][: 1 + 8 * gap]] = True
+            emptiest = slack[np.argsort(fill[slack], kind="stable")][: 1 + 8 * gap]
+            # At most half of the pieces, so that rounds shrink to the last exchange.
+            held = np.cumsum(np.bincount(bins, minlength=len(fill))[emptiest])
+            release[emptiest[held * 2 <= len(lengths)]] = True
         out = pdf.drop(columns="part")
         out["sequence_id"] = (round_no << 56) + (pdf["part"].to_numpy().astype(np.int64) << 24) + bins
         out["offset"] = offsets
@@ -195,7 +198,5 @@ def pack_documents(docs: DataFrame, tokenizer: str, end_id: int = 1, capacity: i
         if last:
             return done
         left = packed.where("open").select(*names[:-2])
-        before, pieces = pieces, left.count()
-        if pieces * 2 > before:  # hardly anything is certified: keep what is packed
-            return done.unionByName(packed.where("open").select(*names))
+        pieces = left.count()
         round_no += 1
