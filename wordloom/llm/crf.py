@@ -1,12 +1,15 @@
 """A linear-chain conditional random field over the words of texts.
 
 Words are runs of ASCII letters and digits and of all other non-ASCII
-characters, lower-cased.  A chain is up to ``CHAIN`` neighbouring words of one
-text; a longer text goes on in further chains, so that whole texts are read
-with bounded memory.  A word's features are the word itself (lexicon), its
-first one to six and last one to five bytes (affixes) and its byte trigrams
-(n-grams), hashed into one weight table; label transitions are learned.
-Forward-backward runs over all chains of a batch at once.
+characters, lower-cased.  A chain is all words of one text, however long.  A
+word's features are the word itself (lexicon), its first one to six and last
+one to five bytes (affixes) and its byte trigrams (n-grams), hashed into one
+weight table; label transitions are learned.
+
+Forward-backward runs over all chains of a batch at once, block by block: the
+words of a block are one product of label matrices, which carries the forward
+message of the block before it to its end and the backward message of the
+block behind it to its start.  The result is that of the unbroken chain.
 """
 
 from __future__ import annotations
@@ -19,7 +22,7 @@ import pyarrow.compute as pc
 
 from wordloom.llm.textcols import Words, mix, text_bytes
 
-CHAIN = 64
+BLOCK = 64
 BITS = 18
 SIZE = 1 << BITS
 PREFIXES, SUFFIXES = 6, 5
@@ -81,10 +84,22 @@ def _sums(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
 def chains_of(bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """First word and length of each chain, for texts with these bounds."""
     counts = np.diff(bounds)
-    per = -(-counts // CHAIN)
+    some = counts > 0
+    return bounds[:-1][some], counts[some]
+
+
+def rows_of(begin: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """The words of some chains, one chain after another."""
+    return np.repeat(begin - (np.cumsum(length) - length), length) + np.arange(length.sum())
+
+
+def _blocks_of(begin: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """First word, length, number in its chain and chain of each block."""
+    per = -(-length // BLOCK)
+    chain = np.repeat(np.arange(len(per)), per)
     nth = np.arange(per.sum()) - np.repeat(np.cumsum(per) - per, per)
-    begin = np.repeat(bounds[:-1], per) + nth * CHAIN
-    return begin, np.minimum(CHAIN, np.repeat(bounds[1:], per) - begin)
+    at = begin[chain] + nth * BLOCK
+    return at, np.minimum(BLOCK, begin[chain] + length[chain] - at), nth, chain
 
 
 @dataclass
@@ -107,44 +122,112 @@ class Crf:
             out += self.weights[fixed[:, k]]
         return out + _sums(self.weights[tri], bounds)
 
+    def _carried(self, b: np.ndarray, at: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The product of each block's label matrices: rows of length one and
+        the logarithms of what they were divided by."""
+        labels = b.shape[1]
+        move = np.exp(self.step.astype(np.float64))
+        rows = np.repeat(np.eye(labels)[None], len(at), axis=0)
+        logs = np.zeros((len(at), labels))
+        order = np.argsort(-size, kind="stable")
+        live = np.searchsorted(-size[order], -np.arange(1, BLOCK + 1), side="right")
+        for t in range(int(size.max(initial=0))):
+            own = order[: live[t]]
+            x = rows[own] @ move * b[at[own] + t][:, None, :]
+            total = x.sum(axis=2)
+            rows[own] = x / total[:, :, None]
+            logs[own] += np.log(total)
+        return rows, logs
+
+    def _between(self, b: np.ndarray, begin: np.ndarray, length: np.ndarray, blocks: tuple) -> tuple[np.ndarray, np.ndarray]:
+        """The forward message before each block (of a chain's first one:
+        unused) and the backward message behind each block's last word."""
+        at, size, nth, chain = blocks
+        labels = b.shape[1]
+        before, behind = np.full((len(at), labels), 1 / labels), np.full((len(at), labels), 1 / labels)
+        per = np.bincount(chain, minlength=len(length))
+        first = np.cumsum(per) - per
+        long = np.flatnonzero(per > 1)
+        if not len(long):
+            return before, behind
+        long = long[np.argsort(-per[long], kind="stable")]
+        own = np.concatenate([np.arange(first[c], first[c] + per[c]) for c in long.tolist()])
+        spot = np.zeros(len(at), np.int64)
+        spot[own] = np.arange(len(own))
+        rows, logs = self._carried(b, at[own], size[own])
+        head, move = np.exp(self.start.astype(np.float64)), np.exp(self.step.astype(np.float64))
+        depth = per[long]
+        # A chain's first block starts from the start scores, word by word.
+        x = head * b[begin[long]]
+        for t in range(1, BLOCK):
+            x = (x / x.sum(axis=1, keepdims=True)) @ move * b[begin[long] + t]
+        message = x / x.sum(axis=1, keepdims=True)
+        for k in range(1, int(depth[0])):
+            n = int(np.searchsorted(-depth, -k, side="left"))
+            block = first[long[:n]] + k
+            before[block] = message[:n]
+            own = spot[block]
+            weight = np.log(np.maximum(message[:n], 1e-300)) + logs[own]
+            weight = np.exp(weight - weight.max(axis=1, keepdims=True))
+            y = (weight[:, :, None] * rows[own]).sum(axis=1)
+            message[:n] = y / y.sum(axis=1, keepdims=True)
+        message = np.full((len(long), labels), 1 / labels)
+        for k in range(int(depth[0]) - 1, 0, -1):
+            n = int(np.searchsorted(-depth, -k, side="left"))
+            own = spot[first[long[:n]] + k]
+            inner = (rows[own] * message[:n, None, :]).sum(axis=2)
+            y = np.log(np.maximum(inner, 1e-300)) + logs[own]
+            y = np.exp(y - y.max(axis=1, keepdims=True))
+            message[:n] = y / y.sum(axis=1, keepdims=True)
+            behind[first[long[:n]] + k - 1] = message[:n]
+        return before, behind
+
     def marginals(self, emission: np.ndarray, begin: np.ndarray, length: np.ndarray, expected: bool = False):
         """Each word's label probabilities by forward-backward; with
         ``expected`` also the summed transition probabilities."""
         n, labels = emission.shape
         b = np.exp(emission - emission.max(axis=1, keepdims=True)) if n else emission
-        order = np.argsort(-length, kind="stable")
-        begin, length = begin[order], length[order]
-        deep = int(length[0]) if len(length) else 0
-        live = np.searchsorted(-length, -np.arange(1, deep + 1), side="right")
+        b = np.maximum(b, np.float32(1e-30))
+        blocks = _blocks_of(begin, length)
+        before, behind = self._between(b, begin, length, blocks)
+        at, size, nth, _ = blocks
+        order = np.argsort(-size, kind="stable")
+        at, size, nth, before, behind = at[order], size[order], nth[order], before[order].astype(b.dtype), behind[order].astype(b.dtype)
+        live = np.searchsorted(-size, -np.arange(1, BLOCK + 1), side="right")
         move, first = np.exp(self.step), np.exp(self.start)
-        alpha, beta = np.empty_like(b), np.empty_like(b)
+        alpha, beta = np.ones_like(b), np.ones_like(b)
+        deep = int(size[0]) if len(size) else 0
         for t in range(deep):
-            rows = begin[: live[t]] + t
-            a = b[rows] * (first if t == 0 else alpha[rows - 1] @ move)
+            rows = at[: live[t]] + t
+            came = np.where((nth == 0)[:, None], first, before @ move) if t == 0 else alpha[rows - 1] @ move
+            a = b[rows] * came
             alpha[rows] = a / a.sum(axis=1, keepdims=True)
-        pairs = np.zeros((labels, labels), np.float64)
         for t in range(deep - 1, -1, -1):
-            rows = begin[: live[t]] + t
+            rows = at[: live[t]] + t
             after = live[t + 1] if t + 1 < deep else 0
-            x = np.full((len(rows), labels), 1 / labels, np.float32)
+            x = behind[: len(rows)].copy()
             if after:
-                ahead = b[rows[:after] + 1] * beta[rows[:after] + 1]
-                y = ahead @ move.T
+                y = (b[rows[:after] + 1] * beta[rows[:after] + 1]) @ move.T
                 x[:after] = y / y.sum(axis=1, keepdims=True)
-                if expected:
-                    norm = 1 / ((alpha[rows[:after]] @ move) * ahead).sum(axis=1, keepdims=True)
-                    pairs += (alpha[rows[:after]] * norm).T @ ahead * move
             beta[rows] = x
         out = alpha * beta
         out /= out.sum(axis=1, keepdims=True)
-        return (out, pairs) if expected else out
+        if not expected:
+            return out
+        inner = rows_of(begin + 1, length - 1)
+        ahead = b[inner] * beta[inner]
+        norm = 1 / ((alpha[inner - 1] @ move) * ahead).sum(axis=1, keepdims=True)
+        return out, (alpha[inner - 1] * norm).T.astype(np.float64) @ ahead * move
 
 
-def fit(words: CoreWords, tags: np.ndarray, labels: int, epochs: int = 5, parts: int = 8, rate: float = 0.3, decay: float = 1e-6) -> Crf:
+def fit(words: CoreWords, tags: np.ndarray, labels: int, epochs: int = 5, parts: int = 8, rate: float = 0.3, decay: float = 1e-6, only: np.ndarray | None = None) -> Crf:
     """Conditional maximum likelihood by AdaGrad over parts of the chains.
-    ``tags``: a label for each word.  The order is fixed, so reruns agree."""
+    ``tags``: a label for each word; ``only``: whether to learn from a chain.
+    The order is fixed, so reruns agree."""
     model = Crf.zeros(labels)
     begin, length = chains_of(words.bounds)
+    if only is not None:
+        begin, length = begin[only], length[only]
     features = word_features(words.vocabulary)
     fixed, tri, bounds = features
     seen = np.full_like(model.weights, 1e-2)
@@ -156,7 +239,7 @@ def fit(words: CoreWords, tags: np.ndarray, labels: int, epochs: int = 5, parts:
             if not mine.any():
                 continue
             b, size = begin[mine], length[mine]
-            rows = np.repeat(b, size) + np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+            rows = rows_of(b, size)
             vocab, codes = np.unique(words.codes[rows], return_inverse=True)
             lens = (bounds[1:] - bounds[:-1])[vocab]
             flat = np.repeat(bounds[vocab], lens) + np.arange(lens.sum()) - np.repeat(np.cumsum(lens) - lens, lens)

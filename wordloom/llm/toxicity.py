@@ -1,8 +1,14 @@
 """Toxic spans and document scores by a linear-chain conditional random field.
 
-Words are tagged toxic or not.  The tags to learn from come from labelled
-documents: a word counts as toxic there if its form, or its first four to six
-bytes, is found in the toxic documents far more often than in the others.
+Words are tagged toxic or not.  Labels are of documents, so the tags to learn
+from are found in two steps.  First tags: a word of a toxic document whose
+form, or whose first four to six bytes, toxic documents hold far more often
+than others do.  Then the labelled documents are halved, a field is fitted on
+each half, and the tags of a half's toxic documents are those that the other
+half's field gives with a marginal over one half: a tag has to hold up by its
+affixes, n-grams and neighbours, and not only as an entry of a list.  The
+field in use is fitted on these tags.
+
 Forward-backward gives each word's marginal; the largest and the sum of a
 document's marginals go through a logistic curve, fitted on the same labels,
 to its score, and words over one half give the offending offsets.
@@ -19,9 +25,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wordloom.llm.crf import CoreWords, Crf, chains_of, fit, word_features
+from wordloom.llm.crf import CoreWords, Crf, chains_of, fit, rows_of, word_features
 from wordloom.llm.langid import sampled, training_rows
-from wordloom.llm.textcols import batches
+from wordloom.llm.textcols import batches, mix
 
 SPAN = "array<struct<start: long, end: long, p: double>>"
 
@@ -61,6 +67,22 @@ def telling_words(words: CoreWords, toxic: np.ndarray) -> np.ndarray:
     return found
 
 
+def crossed_tags(words: CoreWords, tags: np.ndarray) -> np.ndarray:
+    """Tags of each half of the texts by a field fitted on the other half."""
+    begin, length = chains_of(words.bounds)
+    side = mix(np.arange(len(begin), dtype=np.uint64), 6) % np.uint64(2)
+    features, out = word_features(words.vocabulary), np.zeros_like(tags)
+    for k in (0, 1):
+        mine, other = side == k, side != k
+        if not mine.any() or not other.any():
+            return tags
+        crf = fit(words, tags, 2, only=other)
+        gamma = crf.marginals(crf.emissions(features)[words.codes], begin[mine], length[mine])
+        rows = rows_of(begin[mine], length[mine])
+        out[rows] = gamma[rows, 1] > 0.5
+    return out
+
+
 def summary(marginal: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     """Per text: 1, logit of the largest marginal, log of their sum."""
     p = np.clip(np.append(marginal, 0), 1e-6, 1 - 1e-6)
@@ -93,18 +115,18 @@ def train(docs: DataFrame, labels: DataFrame, per_label: int = 1500) -> ToxicMod
     if not toxic.any() or toxic.all():
         return ToxicModel(None, np.zeros(3), share.get(True, 0) / total if total else 0.0)
     words = CoreWords(pa.array([r[1] for r in rows], pa.large_string()))
-    telling = telling_words(words, toxic)
-    tags = (telling[words.codes] & toxic[words.text_of]).astype(np.int64)
+    bad = toxic[words.text_of]
+    tags = crossed_tags(words, (telling_words(words, toxic)[words.codes] & bad).astype(np.int64)) * bad
     crf = fit(words, tags, 2)
     gamma = crf.marginals(crf.emissions(word_features(words.vocabulary))[words.codes], *chains_of(words.bounds))
     weight = np.where(toxic, share.get(True, 0) / toxic.sum(), share.get(False, 0) / (~toxic).sum()) * len(rows) / total
     return ToxicModel(crf, _logistic(summary(gamma[:, 1], words.bounds), toxic.astype(float), weight), 0.0)
 
 
-def _score(shared):
+def _score(shared, kept: list[str]):
     def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model: ToxicModel = shared.value
-        for table in batches(frames, size=6 << 20):
+        for table in batches(frames, size=2 << 20):
             words = CoreWords(table["text"])
             n = table.num_rows
             score, spans = np.full(n, model.prior), [[] for _ in range(n)]
@@ -120,28 +142,30 @@ def _score(shared):
                 for i, a, b, p in zip(of.tolist(), (points[words.start[hit]] - base).tolist(), (points[words.end[hit]] - base).tolist(), gamma[hit].tolist(), strict=True):
                     spans[i].append({"start": a, "end": b, "p": p})
             yield pa.RecordBatch.from_arrays(
-                [table["doc_id"].combine_chunks(), table["carried"].combine_chunks(), pa.array(score, pa.float64()), pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("p", pa.float64())])))],
-                ["doc_id", "carried", "score", "spans"],
+                [*(table[c].combine_chunks() for c in kept), pa.array(score, pa.float64()), pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("p", pa.float64())])))],
+                [*kept, "score", "spans"],
             )
 
     return run
 
 
-def score_toxicity(docs: DataFrame, learn_from: DataFrame, labels: DataFrame, per_label: int = 1500, carry: tuple[str, ...] = ()) -> DataFrame:
+def score_toxicity(docs: DataFrame, learn_from: DataFrame, labels: DataFrame, per_label: int = 1500, carry: tuple[str, ...] = (), with_text: bool = False) -> DataFrame:
     """Returns ``doc_id``, ``carried`` (struct of the columns in ``carry``),
     ``score`` (0 to 1) and ``spans`` (code point offsets of offending words,
-    end exclusive, with their marginals) for each row of ``docs``.
+    end exclusive, with their marginals) for each row of ``docs``, and its
+    ``text`` if ``with_text`` (not by ``carry``, which would send it twice).
 
     Null text counts as empty, and an empty text gets the score of a text
     without a toxic word.  Labels with a null or for unknown documents teach
     nothing, of several for one document the largest counts; without both
-    kinds of label every score is the share of toxic labels.  Repeated rows
-    are scored alike and all returned; an empty table gives an empty one;
-    columns not named are ignored.
+    kinds of label every score is the share of toxic labels.  A word at a
+    marginal of exactly one half is no offence.  Repeated rows are scored
+    alike and all returned; a text of any length is one chain; an empty table
+    gives an empty one; columns not named are ignored.
     """
     model = train(learn_from, labels, per_label)
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    id_type = docs.schema["doc_id"].dataType.simpleString()
     whole = docs.select("doc_id", "text", (F.struct(*carry) if carry else F.struct(F.lit(0).alias("none"))).alias("carried"))
-    carried = whole.schema["carried"].dataType.simpleString()
-    return whole.mapInArrow(_score(shared), f"doc_id {id_type}, carried {carried}, score double, spans {SPAN}")
+    kept = ["doc_id", *["text"] * with_text, "carried"]
+    schema = ", ".join(f"{c} {whole.schema[c].dataType.simpleString()}" for c in kept)
+    return whole.mapInArrow(_score(shared, kept), f"{schema}, score double, spans {SPAN}")
