@@ -104,7 +104,7 @@ def _sets(wanted):
 
     def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in batches(frames, size=12 << 20):
-            ids = table["node"].combine_chunks().fill_null(0).to_numpy(zero_copy_only=False)
+            ids = table["doc_id"].combine_chunks().fill_null(0).to_numpy(zero_copy_only=False)
             texts = table["text"].combine_chunks().filter(pa.array(may_hold(wanted.value, ids), pa.bool_()))
             for k in range(0, len(texts), 1024):
                 sets = shingle_sets(texts.slice(k, 1024))
@@ -198,6 +198,15 @@ def _blocks(members: DataFrame) -> DataFrame:
     return left.unionByName(right)
 
 
+def _same_document(signed: DataFrame, classes: DataFrame) -> DataFrame:
+    """Edges between the classes that one doc_id has texts of."""
+    several = signed.groupBy("doc_id").agg(F.min("set_id").alias("one"), F.max("set_id").alias("other")).where("one <> other").select("doc_id", "one")
+    pairs = materialize(signed.select("doc_id", "set_id").join(several, "doc_id").select("set_id", "one").where("set_id <> one").distinct(), "same-document")
+    named = classes.select("set_id", "node")
+    a = pairs.join(named.withColumnRenamed("node", "a"), "set_id").select("a", F.col("one").alias("set_id"))
+    return a.join(named.withColumnRenamed("node", "b"), "set_id").select("a", "b")
+
+
 def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     """Links documents with 100 * |A & B| >= percent * |A | B| over their sets
     of five-word shingles (A-Z lower-cased, words without ASCII white space;
@@ -208,18 +217,20 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
 
     Null or empty text, or text without a word: an empty set, linked with
     nothing.  Null doc_id: linked with nothing, component_id null, kept.
-    Repeated rows: one node, each row returned; different texts under one
-    doc_id are linked through it.  An empty table gives an empty one.  Other
-    columns are ignored.
+    Repeated rows: one class, each row returned; different texts under one
+    doc_id are linked through it.  A similarity of exactly ``percent`` is a
+    link.  An empty table gives an empty one.  Other columns are ignored.
     """
     t = match_threshold(percent)
     id_type = docs.schema["doc_id"].dataType.simpleString()
     signed = materialize(docs.select("doc_id", "text").mapInArrow(_sign, f"doc_id {id_type}, n_shingles long, set_id binary, sig array<int>"), "signatures")
     some = signed.where("n_shingles > 0 and doc_id is not null")
     classes = materialize(
-        some.groupBy("set_id").agg(F.min("doc_id").cast("long").alias("node"), F.first("n_shingles").alias("n_shingles"), F.first("sig").alias("sig")), "classes"
+        some.groupBy("set_id")
+        .agg(F.min("doc_id").cast("long").alias("least"), F.first("n_shingles").alias("n_shingles"), F.first("sig").alias("sig"))
+        .withColumn("node", F.monotonically_increasing_id()),
+        "classes",
     )
-    # Different sets under one doc_id share a node, and so one row of signature.
     token = F.shiftleft(F.col("value").cast("long"), 6) + F.col("coordinate")
     posted = classes.select("node", F.posexplode("sig").alias("coordinate", "value")).select("node", token.alias("token"))
     common = posted.groupBy("token").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
@@ -237,7 +248,8 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     # Texts are not shuffled: a filter of bounded size picks those to read again.
     involved = materialize(stars.select("node").union(stars.select("pivot")).distinct(), "involved")
     rows = classes.join(involved, "node", "left_semi")
-    read = docs.select(F.col("doc_id").cast("long").alias("node"), "text").mapInArrow(_sets(id_filter(involved)), "set_id binary, members binary")
+    wanted = id_filter(rows.select("least").distinct())
+    read = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_sets(wanted), "set_id binary, members binary")
     members = read.join(rows.select("set_id"), "set_id", "left_semi").groupBy("set_id").agg(F.first("members").alias("members"))
     full = materialize(rows.join(members, "set_id").select("node", "n_shingles", "sig", "members"), "sets")
 
@@ -255,7 +267,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
         .select("pivot", "node", "x", "y")
     )
     links = pairs.mapInArrow(_confirm(percent), "a long, b long")
-    found = components(links)
+    found = components(links.unionByName(_same_document(some, classes)))
 
     def labelled(nodes: DataFrame) -> DataFrame:
         return nodes.join(found, "node", "left").select(*[c for c in nodes.columns], F.coalesce("component", "node").alias("comp"))
@@ -277,7 +289,9 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
         joined = components(b).select(F.col("node").alias("component"), F.col("component").alias("top"))
         all_nodes = labelled(classes.select("node").distinct()).select("node", F.col("comp").alias("component"))
         found = materialize(all_nodes.join(joined, "component", "left").select("node", F.coalesce("top", "component").alias("component")), "components")
-    of_set = classes.select("set_id", "node").join(found, "node", "left").select(F.col("set_id").alias("of_set"), F.coalesce("component", "node").cast(id_type).alias("component"))
+    placed = classes.select("set_id", "node", "least").join(found, "node", "left").select("set_id", "least", F.coalesce("component", "node").alias("component"))
+    tops = placed.groupBy("component").agg(F.min("least").cast(id_type).alias("top"))
+    of_set = placed.join(tops, "component").select(F.col("set_id").alias("of_set"), F.col("top").alias("component"))
     out = signed.select("doc_id", "n_shingles", "set_id").join(of_set, F.col("set_id") == F.col("of_set"), "left")
     component = F.when(F.col("doc_id").isNull(), F.lit(None).cast(id_type)).when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("component"))
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
