@@ -11,11 +11,14 @@ _LOCAL: dict[str, str] = {}
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``; a temporary one of this machine
-    only where the setting is absent (tests on one machine)."""
+    """The folder in ``spark.checkpoint.dir``.  Where the setting is absent, a
+    temporary one, if driver and executors are one machine; else an error, as
+    executors would write where the others can't read."""
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if found:
         return found.rstrip("/")
+    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all machines of the cluster share")
     if "dir" not in _LOCAL:
         _LOCAL["dir"] = "file://" + tempfile.mkdtemp(prefix="wordloom-")
     return _LOCAL["dir"]
