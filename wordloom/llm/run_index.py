@@ -47,6 +47,8 @@ WIDTH, ANCHOR = 200, 48
 TURN = (WIDTH - ANCHOR) // 2
 FLANK = WIDTH - TURN
 BASE = np.uint64(0x9E3779B97F4A7C15)
+#: Bytes that the suffix order begins with, beside the group.
+START = 5
 
 
 _BYTES = mix(np.arange(256, dtype=np.uint64), 9)
@@ -248,39 +250,44 @@ class RunIndex:
     def _sort(self) -> np.ndarray:
         """Suffix order by prefix doubling; a region's end sorts before all
         bytes and ends are told apart by place.  Only rows whose rank is still
-        shared are sorted again."""
+        shared are sorted again, by one packed number each."""
         n = len(self.data)
+        bits = np.uint64(n.bit_length())
         place = np.arange(n, dtype=np.int32)
         left = self.end - place
-        key = np.zeros(n, np.uint64)
-        padded = np.concatenate([self.data, np.zeros(8, np.uint8)]).astype(np.uint64)
-        for j in range(7):
-            key |= np.where(left > j, padded[j : j + n] + np.uint64(1), np.uint64(0)) << np.uint64(9 * (6 - j))
-        order = np.lexsort((key, self.group)).astype(np.int32)
+        key = self.group.astype(np.uint64)
+        padded = np.concatenate([self.data, np.zeros(START, np.uint8)])
+        for j in range(START):
+            key = (key << np.uint64(8)) | np.where(left > j, padded[j : j + n], np.uint8(0))
+        order = np.argsort(key).astype(np.int32)
+        key = key[order]
         head = np.ones(n, bool)
-        head[1:] = (key[order[1:]] != key[order[:-1]]) | (self.group[order[1:]] != self.group[order[:-1]])
-        begin = np.maximum.accumulate(np.where(head, place, 0))
-        del key, padded
+        head[1:] = key[1:] != key[:-1]
         rank = np.empty(n, np.int32)
-        rank[order] = begin
-        span = 7
+        rank[order] = np.maximum.accumulate(np.where(head, place, 0))
+        del key, padded
+        span = START
         shared = np.zeros(n, bool)
         shared[:-1] = ~head[1:]
         shared[1:] |= ~head[1:]
         rows = np.flatnonzero(shared)
         while len(rows):
-            items = order[rows]
+            items = order[rows].astype(np.int64)
             nxt = items + span
             inside = nxt < self.end[items]
             follow = np.where(inside, rank[np.minimum(nxt, n - 1)].astype(np.int64) + n, items)  # past the end: by place
-            sub = np.lexsort((follow, rank[items]))
-            items, follow = items[sub], follow[sub]
+            both = (rank[items].astype(np.uint64) << (bits + np.uint64(1))) | follow.astype(np.uint64)
+            if 3 * n.bit_length() + 1 <= 64:
+                packed = (both << bits) | items.astype(np.uint64)
+                packed.sort()
+                items, both = (packed & ((np.uint64(1) << bits) - np.uint64(1))).astype(np.int32), packed >> bits
+            else:  # the place doesn't fit beside the two ranks
+                sub = np.argsort(both)
+                items, both = items[sub].astype(np.int32), both[sub]
             order[rows] = items
             lead = np.ones(len(rows), bool)
-            own = rank[items]
-            lead[1:] = (own[1:] != own[:-1]) | (follow[1:] != follow[:-1])
-            at = np.maximum.accumulate(np.where(lead, rows, 0))
-            rank[items] = at
+            lead[1:] = both[1:] != both[:-1]
+            rank[items] = np.maximum.accumulate(np.where(lead, rows, 0))
             again = np.zeros(len(rows), bool)
             again[:-1] = ~lead[1:]
             again[1:] |= ~lead[1:]
@@ -290,15 +297,19 @@ class RunIndex:
 
     def _common(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """Longest common prefixes of pairs of suffixes, eight bytes a step."""
-        padded = np.concatenate([self.data, np.zeros(8, np.uint8)])
-        words = np.lib.stride_tricks.sliding_window_view(padded, 8)
-        limit = np.minimum(self.end[a] - a, self.end[b] - b)
+        n = len(self.data)
+        padded = np.concatenate([self.data, np.zeros(8, np.uint8)]).astype(np.uint64)
+        words = np.zeros(n + 1, np.uint64)
+        for j in range(8):
+            words |= padded[j : j + n + 1] << np.uint64(8 * j)
+        limit = np.minimum(self.end[a] - a, self.end[b] - b).astype(np.int64)
         out = np.zeros(len(a), np.int64)
         live = np.arange(len(a))
         while len(live):
-            x, y = a[live] + out[live], b[live] + out[live]
-            equal = np.minimum(np.argmin(np.concatenate([words[np.minimum(x, len(self.data))] == words[np.minimum(y, len(self.data))], np.zeros((len(live), 1), bool)], axis=1), axis=1), limit[live] - out[live])
-            out[live] += equal
+            x = words[a[live] + out[live]] ^ words[b[live] + out[live]]
+            low = x & (~x + np.uint64(1))  # the lowest bit that differs
+            equal = np.where(x == 0, 8, np.bitwise_count(low - np.uint64(1)) >> 3).astype(np.int64)
+            out[live] = np.minimum(out[live] + equal, limit[live])
             live = live[(equal == 8) & (out[live] < limit[live])]
         return out
 
