@@ -1,16 +1,17 @@
 """Secret scans with character Markov models, as DataFrame expressions.
 
 Three patterns find assignments, access keys and long hexadecimal strings.
-Beyond these, every token of at least ``MIN_TOKEN`` identifier characters is
+Beyond these, every token of at least ``LEAST`` identifier characters is
 scored by two first-order Markov models of its characters, one of random
-strings and one of ordinary identifiers: the log-likelihood ratio per
-character decides.  Both are trained from labelled samples: values that the
-patterns find and fixed-length hexadecimal strings are the random ones, and
-the words of a bounded sample of documents are the ordinary ones.
+strings and one of ordinary identifiers, and is a secret where the sum of its
+log-likelihood ratios reaches a threshold (the logarithm of how rare secrets
+are among tokens).  Both models are trained from labelled samples: the values
+that the patterns find are the random ones, and the tokens of documents
+without any match, words and numbers alike, are the ordinary ones.
 
 Nothing here leaves the JVM: positions come from splitting a text at its
 matches and adding up lengths, and scores from looking up pairs of characters
-in two constant arrays.
+in a constant array.  Work is in proportion to a text's length.
 """
 
 from __future__ import annotations
@@ -24,35 +25,78 @@ from pyspark.sql import functions as F
 ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]++)"""
 ACCESS = r"AKIA[A-Z0-9]{16,}+"
 HEX = r"[0-9a-f]{24,}+"
-MIN_TOKEN = 20
-TOKEN = rf"[A-Za-z0-9_+/=-]{{{MIN_TOKEN},}}+"
+#: Shorter strings are no keys: too few characters to be told from words.
+LEAST = 12
+TOKEN = rf"[A-Za-z0-9_+/=-]{{{LEAST},}}+"
+ORDINARY = r"[A-Za-z0-9_+/=-]{3,}+"
 #: The characters of the models.
 ALPHABET = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789_+/=-"
 SIZE = len(ALPHABET)
 KINDS = {"assign": 0, "access": 1, "hex": 2, "markov": 3}
 
 
+FOUND = "array<struct<start:int,rank:int,end:int,value:string>>"
+
+
+def _let(value: Column, then) -> Column:
+    """``then`` of a value that is computed once: an expression named inside a
+    lambda is computed anew at each of its calls."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
+
+
+def _chunks(values: Column) -> Column:
+    """An array cut into about as many chunks as each has elements."""
+
+    def cut(own: Column) -> Column:
+        wide = F.greatest(F.lit(1), F.ceil(F.sqrt(F.size(own))).cast("int"))
+        last = F.greatest(F.lit(0), F.floor((F.size(own) - 1) / wide).cast("int"))
+        return F.transform(F.sequence(F.lit(0), last), lambda k: F.slice(own, k * wide + 1, wide))
+
+    return _let(values, cut)
+
+
 def _matches(text: Column, pattern: str, kind: str, least: int = 0) -> Column:
     """Spans (start, rank, end, value) of a pattern's matches, leftmost first.
-    ``least``: the length that group 2 must have."""
+    ``least``: the length that group 2 must have.
+
+    Starts are running sums, first of chunks and then inside each, as an array
+    that grows by one element at a time is copied at each step."""
     whole = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    parts = F.split(text, pattern, -1)
     inner = F.regexp_extract_all(text, F.lit(pattern), F.lit(2)) if least else whole
-    lengths = F.transform(F.arrays_zip(parts.alias("p"), whole.alias("w"), inner.alias("i")), lambda z: F.struct(F.length(z["p"]).alias("gap"), z["w"].alias("w"), z["i"].alias("i")))
-    placed = F.aggregate(
-        lengths,
-        F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,rank:int,end:int,value:string>>").alias("found")),
-        lambda held, z: F.struct(
-            (held["at"] + z["gap"] + F.coalesce(F.length(z["w"]), F.lit(0))).alias("at"),
-            F.when(
-                z["w"].isNotNull(),
-                F.concat(held["found"], F.array(F.struct((held["at"] + z["gap"]).alias("start"), F.lit(KINDS[kind]).alias("rank"), (held["at"] + z["gap"] + F.length(z["w"])).alias("end"), z["i"].alias("value")))),
-            ).otherwise(held["found"]).alias("found"),
+    zipped = F.arrays_zip(F.slice(F.split(text, pattern, -1), 1, F.size(whole)).alias("p"), whole.alias("w"), inner.alias("i"))
+    pieces = F.transform(zipped, lambda z: F.struct(F.length(z["p"]).alias("gap"), F.length(z["w"]).alias("size"), z["i"].alias("value")))
+    step = lambda z: z["gap"] + z["size"]
+    chunk = "array<struct<gap:int,size:int,value:string>>"
+    begun = F.aggregate(
+        _chunks(pieces),
+        F.struct(F.lit(0).alias("at"), F.array().cast(f"array<struct<at:int,part:{chunk}>>").alias("parts")),
+        lambda held, c: F.struct(
+            (held["at"] + F.aggregate(c, F.lit(0), lambda x, z: x + step(z))).alias("at"),
+            F.concat(held["parts"], F.array(F.struct(held["at"].alias("at"), c.alias("part")))).alias("parts"),
         ),
-    )["found"]
+    )["parts"]
+
+    def spans(c: Column) -> Column:
+        return F.aggregate(
+            c["part"],
+            F.struct(c["at"].alias("at"), F.array().cast(FOUND).alias("found")),
+            lambda held, z: F.struct(
+                (held["at"] + step(z)).alias("at"),
+                F.concat(held["found"], F.array(F.struct((held["at"] + z["gap"]).alias("start"), F.lit(KINDS[kind]).alias("rank"), (held["at"] + step(z)).alias("end"), z["value"].alias("value")))).alias("found"),
+            ),
+        )["found"]
+
+    placed = F.flatten(F.transform(begun, spans))
     kept = F.filter(placed, lambda s: F.length(s["value"]) >= least) if least else placed
-    none = F.array().cast("array<struct<start:int,rank:int,end:int,value:string>>")
-    return F.when(text.rlike(pattern), kept).otherwise(none)
+    return F.when(text.rlike(pattern), kept).otherwise(F.array().cast(FOUND))
+
+
+def _outside(tokens: Column, base: Column) -> Column:
+    """Tokens that overlap no base span; spans are looked at by chunks."""
+    chunks = F.transform(_chunks(F.array_sort(base)), lambda c: F.struct(F.array_min(F.transform(c, lambda b: b["start"])).alias("lo"), F.array_max(F.transform(c, lambda b: b["end"])).alias("hi"), c.alias("own")))
+    meets = lambda s, lo, hi: (lo < s["end"]) & (s["start"] < hi)
+    apart = _let(chunks, lambda held: F.filter(tokens, lambda s: ~F.exists(held, lambda c: meets(s, c["lo"], c["hi"]) & F.exists(c["own"], lambda b: meets(s, b["start"], b["end"])))))
+    return F.when(F.size(base) == 0, tokens).otherwise(apart)
 
 
 def joined(spans: Column) -> Column:
@@ -61,15 +105,22 @@ def joined(spans: Column) -> Column:
     return F.array_join(F.transform(F.array_sort(spans), lambda s: F.concat_ws(":", F.get(kinds, s["rank"]), s["start"], s["end"])), ",")
 
 
-def _pair_code(token: Column, i: Column) -> Column:
-    """The index of the pair of characters at i and i + 1, from 1."""
-    a = F.instr(F.lit(ALPHABET), F.substring(token, i, F.lit(1)))
-    b = F.instr(F.lit(ALPHABET), F.substring(token, i + 1, F.lit(1)))
-    return (a - 1) * SIZE + b
+def _codes(token: Column) -> Column:
+    """The place of each character in the alphabet, from 0."""
+    return F.transform(F.split(token, ""), lambda c: F.instr(F.lit(ALPHABET), c) - 1)
 
 
 def _pairs(token: Column) -> Column:
-    return F.transform(F.sequence(F.lit(1), F.length(token) - 1), lambda i: _pair_code(token, i))
+    """The index of each pair of neighbouring characters."""
+    pairs = lambda codes: F.zip_with(codes, F.slice(codes, 2, F.size(codes)), lambda a, b: a * SIZE + b)
+    return F.filter(_let(_codes(token), pairs), lambda p: p.isNotNull())
+
+
+def _score(token: Column, ratios: Column) -> Column:
+    """The sum of a token's log-likelihood ratios, in one pass."""
+    begin = F.struct(F.lit(-1).alias("last"), F.lit(0.0).alias("sum"))
+    step = lambda held, c: F.struct(c.alias("last"), (held["sum"] + F.when(held["last"] < 0, 0.0).otherwise(F.get(ratios, held["last"] * SIZE + c))).alias("sum"))
+    return F.aggregate(_codes(token), begin, step)["sum"]
 
 
 def train(docs: DataFrame, documents: int = 2000) -> list[float]:
@@ -80,58 +131,55 @@ def train(docs: DataFrame, documents: int = 2000) -> list[float]:
     match and as many others (the documented bound), picked by a hash.
     """
     rows = docs.select(F.coalesce("doc_id", F.lit(-1)).alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    marked = rows.withColumn("hit", F.col("text").rlike(ACCESS) | F.col("text").rlike(HEX))
+    marked = rows.withColumn("hit", F.col("text").rlike(ACCESS) | F.col("text").rlike(HEX) | F.col("text").rlike(ASSIGN))
     counts = {r["hit"]: r["count"] for r in marked.groupBy("hit").count().collect()}
     u = F.pmod(F.xxhash64("doc_id", F.lit("secrets")), F.lit(1 << 40)) / float(1 << 40)
     share = F.when(F.col("hit"), documents / max(1, counts.get(True, 0))).otherwise(documents / max(1, counts.get(False, 0)))
     drawn = marked.where(u < share)
-    secret = F.concat(F.regexp_extract_all("text", F.lit(ACCESS), F.lit(0)), F.regexp_extract_all("text", F.lit(HEX), F.lit(0)))
+    values = F.filter(F.regexp_extract_all("text", F.lit(ASSIGN), F.lit(2)), lambda v: (F.length(v) >= 6) & ~v.contains("."))
+    secret = F.concat(F.regexp_extract_all("text", F.lit(ACCESS), F.lit(0)), F.regexp_extract_all("text", F.lit(HEX), F.lit(0)), values)
     random = drawn.where("hit").select(F.explode(F.array_distinct(secret)).alias("token"), F.lit(True).alias("random"))
-    words = F.array_distinct(F.regexp_extract_all("text", F.lit(r"[A-Za-z][A-Za-z_-]{2,}+"), F.lit(0)))
+    words = F.array_distinct(F.regexp_extract_all("text", F.lit(ORDINARY), F.lit(0)))
     plain = drawn.where("not hit").select(F.explode(words).alias("token"), F.lit(False).alias("random"))
     counted = random.unionByName(plain).select("random", F.explode(_pairs(F.col("token"))).alias("pair")).groupBy("random", "pair").count().collect()
     seen = {(r["random"], r["pair"]): r["count"] for r in counted}
     from_char = {}
     for (kind, pair), n in seen.items():
-        from_char[kind, (pair - 1) // SIZE] = from_char.get((kind, (pair - 1) // SIZE), 0) + n
-    # A random string may hold any character: its model is half the sample's
-    # and half the even chance over letters of one case and digits.
+        from_char[kind, pair // SIZE] = from_char.get((kind, pair // SIZE), 0) + n
+    # A random string may hold any character, so its model is half the sample's
+    # and half the even chance; an identifier may hold a pair that no sample
+    # has, so a tenth of its model is the even chance.
     out = []
-    for pair in range(1, SIZE * SIZE + 1):
-        a = (pair - 1) // SIZE
-        p = 0.5 * (seen.get((True, pair), 0) + 1) / (from_char.get((True, a), 0) + SIZE) + 0.5 / SIZE
-        q = (seen.get((False, pair), 0) + 1) / (from_char.get((False, a), 0) + SIZE)
-        out.append(math.log(p) - math.log(q))
+    for pair in range(SIZE * SIZE):
+        p, q = ((seen.get((kind, pair), 0) + 1) / (from_char.get((kind, pair // SIZE), 0) + SIZE) for kind in (True, False))
+        out.append(math.log(0.5 * p + 0.5 / SIZE) - math.log(0.9 * q + 0.1 / SIZE))
     return out
 
 
-def find_secrets(docs: DataFrame, model: list[float] | None = None, threshold: float = 0.5, documents: int = 2000) -> DataFrame:
+def find_secrets(docs: DataFrame, model: list[float] | None = None, threshold: float = 12.0, documents: int = 2000) -> DataFrame:
     """Returns for each row ``doc_id, n_assign, n_access, n_hex, base`` and
     ``spans``: arrays of (start, rank, end, value) in code points.
 
-    A token is a secret where its mean log-likelihood ratio is at least
-    ``threshold`` and it has a digit; tokens inside a base span add nothing.
-    Null or empty text has no span.  Repeated rows are scanned alike and all
-    returned; null doc_ids are returned as they are; an empty table gives an
-    empty one; other columns are ignored.
+    A token is a secret where the sum of its log-likelihood ratios is at least
+    ``threshold`` (a tie counts); tokens that overlap a base span add nothing.
+    Spans with one start are ordered by kind.  Null or empty text has no span.
+    Repeated rows are scanned alike and all returned; null doc_ids are
+    returned as they are; texts and tokens may have any length; an empty table
+    gives an empty one; other columns are ignored.
     """
-    ratios = train(docs, documents) if model is None else model
-    table = F.lit(",".join(f"{r:.6f}" for r in ratios))
-    scores = F.split(table, ",").cast("array<double>")
+    table = F.lit(",".join(f"{r:.6f}" for r in (train(docs, documents) if model is None else model)))
+    ratios = F.split(table, ",").cast("array<double>")
     text = F.coalesce(F.col("text"), F.lit(""))
     based = docs.select(
         "doc_id",
-        text.alias("text"),
         _matches(text, ASSIGN, "assign", least=6).alias("assign"),
         _matches(text, ACCESS, "access").alias("access"),
         _matches(text, HEX, "hex").alias("hex"),
-        F.filter(_matches(text, TOKEN, "markov"), lambda s: s["value"].rlike("[0-9]")).alias("tokens"),
+        F.filter(_matches(text, TOKEN, "markov"), lambda s: _score(s["value"], ratios) >= threshold).alias("tokens"),
     ).withColumn("base", F.concat("assign", "access", "hex"))
-    ratio = lambda s: F.aggregate(_pairs(s["value"]), F.lit(0.0), lambda x, pair: x + F.get(scores, pair - 1)) / (F.length(s["value"]) - 1)
-    more = F.filter("tokens", lambda s: ~F.exists("base", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])) & (ratio(s) >= threshold))
     return based.select(
         "doc_id",
         *(F.size(k).cast("long").alias(f"n_{k}") for k in ("assign", "access", "hex")),
         "base",
-        F.when(F.size("tokens") > 0, F.concat("base", more)).otherwise(F.col("base")).alias("spans"),
+        F.when(F.size("tokens") > 0, F.concat("base", _outside(F.col("tokens"), F.col("base")))).otherwise(F.col("base")).alias("spans"),
     )
