@@ -1,28 +1,42 @@
 """Nearest neighbours by score-aware (anisotropic) quantisation.
 
-Vectors are scaled to length one and cut into subspaces of two dimensions with
-16 codewords each, so a code takes four bits for each pair of dimensions.  The
-codebooks minimise a loss that weighs the residual parallel to the vector
-``eta`` times as much as the rest, since only the parallel part moves large
-inner products.  A scan adds up table entries over the four-bit codes of a
-block of rows for each query, and the best of each block are ranked by their
-exact cosine; a window then ranks what the blocks return.
+Vectors are scaled to length one, and what is left of each after its nearest
+coarse centre is cut into subspaces of two dimensions with 16 codewords each,
+so a code takes four bits for each pair of dimensions.  Codes and codebooks
+minimise a loss that weighs the residual parallel to the vector ``eta`` times
+as much as the rest, since only the parallel part moves large inner products;
+what parallel residual remains is stored as one number and divided out.
+
+A scan sends codes alone, not vectors: it adds up table entries over the
+four-bit codes of a block of rows for each query of a block of queries and
+keeps the best ``rerank`` rows.  The best of all blocks meet the original
+vectors by joins and are ranked by their exact cosine.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from wordloom.llm.shared import materialize
 
-WORDS = 16
-ROWS, QUERIES = 8192, 512
+WORDS, CENTRES = 16, 256
+ROWS, QUERIES = 1 << 15, 512
+
+
+@dataclass
+class Books:
+    """``centres`` (n, d) and codebooks (subspaces, 16, 2)."""
+
+    centres: np.ndarray
+    words: np.ndarray
+    weight: float
 
 
 def eta(dimensions: int, threshold: float = 0.2) -> float:
@@ -32,139 +46,159 @@ def eta(dimensions: int, threshold: float = 0.2) -> float:
 
 def _unit(x: np.ndarray) -> np.ndarray:
     """Rows of length one, with a zero column more if the number is odd."""
-    top = np.abs(x).max(axis=1, keepdims=True)
-    x = x / top
-    x = x / np.sqrt((x * x).sum(axis=1, keepdims=True))
+    x = x / np.maximum(np.abs(x).max(axis=1, keepdims=True), np.finfo(np.float64).tiny)
+    x = x / np.maximum(np.sqrt((x * x).sum(axis=1, keepdims=True)), 1e-300)
     return np.pad(x, ((0, 0), (0, x.shape[1] % 2))).astype(np.float32)
 
 
-def encode(x: np.ndarray, books: np.ndarray, weight: float, sweeps: int = 2) -> np.ndarray:
-    """Codes of unit rows: nearest codewords first, then coordinate descent on
-    the anisotropic loss, one subspace after another."""
-    n, m = len(x), len(books)
-    parts = x.reshape(n, m, 2)
-    codes = np.empty((n, m), np.uint8)
-    along = np.zeros(n, np.float32)
-    for s in range(m):
-        gap = parts[:, s, None, :] - books[s]
-        codes[:, s] = (gap * gap).sum(axis=2).argmin(axis=1)
-        along += ((parts[:, s] - books[s][codes[:, s]]) * parts[:, s]).sum(axis=1)
-    for _ in range(sweeps):
+def _cells(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
+    return ((centres * centres).sum(axis=1) - 2 * (x @ centres.T)).argmin(axis=1)
+
+
+def _codes(x: np.ndarray, y: np.ndarray, words: np.ndarray, weight: float, sweeps: int = 2) -> np.ndarray:
+    """Codes of the residuals ``y`` of unit rows ``x``: nearest codewords
+    first, then coordinate descent on the anisotropic loss."""
+    n, m = len(x), len(words)
+    own, parts = x.reshape(n, m, 2), y.reshape(n, m, 2)
+    codes, along = np.empty((n, m), np.uint8), np.zeros(n, np.float32)
+    rows = np.arange(n)
+    for sweep in range(sweeps + 1):
         for s in range(m):
-            gap = parts[:, s, None, :] - books[s]
-            own = (gap * parts[:, s, None, :]).sum(axis=2)
-            along -= own[np.arange(n), codes[:, s]]
-            loss = (gap * gap).sum(axis=2) + (weight - 1) * (along[:, None] + own) ** 2
+            gap = parts[:, s, None, :] - words[s]
+            parallel = (gap * own[:, s, None, :]).sum(axis=2)
+            loss = (gap * gap).sum(axis=2)
+            if sweep:
+                along -= parallel[rows, codes[:, s]]
+                loss += (weight - 1) * (along[:, None] + parallel) ** 2
             codes[:, s] = loss.argmin(axis=1)
-            along += own[np.arange(n), codes[:, s]]
+            along += parallel[rows, codes[:, s]]
     return codes
 
 
-def fit(x: np.ndarray, rounds: int = 4, threshold: float = 0.2) -> np.ndarray:
-    """Codebooks (subspaces, 16, 2) from unit rows."""
+def encode(x: np.ndarray, books: Books) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Cell, codes and parallel residual of unit rows."""
+    cell = _cells(x, books.centres)
+    y = x - books.centres[cell]
+    codes = _codes(x, y, books.words, books.weight)
+    m = len(books.words)
+    rest = y - np.concatenate([books.words[s][codes[:, s]] for s in range(m)], axis=1)
+    return cell, codes, (rest * x).sum(axis=1)
+
+
+def fit(x: np.ndarray, rounds: int = 4, threshold: float = 0.2) -> Books:
+    """Centres by Lloyd's rounds and codebooks by alternating codes and
+    codewords, from unit rows."""
     n, d = x.shape
-    m = d // 2
-    weight = eta(d, threshold)
-    parts = x.reshape(n, m, 2)
+    m, weight = d // 2, eta(d, threshold)
+    start = np.lexsort((np.arange(n), (x @ np.cos(np.arange(d, dtype=np.float32)))))
+    centres = x[start[np.linspace(0, n - 1, max(1, min(CENTRES, n // 32))).astype(int)]].copy()
+    for _ in range(10):
+        cell = _cells(x, centres)
+        count = np.bincount(cell, minlength=len(centres))
+        total = np.stack([np.bincount(cell, x[:, k], len(centres)) for k in range(d)], axis=1)
+        centres = np.where(count[:, None] > 0, total / np.maximum(count, 1)[:, None], centres).astype(np.float32)
+    y = x - centres[_cells(x, centres)]
+    own, parts = x.reshape(n, m, 2), y.reshape(n, m, 2)
     order = np.linspace(0, n - 1, WORDS).astype(int)
-    books = np.stack([parts[np.lexsort((parts[:, s, 1], parts[:, s, 0]))[order], s] for s in range(m)]).astype(np.float32)
-    for _ in range(10):  # Lloyd's rounds for a start
+    words = np.stack([parts[np.lexsort((parts[:, s, 1], parts[:, s, 0]))[order], s] for s in range(m)]).astype(np.float32)
+    for step in range(rounds + 6):
+        plain = step < 6  # without the parallel part, for a start
+        codes = _codes(x, y, words, weight, 0 if plain else 2)
+        gaps = np.stack([((parts[:, s] - words[s][codes[:, s]]) * own[:, s]).sum(axis=1) for s in range(m)], axis=1)
+        w = 0.0 if plain else weight - 1
         for s in range(m):
-            gap = parts[:, s, None, :] - books[s]
-            code = (gap * gap).sum(axis=2).argmin(axis=1)
+            # Each codeword of a subspace solves two equations, the others fixed.
+            others = gaps.sum(axis=1) - gaps[:, s]
+            pull = w * (others + (parts[:, s] * own[:, s]).sum(axis=1))
+            code = codes[:, s]
             count = np.bincount(code, minlength=WORDS)
-            for c in range(2):
-                mean = np.bincount(code, parts[:, s, c], WORDS) / np.maximum(count, 1)
-                books[s, :, c] = np.where(count > 0, mean, books[s, :, c])
-    for _ in range(rounds):
-        codes = encode(x, books, weight)
-        size = m * WORDS * 2
-        a, b = np.zeros((size, size)), np.zeros(size)
-        for k in range(0, n, 2048):
-            rows = x[k : k + 2048]
-            z = np.zeros((len(rows), size), np.float32)
-            at = (np.arange(m) * WORDS + codes[k : k + 2048]) * 2
-            for c in range(2):
-                np.put_along_axis(z, at + c, rows[:, c::2], axis=1)
-            a += (weight - 1) * (z.T @ z)
-            b += weight * z.sum(axis=0)
-            a[np.diag_indices(size)] += np.bincount(np.concatenate([at.ravel(), at.ravel() + 1]), minlength=size)
-        empty = a[np.diag_indices(size)] == 0
-        a[np.diag_indices(size)] += np.where(empty, 1.0, 1e-3)
-        b[empty] = books.reshape(-1)[empty]
-        books = np.linalg.solve(a, b).reshape(m, WORDS, 2).astype(np.float32)
-    return books
-
-
-def _encode(shared, threshold: float):
+            a = np.zeros((WORDS, 2, 2))
+            b = np.zeros((WORDS, 2))
+            for i in range(2):
+                b[:, i] = np.bincount(code, parts[:, s, i] + pull * own[:, s, i], WORDS)
+                for j in range(2):
+                    a[:, i, j] = np.bincount(code, w * own[:, s, i] * own[:, s, j], WORDS) + (count + 1e-6) * (i == j)
+            words[s] = np.where(count[:, None] > 0, np.linalg.solve(a, b[:, :, None])[:, :, 0], words[s])
+            gaps[:, s] = ((parts[:, s] - words[s][code]) * own[:, s]).sum(axis=1)
+    return Books(centres, words, weight)
+
+
+def _matrix(vectors: list, size: int) -> np.ndarray:
+    """Rows cut or filled up with zeros to one length."""
+    out = np.zeros((len(vectors), size))
+    for i, v in enumerate(vectors):
+        out[i, : min(size, len(v))] = v[:size]
+    return out
+
+
+def _encode(shared, size: int):
     def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        books = shared.value
         for frame in frames:
             if not frame.num_rows:
                 continue
-            x = np.stack([np.asarray(v, np.float64) for v in frame.column("embedding").to_pylist()])
-            d = x.shape[1] + x.shape[1] % 2
-            codes = encode(_unit(x), books, eta(d, threshold))
+            vectors = frame.column(frame.schema.get_field_index("embedding"))
+            cell, codes, parallel = encode(_unit(_matrix(vectors.to_pylist(), size)), shared.value)
             codes = np.pad(codes, ((0, 0), (0, codes.shape[1] % 2)))
             packed = codes[:, 0::2] | (codes[:, 1::2] << 4)
-            yield pa.RecordBatch.from_arrays([frame.column("vec_id"), pa.array([v.tobytes() for v in x], pa.binary()), pa.array([p.tobytes() for p in packed], pa.binary())], ["vec_id", "vector", "code"])
+            yield pa.RecordBatch.from_arrays(
+                [*frame.columns, pa.array(cell.astype(np.int32)), pa.array([p.tobytes() for p in packed], pa.binary()), pa.array(parallel.astype(np.float32))],
+                [*frame.schema.names, "cell", "code", "parallel"],
+            )
 
     return run
 
 
-def cosine(x: np.ndarray, q: np.ndarray) -> np.ndarray:
-    """Cosines in double precision, summed dimension by dimension, so equal
-    vectors get equal values wherever they are."""
-    dot, xx, qq = np.zeros(len(x)), np.zeros(len(x)), 0.0
-    for d in range(x.shape[1]):
-        dot += x[:, d] * q[d]
-        xx += x[:, d] * x[:, d]
-        qq += q[d] * q[d]
-    return dot / (np.sqrt(xx) * np.sqrt(qq))
-
-
-def _scan(shared, k: int, rerank: int):
+def _scan(shared, size: int, rerank: int):
     def run(key, rows: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
         books = shared.value
-        out: list[tuple[int, int, float]] = []
+        out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         if len(rows) and len(queries):
-            rows = rows.sort_values("vec_id", ignore_index=True)
-            ids = rows["vec_id"].to_numpy()
+            rids, cell = rows["rid"].to_numpy(), rows["cell"].to_numpy()
             codes = np.stack([np.frombuffer(c, np.uint8) for c in rows["code"]]).T.copy()
-            x = np.stack([np.frombuffer(v) for v in rows["vector"]])
+            gain = 1 / np.maximum(1 - rows["parallel"].to_numpy(np.float32), np.float32(0.1))
             low, high = np.arange(256) & 15, np.arange(256) >> 4
-            for query, vector in zip(queries["vec_id"].tolist(), queries["vector"], strict=True):
-                q = np.frombuffer(vector)
-                tables = (_unit(q[None])[0].reshape(len(books), 1, 2) * books).sum(axis=2)
-                tables = np.pad(tables, ((0, len(books) % 2), (0, 0)))
-                score = np.zeros(len(ids), np.float32)
+            unit = _unit(_matrix(queries["embedding"].tolist(), size))
+            for query, q in zip(queries["rid"].tolist(), unit, strict=True):
+                tables = (q.reshape(len(books.words), 1, 2) * books.words).sum(axis=2)
+                tables = np.pad(tables, ((0, len(tables) % 2), (0, 0)))
+                score = (books.centres @ q)[cell]
                 for s in range(len(codes)):
                     score += (tables[2 * s][low] + tables[2 * s + 1][high])[codes[s]]
-                score[ids == query] = -np.inf
-                # All rows that tie with the last one are ranked too.
+                score *= gain
+                score[rids == query] = -np.inf
+                # All rows that tie with the last one are kept too.
                 cut = np.partition(score, -rerank)[-rerank] if len(score) > rerank else -np.inf
-                at = np.flatnonzero((score >= cut) & (ids != query))
-                exact = cosine(x[at], q)
-                best = np.lexsort((ids[at], -exact))[:k]
-                out += zip([query] * len(best), ids[at][best].tolist(), exact[best].tolist(), strict=True)
-        return pd.DataFrame(out, columns=["query_id", "vec_id", "score"]).astype({"query_id": "int64", "vec_id": "int64", "score": "float64"})
+                at = np.flatnonzero((score >= cut) & (rids != query))
+                out.append((np.full(len(at), query), rids[at], score[at]))
+        cols = [np.concatenate(c) for c in zip(*out, strict=True)] if out else [[], [], []]
+        return pd.DataFrame({"query": np.asarray(cols[0], np.int64), "rid": np.asarray(cols[1], np.int64), "near": np.asarray(cols[2], np.float64)})
 
     return run
 
 
-def nearest(vectors: DataFrame, every: int = 50, k: int = 5, rerank: int = 100, sample: int = 10_000, threshold: float = 0.2) -> DataFrame:
+def _dot(a: str, b: str) -> Column:
+    """An inner product in double precision, added up from the first dimension
+    to the last; the shorter array counts as ending in zeros."""
+    product = F.zip_with(a, b, lambda x, y: F.coalesce(x * y, F.lit(0.0)))
+    return F.aggregate(product, F.lit(0.0), lambda x, y: x + y)
+
+
+def nearest(vectors: DataFrame, every: int = 50, k: int = 5, rerank: int = 200, sample: int = 10_000, threshold: float = 0.2) -> DataFrame:
     """The ``k`` nearest rows found by cosine for each row whose vec_id is
     divisible by ``every``: ``query_id, rank, vec_id, score``, nearest first,
     ties to the smaller vec_id.
 
-    The codebooks are fitted on about ``sample`` rows (the documented bound);
-    every row is indexed and scanned.  ``rerank`` rows of each block of about
-    8,192, and all that tie with the last, are ranked exactly.
-
-    Null ids or vectors, vectors of zeros, with null or non-finite components,
-    or of another length than most, take no part.  Rows with one vec_id are
-    one vector (the smallest of theirs).  Fewer rows than ``k``: all of them.
-    An empty table gives an empty one; other columns are ignored.
+    Centres and codebooks are fitted on about ``sample`` rows (the documented
+    bound); every row is indexed and scanned, and the best ``rerank`` rows of
+    each query by their codes, and all that tie with the last, are ranked
+    exactly.
+
+    Null ids or vectors, vectors of zeros or with null or non-finite
+    components take no part.  Rows with one vec_id are rows of their own: each
+    may be found, and each asks if its id does.  A vector shorter than another
+    counts as ending in zeros; codes look at as many components as most rows
+    have.  Fewer rows than ``k``: all of them.  An empty table gives an empty
+    one; other columns are ignored.
     """
     spark = vectors.sparkSession
     v = F.col("embedding").cast("array<double>")
@@ -173,21 +207,27 @@ def nearest(vectors: DataFrame, every: int = 50, k: int = 5, rerank: int = 100,
         & F.forall("embedding", lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf")))
         & F.exists("embedding", lambda c: c != 0)
     )
-    one = fine.groupBy("vec_id").agg(F.min("embedding").alias("embedding"))
-    stats = one.groupBy(F.size("embedding").alias("size")).count().orderBy(F.desc("count"), "size").first()
-    size, n = (stats["size"], stats["count"]) if stats else (1, 0)
-    one = one.where(F.size("embedding") == size)
-    u = F.pmod(F.xxhash64("vec_id", F.lit("sample")), F.lit(1 << 40)) / float(1 << 40)
-    drawn = [r["embedding"] for r in one.where(u * n < sample).orderBy("vec_id").collect()]
-    x = _unit(np.array(drawn or [[1.0] * size]))
-    shared = spark.sparkContext.broadcast(fit(x, threshold=threshold))
-    index = materialize(one.mapInArrow(_encode(shared, threshold), "vec_id long, vector binary, code binary"), "index")
+    sizes = fine.groupBy(F.size("embedding").alias("size")).count()
+    n = sizes.agg(F.sum("count")).first()[0] or 0
+    most = sizes.orderBy(F.desc("count"), "size").first()
+    size = most["size"] if most else 1
+    hashed = F.xxhash64("vec_id", "embedding", F.lit("sample"))
+    u = F.pmod(hashed, F.lit(1 << 40)) / float(1 << 40)
+    drawn = fine.where(u * n < sample).orderBy(hashed, "vec_id").limit(2 * sample).collect()
+    shared = spark.sparkContext.broadcast(fit(_unit(_matrix([r["embedding"] for r in drawn] or [[1.0]], size)), threshold=threshold))
+    numbered = fine.select(F.monotonically_increasing_id().alias("rid"), "vec_id", "embedding")
+    index = materialize(numbered.mapInArrow(_encode(shared, size), "rid long, vec_id long, embedding array<double>, cell int, code binary, parallel float"), "index")
+    asks = F.col("vec_id") % every == 0
     row_blocks, query_blocks = max(1, -(-n // ROWS)), max(1, -(-n // (every * QUERIES)))
-    block = F.pmod(F.xxhash64("vec_id"), F.lit(row_blocks)).alias("rb")
-    rows = index.select("*", block, F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1))).alias("qb"))
-    chosen = index.where(F.col("vec_id") % every == 0).select("vec_id", "vector")
-    asked = chosen.select("*", F.pmod(F.xxhash64("vec_id"), F.lit(query_blocks)).alias("qb"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(row_blocks - 1).cast("long"))).alias("rb"))
-    keyed = [d.withColumn("rb", F.col("rb").cast("long")).withColumn("qb", F.col("qb").cast("long")).groupBy("rb", "qb") for d in (rows, asked)]
-    found = keyed[0].cogroup(keyed[1]).applyInPandas(_scan(shared, k, rerank), "query_id long, vec_id long, score double")
-    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    over = lambda blocks: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long")))
+    rows = index.select("rid", "cell", "code", "parallel", F.pmod(F.xxhash64("rid"), F.lit(row_blocks)).alias("rb"), over(query_blocks).alias("qb"))
+    asked = index.where(asks).select("rid", "embedding", F.pmod(F.xxhash64("rid"), F.lit(query_blocks)).alias("qb"), over(row_blocks).alias("rb"))
+    found = rows.groupBy("rb", "qb").cogroup(asked.groupBy("rb", "qb")).applyInPandas(_scan(shared, size, rerank), "query long, rid long, near double")
+    first = Window.partitionBy("query").orderBy(F.desc("near"))
+    best = found.withColumn("nth", F.rank().over(first)).where(F.col("nth") <= rerank).select("query", "rid")
+    theirs = index.select("rid", "vec_id", F.col("embedding").alias("x"))
+    own = index.where(asks).select(F.col("rid").alias("query"), F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
+    cosine = _dot("x", "q") / (F.sqrt(_dot("x", "x")) * F.sqrt(_dot("q", "q")))
+    exact = best.join(theirs, "rid").join(own, "query").select("query", "query_id", "vec_id", cosine.alias("score"))
+    order = Window.partitionBy("query").orderBy(F.desc("score"), "vec_id")
+    return exact.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
