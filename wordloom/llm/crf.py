@@ -220,12 +220,12 @@ class Crf:
         return out, (alpha[inner - 1] * norm).T.astype(np.float64) @ ahead * move
 
 
-def fit(words: CoreWords, tags: np.ndarray, labels: int, epochs: int = 5, parts: int = 8, rate: float = 0.3, decay: float = 1e-6, only: np.ndarray | None = None) -> Crf:
-    """Conditional maximum likelihood by AdaGrad over parts of the chains.
-    ``tags``: a label for each word; ``only``: whether to learn from a chain.
-    The order is fixed, so reruns agree."""
+def fit(words: CoreWords, tags: np.ndarray, labels: int, epochs: int = 5, parts: int = 8, rate: float = 0.3, decay: float = 1e-6, only: np.ndarray | None = None, chains: tuple | None = None) -> Crf:
+    """Conditional maximum likelihood by AdaGrad over parts of the chains
+    (``chains``: others than the texts; ``only``: whether to learn from each).
+    ``tags``: a label for each word.  The order is fixed, so reruns agree."""
     model = Crf.zeros(labels)
-    begin, length = chains_of(words.bounds)
+    begin, length = chains_of(words.bounds) if chains is None else chains
     if only is not None:
         begin, length = begin[only], length[only]
     features = word_features(words.vocabulary)
