@@ -29,6 +29,38 @@ def quality(text):
     return (n, sum(map(len, words)), len(re.findall(r"[#*$%&|<>]", text)), dup, len(inside), n < 10 or 100 * len(inside) > 20 * n)
 
 
+PHRASES = """all rights reserved/cookie policy/use cookies/privacy policy/terms of service/terms of use/lorem ipsum/enable javascript/permission is hereby granted/licensed under the/copyright (c)/subscribe to our newsletter/alle rechte vorbehalten/verwendet cookies/datenschutzerklärung/allgemeine geschäftsbedingungen/tous droits réservés/utilise des cookies/politique de confidentialité/mentions légales/todos los derechos reservados/utiliza cookies/política de privacidad/aviso legal""".split("/")
+ENDS = tuple(".!?…:;\"')]»”’。！？")
+
+
+def line_rules(text):
+    """(kept, words left, the lines that pass)."""
+    lines = [x for x in (text or "").split("\n")]
+    full = [x for x in lines if WORD.search(x)]
+    short = [len(WORD.findall(x)) <= 3 and not WORD.findall(x)[-1].endswith(ENDS) for x in full]
+    passed, seen, at, left = [], set(), -1, 0
+    for line in lines:
+        w = WORD.findall(line)
+        if not w:
+            passed.append(line)
+            continue
+        at += 1
+        lone = sum(x in ("|", ">", "»", "•", "·", "/") for x in w)
+        bad = 2 * sum(len(re.findall(r"[#*$%&|<>]", x)) >= 2 for x in w) > len(w)
+        bad |= len(w) >= 3 and all(x[-1] in "!?*#%$&|" for x in w)
+        bad |= len(w) >= 5 and not any(x.endswith(ENDS) for x in w)
+        bad |= lone >= 2 and 5 * lone >= len(w)
+        bad |= short[at] and any(short[i] for i in (at - 1, at + 1) if 0 <= i < len(short))
+        bad |= any(p in line.lower() for p in PHRASES)
+        bad |= line in seen
+        seen.add(line)
+        if not bad:
+            passed.append(line)
+            left += len(w)
+    n, failed = len(WORD.findall(text or "")), quality(text)[-1]
+    return (not failed and 2 * left >= n, left, "\n".join(passed))
+
+
 def shingles(text):
     words = WORD.findall((text or "").translate(LOWER))
     return {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set()

@@ -12,6 +12,7 @@ sys.path.insert(0, str(Path(__file__).parent))
 import brute  # noqa: E402
 
 from wordloom.llm import queries as q  # noqa: E402
+from wordloom.llm.line_rules import clean_lines  # noqa: E402
 
 
 @pytest.fixture(scope="module")
@@ -26,8 +27,20 @@ def rows(df, *names):
 def test_quality_rules(spark, sf, docs):
     got = rows(q.op2_quality_rules(spark, sf), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
     assert got == {d: brute.quality(t) for d, t in docs.items()}
-    kept = rows(q.op2_quality_rules(spark, sf), "kept", "base_failed")
-    assert all(not (k and b) for k, b in kept.values())
+    out = clean_lines(q.table(spark, sf, "documents"))
+    assert rows(out, "kept", "words_left", "clean_text") == {d: brute.line_rules(t) for d, t in docs.items()}
+    quality = {r["doc_id"]: r["quality"] for r in q.table(spark, sf, "labels").collect()}
+    kept = rows(out, "kept")
+    for label, least in ((1, 0.97), (0, 0.6)):
+        known = [kept[d][0] == label for d, x in quality.items() if x == label and d in kept and len(brute.WORD.findall(docs[d] or "")) >= 10]
+        assert sum(known) >= least * len(known), (label, sum(known), len(known))
+
+
+def test_line_rules_by_hand(spark):
+    texts = ["About the war.\nWe went home.", "Home\nAbout us\nLogin\nIt is a fine day today.", "a | b | c | d", "These words have no sentence end at all", "Über uns\nImpressum\nSo ist es.", "All Rights Reserved 2020.\nFine.", "wow! so! big!"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r["clean_text"] for r in clean_lines(df).collect()}
+    assert got == {0: texts[0], 1: "It is a fine day today.", 2: "", 3: "", 4: "So ist es.", 5: "Fine.", 6: ""}
 
 
 def test_near_duplicates(spark, sf, docs):

@@ -2,14 +2,18 @@
 
 A line with a word fails when
 
-* punctuation: fewer than half of its words are free of symbol runs, or at
-  least three words all end in one of ``! ? * # % $ & |``;
-* navigation: it has at most three words, one of them a menu word, and does
-  not end a sentence, or at least two separators ``|``, ``>`` or ``»`` stand
-  alone in it;
-* boilerplate: it holds a phrase of ``BOILERPLATE``;
+* punctuation: more than half of its words hold two symbols or more, or at
+  least three words all end in one of ``! ? * # % $ & |``, or it has at least
+  five words of which none ends a sentence;
+* navigation: at least two separators stand alone in it and make a fifth of
+  its words, or it has at most three words, ends no sentence, and a line of
+  that kind stands next to it (a list of links);
+* boilerplate: it holds a phrase of ``BOILERPLATE``, in any case;
 * repetition: it equals an earlier line of its text (a page furniture line).
 
+The first two look at form alone and so hold for any language that ends
+sentences with a mark.
+
 A document is rejected when the lines that are left hold less than
 ``min_share`` of its words, or when a base rule fails.  A text is kept as a
 whole in the statistics: nothing here looks at a prefix or caps a count.
@@ -27,13 +31,20 @@ from pyspark.sql import functions as F
 
 from wordloom.llm.textcols import Words, batches, lower_ascii, text_bytes
 
-#: Phrases of licence, cookie and script notices, menu words.
-BOILERPLATE = ("all rights reserved", "cookie policy", "use cookies", "privacy policy", "terms of service", "terms of use", "lorem ipsum", "javascript", "permission is hereby granted", "licensed under", "copyright (c)", "subscribe to our newsletter")
-MENU = ("home", "menu", "login", "log in", "sign in", "sign up", "next", "previous", "share", "contact", "about", "search", "back", "subscribe", "sitemap", "faq", "help")
+#: Phrases of licence, cookie and script notices in four languages, marks that end sentences (or close them), separators of menus.
+BOILERPLATE = (
+    "all rights reserved", "cookie policy", "use cookies", "privacy policy", "terms of service", "terms of use", "lorem ipsum", "enable javascript", "permission is hereby granted", "licensed under the", "copyright (c)", "subscribe to our newsletter",
+    "alle rechte vorbehalten", "verwendet cookies", "datenschutzerklärung", "allgemeine geschäftsbedingungen",
+    "tous droits réservés", "utilise des cookies", "politique de confidentialité", "mentions légales",
+    "todos los derechos reservados", "utiliza cookies", "política de privacidad", "aviso legal",
+)
+TERMINAL = (".", "!", "?", "…", ":", ";", '"', "'", ")", "]", "»", "”", "’", "。", "！", "？")
+SEPARATORS = ("|", ">", "»", "•", "·", "/")
 
 _SYMBOL = np.isin(np.arange(256), list(b"#*$%&|<>"))
 _SHOUT = np.isin(np.arange(256), list(b"!?*#%$&|"))
-_SEPARATOR = tuple(x.encode() for x in ("|", ">", "»"))
+_TERMINAL = tuple(x.encode() for x in TERMINAL)
+_SEPARATOR = frozenset(x.encode() for x in SEPARATORS)
 
 
 def _counts(flags: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -75,7 +86,7 @@ def _repeat_words(codes: np.ndarray, bounds: np.ndarray, width: int) -> np.ndarr
     return _counts(np.cumsum(cover)[:-1] > 0, bounds[:-1], bounds[1:])
 
 
-def _judge(min_share: float):
+def _judge(min_share: float, with_text: bool):
     def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in batches(frames, size=4 << 20):
             data, offsets = text_bytes(table["text"])
@@ -122,43 +133,57 @@ def _judge(min_share: float):
                 per_line = b - a
                 fails |= has_word & (2 * _counts(noisy, a, b) > per_line)
                 fails |= (per_line >= 3) & (_counts(shouting, a, b) == per_line)
-                lone = np.array([w in _SEPARATOR for w in words.vocabulary.to_pylist()], bool)[words.codes]
-                fails |= _counts(lone, a, b) >= 2
-                lowered = pa.array([s.lower() for s in strings], pa.large_binary())
+                forms = words.vocabulary.to_pylist()
+                lone = np.array([w in _SEPARATOR for w in forms], bool)[words.codes]
+                ends = np.array([w.endswith(_TERMINAL) for w in forms], bool)[words.codes]
+                fails |= (per_line >= 5) & (_counts(ends, a, b) == 0)
+                alone = _counts(lone, a, b)
+                fails |= (alone >= 2) & (5 * alone >= per_line)
+                fails[rows] |= _links(per_line[rows], ends[b[rows] - 1], line_text[rows])
+                lowered = pc.utf8_lower(pa.array(strings, pa.large_binary()).cast(pa.large_string()))
                 phrase = np.zeros(len(rows), bool)
                 for p in BOILERPLATE:
-                    phrase |= pc.match_substring(lowered, p.encode()).to_numpy(zero_copy_only=False)
-                short = per_line[rows] <= 3
-                for i in np.flatnonzero(short).tolist():
-                    s = strings[i].strip().lower()
-                    if not s.endswith((b".", b"!", b"?")) and any(m.encode() in s.split() or m.encode() == s for m in MENU):
-                        phrase[i] = True
+                    phrase |= pc.match_substring(lowered, p).to_numpy(zero_copy_only=False)
                 fails[rows] |= phrase
 
             left = _counts(np.repeat(~fails, b - a), np.searchsorted(words.start, offsets[:-1]), np.searchsorted(words.start, offsets[1:])) if len(words.start) else np.zeros(n, np.int64)
             base = (n_words < 10) | (100 * n_repeat > 20 * n_words)
             kept = ~base & (left >= min_share * n_words)
-            good = np.flatnonzero(~fails)
-            parts: list[list[bytes]] = [[] for _ in range(n)]
-            for t, x, y in zip(line_text[good].tolist(), begin[good].tolist(), end[good].tolist(), strict=True):
-                parts[t].append(whole[x:y])
-            clean = pa.array([b"\n".join(p) for p in parts], pa.binary()).cast(pa.string())
-            yield pa.RecordBatch.from_arrays(
-                [table["doc_id"].combine_chunks(), *(pa.array(v, pa.int64()) for v in (n_words, word_chars, n_symbols, n_dup_lines, n_repeat)), pa.array(base), pa.array(kept), pa.array(left, pa.int64()), clean],
-                ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "words_left", "clean_text"],
-            )
+            arrays = [table["doc_id"].combine_chunks(), *(pa.array(v, pa.int64()) for v in (n_words, word_chars, n_symbols, n_dup_lines, n_repeat)), pa.array(base), pa.array(kept), pa.array(left, pa.int64())]
+            names = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "words_left"]
+            if with_text:
+                parts: list[list[bytes]] = [[] for _ in range(n)]
+                good = np.flatnonzero(~fails)
+                for t, x, y in zip(line_text[good].tolist(), begin[good].tolist(), end[good].tolist(), strict=True):
+                    parts[t].append(whole[x:y])
+                arrays.append(pa.array([b"\n".join(p) for p in parts], pa.binary()).cast(pa.string()))
+                names.append("clean_text")
+            yield pa.RecordBatch.from_arrays(arrays, names)
 
     return run
 
 
-def clean_lines(docs: DataFrame, min_share: float = 0.5) -> DataFrame:
+def _links(size: np.ndarray, ends: np.ndarray, text: np.ndarray) -> np.ndarray:
+    """Short lines that end no sentence and have such a neighbour (lines
+    without a word don't count)."""
+    short = (size <= 3) & ~ends
+    both = short[1:] & short[:-1] & (text[1:] == text[:-1])
+    out = np.zeros(len(size), bool)
+    out[1:] |= both
+    out[:-1] |= both
+    return out
+
+
+def clean_lines(docs: DataFrame, min_share: float = 0.5, with_text: bool = True) -> DataFrame:
     """Returns for each row ``doc_id``, the base statistics, ``base_failed``,
-    ``kept``, ``words_left`` and ``clean_text`` (the lines that passed).
+    ``kept``, ``words_left`` and, with ``with_text``, ``clean_text`` (the lines
+    that passed).
 
-    Null or empty text has no word and fails the base rule.  Repeated rows are
-    judged alike and all returned; null doc_ids are returned as they are; an
-    empty table gives an empty one; other columns are ignored.
+    Null or empty text has no word and fails the base rule.  A share of
+    exactly ``min_share`` is kept.  Repeated rows are judged alike and all
+    returned; null doc_ids are returned as they are; an empty table gives an
+    empty one; other columns are ignored.
     """
     id_type = docs.schema["doc_id"].dataType.simpleString()
-    schema = f"doc_id {id_type}, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, words_left long, clean_text string"
-    return docs.select("doc_id", "text").mapInArrow(_judge(min_share), schema)
+    schema = f"doc_id {id_type}, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, words_left long" + ", clean_text string" * with_text
+    return docs.select("doc_id", "text").mapInArrow(_judge(min_share, with_text), schema)

@@ -37,7 +37,7 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from wordloom.llm.line_rules import clean_lines
 
-    out = clean_lines(table(spark, sf_dir, "documents"))
+    out = clean_lines(table(spark, sf_dir, "documents"), with_text=False)
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "words_left")
 
 
