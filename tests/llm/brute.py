@@ -66,7 +66,7 @@ def shingles(text):
     return {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
 
 
-def near(rows):
+def near(rows, percent=85):
     """doc_id -> (n_shingles, component_id), for different doc_ids."""
     sets = {d: shingles(t) for d, t in rows}
     parent = {d: d for d in sets}
@@ -82,7 +82,7 @@ def near(rows):
             holders[x].append(d)
     both = Counter((a, b) for held in holders.values() for i, a in enumerate(held) for b in held[i + 1 :])
     for (a, b), n in both.items():
-        if 100 * n >= 85 * (len(sets[a]) + len(sets[b]) - n):
+        if 100 * n >= percent * (len(sets[a]) + len(sets[b]) - n):
             x, y = sorted((top(a), top(b)))
             parent[y] = x
     return {d: (len(s), top(d)) for d, s in sets.items()}

@@ -126,6 +126,65 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_assign", "n_access", "n_hex", F.sha2(joined(F.col("base")), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"))
 
 
+WORDS_SQL = r"'[^\x20\x09-\x0D]+'"
+
+
+def quality_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What SQL can say of op2: the base statistics and their verdict."""
+    return op2_quality_rules(spark, sf_dir).drop("kept", "words_left")
+
+
+QUALITY_SQL = rf"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), {WORDS_SQL}) AS ws FROM documents),
+windows AS (SELECT doc_id, i, ws[i:i + 4] AS w FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 3)) AS i FROM d)),
+again AS (SELECT doc_id, unnest(at) AS i FROM (SELECT doc_id, w, list(i) AS at FROM windows GROUP BY doc_id, w HAVING count(*) > 1)),
+inside AS (SELECT doc_id, count(DISTINCT i + j) AS n FROM again, range(5) r(j) GROUP BY doc_id),
+lines AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM d),
+dup AS (SELECT doc_id, (count(*) - count(DISTINCT line))::BIGINT AS n FROM lines WHERE regexp_matches(line, {WORDS_SQL}) GROUP BY doc_id),
+s AS (
+  SELECT doc_id, len(ws)::BIGINT AS n_words, length(array_to_string(ws, ''))::BIGINT AS word_chars,
+         len(regexp_extract_all(text, '[#*$%&|<>]'))::BIGINT AS n_symbols, coalesce(dup.n, 0) AS n_dup_lines, coalesce(inside.n, 0) AS n_repeat_words
+  FROM d LEFT JOIN dup USING (doc_id) LEFT JOIN inside USING (doc_id))
+SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM s
+"""
+
+
+def secret_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What SQL can say of op10: how often each base pattern is found."""
+    return op10_secret_scan(spark, sf_dir).select("doc_id", "n_assign", "n_access", "n_hex")
+
+
+SECRETS_SQL = r"""
+SELECT doc_id,
+  len(list_filter(regexp_extract_all(coalesce(text, ''), '(?i:password|passwd|secret|token|api_?key)["'']? *[:=] *["'']?([A-Za-z0-9+/_.=-]+)', 1), lambda v: length(v) >= 6))::BIGINT AS n_assign,
+  len(list_filter(regexp_extract_all(coalesce(text, ''), 'AKIA[A-Z0-9]+'), lambda v: length(v) >= 20))::BIGINT AS n_access,
+  len(list_filter(regexp_extract_all(coalesce(text, ''), '[0-9a-f]+'), lambda v: length(v) >= 24))::BIGINT AS n_hex
+FROM documents
+"""
+
+
+def mix_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What SQL can say of op6: sizes, and whether the words taken of each
+    source are within a hundredth (or two words) of its target."""
+    out = op6_mix_sources(spark, sf_dir)
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source")
+    each = out.join(docs, "doc_id").groupBy("source").agg(F.max("source_size").alias("source_size"), F.max("target").alias("target"), F.sum("taken").alias("taken"))
+    near = F.abs(F.col("taken") - F.col("target")) <= F.greatest(F.lit(2.0), F.col("target") / 100)
+    return each.select("source", "source_size", F.round("target").cast("long").alias("target"), near.alias("near"))
+
+
+#: Shares the excess of capped sources again, a level at a time, by the order in which they reach their caps.
+TARGETS_SQL = rf"""
+WITH sized AS (SELECT source, sum(len(regexp_extract_all(coalesce(text, ''), {WORDS_SQL})))::BIGINT AS source_size FROM documents GROUP BY source),
+w AS (SELECT *, [5, 2, 1][((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1)::INTEGER]::DOUBLE AS weight, 2.0 * source_size AS most FROM sized),
+o AS (
+  SELECT *, coalesce(sum(most) OVER b, 0) AS capped, coalesce(sum(weight) OVER b, 0) AS used, sum(weight) OVER () AS every, 1.5 * sum(source_size) OVER () AS budget
+  FROM w WINDOW b AS (ORDER BY most / weight, source ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+l AS (SELECT min_by((budget - capped) / (every - used), most / weight) AS level FROM o WHERE (budget - capped) / (every - used) * weight <= most)
+SELECT source, source_size, round(least(most, coalesce(level * weight, most)))::BIGINT AS target, true AS near FROM o, l
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_toxicity": op1_toxicity,
@@ -138,8 +197,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op7_run_index_dedup": op7_run_index_dedup,
         "op9_nearest_neighbours": op9_nearest_neighbours,
         "op10_secret_scan": op10_secret_scan,
+        "quality_base": quality_base,
+        "secret_base": secret_base,
+        "mix_targets": mix_targets,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_line_dedup": OP4_SQL, "op9_nearest_neighbours": OP9_SQL}
+    return {"op4_line_dedup": OP4_SQL, "op9_nearest_neighbours": OP9_SQL, "quality_base": QUALITY_SQL, "secret_base": SECRETS_SQL, "mix_targets": TARGETS_SQL}
