@@ -15,6 +15,7 @@ from __future__ import annotations
 import os
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -43,7 +44,8 @@ class WordTokens:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.known: dict[bytes, int] = {}
-        self.ids: list[tuple[int, ...]] = []
+        # The ids of remembered words one after another, and their limits.
+        self.flat, self.limits = np.zeros(0, np.uint16 if self.tokenizer.get_vocab_size() < 1 << 16 else np.uint32), np.zeros(1, np.int64)
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Flat ids of all texts and their n + 1 offsets."""
@@ -52,25 +54,27 @@ class WordTokens:
         if not len(words.start):
             return np.zeros(0, np.uint32), np.zeros(n + 1, np.int64)
         forms = words.vocabulary.to_pylist()
-        at = [self.known.get(f, -1) for f in forms]
-        new = [i for i, a in enumerate(at) if a < 0]
-        got: list[list[int]] = []
+        known, held = self.known, len(self.limits) - 1
+        at = np.fromiter((known.get(f, -1) for f in forms), np.int64, len(forms))
+        new = np.flatnonzero(at < 0)
+        at[new] = held + np.arange(len(new))
+        parts, sizes = [self.flat], [np.diff(self.limits)]
         for k in range(0, len(new), 10_000):
-            part = [forms[i].decode("utf-8", "replace") for i in new[k : k + 10_000]]
-            got += [e.ids for e in self.tokenizer.encode_batch_fast(part, add_special_tokens=False)]
-        ids: list = [self.ids[a] if a >= 0 else None for a in at]
-        for i, g in zip(new, got, strict=True):
-            ids[i] = g
-            if len(self.known) < REMEMBERED:
-                self.known[forms[i]] = len(self.ids)
-                self.ids.append(tuple(g))
-        size = np.fromiter(map(len, ids), np.int64, len(ids))
-        flat = np.fromiter((x for g in ids for x in g), np.uint32, int(size.sum()))
-        first = np.cumsum(size) - size
-        per_word = size[words.codes]
+            part = [forms[i].decode("utf-8", "replace") for i in new[k : k + 10_000].tolist()]
+            got = [e.ids for e in self.tokenizer.encode_batch_fast(part, add_special_tokens=False)]
+            sizes.append(np.fromiter(map(len, got), np.int64, len(got)))
+            parts.append(np.fromiter(chain.from_iterable(got), self.flat.dtype, int(sizes[-1].sum())))
+        flat, size = np.concatenate(parts), np.concatenate(sizes)
+        limits = np.concatenate([[0], np.cumsum(size)])
+        kept = min(len(size), max(held, REMEMBERED))
+        for i in new[: kept - held].tolist():
+            known[forms[i]] = int(at[i])
+        self.flat, self.limits = flat[: limits[kept]].copy(), limits[: kept + 1].copy()
+        code = at[words.codes]
+        per_word = size[code]
         total = np.concatenate([[0], np.cumsum(per_word)])
-        place = np.repeat(first[words.codes] - total[:-1], per_word) + np.arange(total[-1])
-        return flat[place], total[words.bounds]
+        place = np.repeat(limits[code] - total[:-1], per_word) + np.arange(total[-1])
+        return flat[place].astype(np.uint32), total[words.bounds]
 
 
 _HELD: dict[str, WordTokens] = {}

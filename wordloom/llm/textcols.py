@@ -8,6 +8,8 @@ batch inside a task; Spark does the partitioning.
 
 from __future__ import annotations
 
+import ctypes
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -69,7 +71,7 @@ class Words:
             after[1:] = space[:-1]
             starts = begins & (after | first)
             self.start = np.flatnonzero(starts)
-            kept = np.cumsum(begins)
+            kept = np.cumsum(begins, dtype=np.int32)
             self._flat = np.append(kept[self.start] - 1, kept[-1])
             self.end = self.start + np.diff(self._flat)
         else:
@@ -139,3 +141,15 @@ def batches(frames, rows: int = 1 << 30, size: int = 24 << 20, text: str = "text
                 pa.default_memory_pool().release_unused()
     if held:
         yield pa.Table.from_batches(held).combine_chunks()
+    held = []
+    give_back()
+
+
+def give_back() -> None:
+    """Returns freed memory to the machine: Spark keeps Python workers between
+    tasks, and an idle one should hold no more than it needs."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        return
