@@ -28,8 +28,8 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     from wordloom.llm.toxicity import score_toxicity
 
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    out = score_toxicity(docs, docs, labels, carry=COLUMNS)
-    return out.where(F.col("score") < REJECT).select("carried.*")
+    out = score_toxicity(docs, docs, labels, carry=COLUMNS[2:], with_text=True)
+    return out.where(F.col("score") < REJECT).select("doc_id", "text", "carried.*")
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -43,18 +43,21 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the document with the smallest id of each group of near copies."""
+    from wordloom.llm.bloom import split_by_names
     from wordloom.llm.minhash_join import near_duplicates
 
     found = materialize(near_duplicates(docs, percent=80), "near")
     gone = found.where("not kept").select("doc_id").distinct()
     again = found.where("kept and doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id")
-    left = docs.select(*COLUMNS).join(gone, "doc_id", "left_anti").select(*COLUMNS)
-    if again.isEmpty():
-        return left
+    # Texts that surely stay are left where they are; the others meet the ids.
+    named = docs.select(*COLUMNS, F.xxhash64("doc_id").alias("name"))
+    split = split_by_names(named, materialize(gone.union(again).select(F.xxhash64("doc_id").alias("name")).distinct(), "named"))
+    stay = split.where("not maybe").select(*COLUMNS)
+    open_rows = split.where("maybe").join(gone, "doc_id", "left_anti")
     # Rows that share a doc_id are one document: the first by a hash stays.
     by = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"), "text", "lang", "source")
-    first = left.join(again, "doc_id", "left_semi").withColumn("nth", F.row_number().over(by)).where("nth = 1")
-    return left.join(again, "doc_id", "left_anti").select(*COLUMNS).unionByName(first.select(*COLUMNS))
+    first = open_rows.where("doc_id is not null").withColumn("nth", F.row_number().over(by)).where("nth = 1")
+    return stay.unionByName(open_rows.where("doc_id is null").select(*COLUMNS)).unionByName(first.select(*COLUMNS))
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -78,3 +78,19 @@ def id_filter(ids: DataFrame, max_bits: int = 1 << 28) -> Broadcast:
 
 def may_hold(packed: bytes, ids: np.ndarray) -> np.ndarray:
     return Bloom(8 * len(packed), packed).has(mix(ids.astype(np.int64).view(np.uint64)))
+
+
+def _maybe(shared):
+    def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for frame in frames:
+            names = frame.column(frame.schema.get_field_index("name")).to_numpy(zero_copy_only=False)
+            yield pa.RecordBatch.from_arrays([*frame.columns, pa.array(may_hold(shared.value, names), pa.bool_())], [*frame.schema.names, "maybe"])
+
+    return run
+
+
+def split_by_names(rows: DataFrame, names: DataFrame) -> DataFrame:
+    """``rows`` (with a 64-bit ``name``) and whether each one's name may be in
+    ``names``, by a filter: what surely isn't there need not be shuffled."""
+    fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema.fields)
+    return rows.mapInArrow(_maybe(id_filter(names)), f"{fields}, maybe boolean")

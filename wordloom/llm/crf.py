@@ -41,8 +41,8 @@ class CoreWords(Words):
             texts = texts.combine_chunks()
         lowered = pc.utf8_lower(pc.fill_null(texts.cast(pa.large_string()), ""))
         data, offsets = text_bytes(lowered)
-        self._solid = _SOLID[data]
-        super().__init__(np.where(self._solid, data, np.uint8(32)), offsets)
+        super().__init__(np.where(_SOLID[data], data, np.uint8(32)), offsets)
+        del self.space, self._flat
 
     def points(self) -> np.ndarray:
         """Code points before each byte position of the batch."""

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from wordloom.llm.crf import CoreWords, Crf, chains_of, fit, word_features
-from wordloom.llm.textcols import batches
+from wordloom.llm.textcols import batches, give_back
 
 #: Rows of one label that the driver learns from: half of what it takes at most.
 LARGEST = 1500
@@ -141,6 +141,7 @@ def identify(docs: DataFrame, learn_from: DataFrame, per_label: int = 500, with_
     one; other columns are ignored.
     """
     model = train(learn_from.select("doc_id", "text", "lang"), per_label)
+    give_back()
     shared = docs.sparkSession.sparkContext.broadcast(model)
     id_type = docs.schema["doc_id"].dataType.simpleString()
     schema = f"doc_id {id_type}, lang_pred string, score double" + ", spans array<struct<start: long, end: long, lang: string>>" * with_spans

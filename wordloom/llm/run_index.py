@@ -39,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wordloom.llm.bloom import id_filter, may_hold
+from wordloom.llm.bloom import id_filter, may_hold, split_by_names
 from wordloom.llm.shared import materialize
 from wordloom.llm.textcols import batches, mix, text_bytes
 
@@ -193,17 +193,6 @@ def _find(shared):
     return run
 
 
-def _maybe(shared):
-    """Adds whether a filter of text names may hold a text's."""
-
-    def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for frame in frames:
-            names = frame.column(frame.schema.get_field_index("name")).to_numpy(zero_copy_only=False)
-            yield pa.RecordBatch.from_arrays([*frame.columns, pa.array(may_hold(shared.value, names), pa.bool_())], [*frame.schema.names, "maybe"])
-
-    return run
-
-
 def _fetch(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for frame in frames:
         texts, places = frame.column("text"), frame.column("places")
@@ -425,7 +414,7 @@ def remove_repeats(docs: DataFrame, bucket_bytes: int = 1 << 18) -> DataFrame:
     indexed = classes.join(several.select("anchor"), "anchor").select(F.col("one.text_id").alias("text_id"), F.col("one.row").alias("row"), F.struct("anchor", "content", F.col("one.at").alias("at"), F.col("one.size").alias("size")).alias("place"))
     wanted = indexed.groupBy("text_id", "row").agg(F.collect_list("place").alias("places"))
     names = named.select("text_id", "name")
-    sources = _filtered(long.select("text_id", "row", "text", "name"), names.join(wanted.select("text_id"), "text_id", "left_semi").select("name").distinct()).where("maybe")
+    sources = split_by_names(long.select("text_id", "row", "text", "name"), names.join(wanted.select("text_id"), "text_id", "left_semi").select("name").distinct()).where("maybe")
     texts = sources.select("text_id", "row", "text").join(wanted, ["text_id", "row"]).select("text", "places")
     fetched = materialize(texts.mapInArrow(_fetch, "anchor long, content binary, region binary"), "fetched")
     total = fetched.agg(F.sum(F.octet_length("region"))).first()[0] or 0
@@ -442,13 +431,8 @@ def remove_repeats(docs: DataFrame, bucket_bytes: int = 1 << 18) -> DataFrame:
     about = again.select("text_id", F.lit(True).alias("again")).join(spans, "text_id", "full").select(F.col("text_id").alias("of"), F.coalesce("again", F.lit(False)).alias("again"), "spans")
     about = materialize(about, "about")
     # Texts that nothing is known of are left where they are; the others meet their spans.
-    split = _filtered(named, names.join(about.select(F.col("of").alias("text_id")), "text_id", "left_semi").select("name").distinct())
+    split = split_by_names(named, names.join(about.select(F.col("of").alias("text_id")), "text_id", "left_semi").select("name").distinct())
     columns = ("doc_id", "text", "again", "spans")
     joined = split.where("maybe").join(about, F.col("text_id") == F.col("of"), "left").select(*columns)
     plain = split.where("not maybe").select("doc_id", "text", F.lit(False).alias("again"), F.lit(None).cast("array<struct<lo: long, hi: long>>").alias("spans"))
     return joined.unionByName(plain.select(*columns)).mapInArrow(_remove, f"doc_id {id_type}, n_bytes long, n_removed long, removed array<struct<lo: long, hi: long>>, kept binary")
-
-
-def _filtered(rows: DataFrame, names: DataFrame) -> DataFrame:
-    fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema.fields)
-    return rows.mapInArrow(_maybe(id_filter(names)), f"{fields}, maybe boolean")

@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from wordloom.llm.crf import CoreWords, Crf, chains_of, fit, rows_of, word_features
 from wordloom.llm.langid import sampled, training_rows
-from wordloom.llm.textcols import batches, mix
+from wordloom.llm.textcols import batches, give_back, mix
 
 SPAN = "array<struct<start: long, end: long, p: double>>"
 
@@ -164,6 +164,7 @@ def score_toxicity(docs: DataFrame, learn_from: DataFrame, labels: DataFrame, pe
     gives an empty one; columns not named are ignored.
     """
     model = train(learn_from, labels, per_label)
+    give_back()
     shared = docs.sparkSession.sparkContext.broadcast(model)
     whole = docs.select("doc_id", "text", (F.struct(*carry) if carry else F.struct(F.lit(0).alias("none"))).alias("carried"))
     kept = ["doc_id", *["text"] * with_text, "carried"]
