@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from wordloom.operators.order import ranged
+
 
 def ids(df: DataFrame, column: str) -> DataFrame:
     return df.select(F.col(column).cast("long").alias("id"))
@@ -53,9 +55,18 @@ def bitmap_count(bitmaps: DataFrame) -> DataFrame:
 
 def drop_adjacent(df: DataFrame, order: list[str], value: str, within: list[str]) -> DataFrame:
     """Rows whose value differs from the one before them, in each ``within``
-    group; the first row of a group stays."""
-    w = Window.partitionBy(*within).orderBy(*order)
-    return df.withColumn("_first", F.row_number().over(w) == 1).withColumn("_before", F.lag(value).over(w)).where(F.col("_first") | ~F.col(value).eqNullSafe(F.col("_before"))).drop("_first", "_before")
+    group; the first row of a group stays.  Rows are dealt out by ranges of
+    group and order, so one large group is many tasks; the last row of each
+    partition is carried to the next."""
+    keys = [*within, *order]
+    here = F.struct(*within, F.col(value).alias("_value"))
+    rows = ranged(df, [F.col(c).asc() for c in keys]).withColumn("_here", here)
+    inside = Window.partitionBy("_part").orderBy(*keys)
+    last = rows.groupBy("_part").agg(F.max_by("_here", F.struct(*keys)).alias("_last"))
+    carried = last.select(F.col("_part").alias("_of"), F.lag("_last").over(Window.orderBy("_part")).alias("_carry"))
+    rows = rows.withColumn("_before", F.lag("_here").over(inside)).withColumn("_n", F.row_number().over(inside))
+    rows = rows.join(carried, F.col("_part") == F.col("_of")).withColumn("_before", F.when(F.col("_n") == 1, F.col("_carry")).otherwise(F.col("_before")))
+    return rows.where(~F.col("_here").eqNullSafe(F.col("_before"))).select(*df.columns)
 
 
 def merge_records(a: DataFrame, b: DataFrame, keys: list[str], tie: str) -> DataFrame:

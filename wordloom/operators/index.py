@@ -6,11 +6,15 @@ by ``rev``), a prefix or suffix search reads few row groups.
 
 from __future__ import annotations
 
+import uuid
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wordloom.functions.folding import fold, fold_text
 from wordloom.functions.text import WordPattern, regular, tokens, wildcard
+from wordloom.sources.kept import shared_folder
 
 
 def postings(docs: DataFrame, text: str = "text", key: str = "doc_id", structure: Column | None = None) -> DataFrame:
@@ -66,3 +70,33 @@ def find_words(words: DataFrame, pattern: str, kind: str = "wildcard", folded: b
     ``regex``, a regular expression over the whole word."""
     plan = {"wildcard": wildcard, "regex": regular}[kind](pattern)
     return words.where(matches(plan, folded))
+
+
+@dataclass(frozen=True)
+class Written:
+    """Postings in files sorted by word, and again by reversed word."""
+
+    by_word: DataFrame
+    by_rev: DataFrame
+
+
+def written(docs: DataFrame, text: str = "text", key: str = "doc_id", path: str | None = None) -> Written:
+    """Writes the postings of a corpus twice, each range-partitioned and sorted
+    by its key, so that a literal head or tail of a pattern reads only the row
+    groups that may hold it.  ``path``: a new folder of the shared one if None."""
+    spark = docs.sparkSession
+    path = path or f"{shared_folder(spark)}/index-{uuid.uuid4().hex}"
+    rows = postings(docs, text, key).withColumn("rev", F.reverse("word"))
+    for name in ("word", "rev"):
+        source = rows if name == "word" else spark.read.parquet(f"{path}/word")
+        source.repartitionByRange(name).sortWithinPartitions(name, key).write.parquet(f"{path}/{name}")
+    return Written(spark.read.parquet(f"{path}/word"), spark.read.parquet(f"{path}/rev"))
+
+
+def find_postings(index: Written, pattern: str) -> DataFrame:
+    """Postings of the words that meet a wildcard pattern."""
+    plan = wildcard(pattern)
+    if plan.mode == "end":
+        found = index.by_rev.where(F.col("rev").startswith(plan.literal[::-1]))
+        return found if plan.rest is None else found.where(F.col("word").rlike(plan.rest))
+    return index.by_word.where(matches(plan, False, F.col("word")))

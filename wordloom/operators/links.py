@@ -4,9 +4,13 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from wordloom.functions.text import wildcard
+from wordloom.operators.index import matches
+from wordloom.operators.search import EXACT_MODES
+
 
 def link_count(parents: DataFrame, key: str, children: DataFrame, parent: str, name: str = "n_links") -> DataFrame:
     """(key, number of linked rows), 0 where there are none."""
@@ -14,12 +18,6 @@ def link_count(parents: DataFrame, key: str, children: DataFrame, parent: str, n
     return parents.select(key).join(counted, F.col(key) == F.col("_p"), "left").select(key, F.coalesce("_n", F.lit(0)).alias(name))
 
 
-def implicit_length(offset: Column, count: Column, order: str, total: int) -> Column:
-    """Rows of a link: its count, or up to the next row's offset, or up to the
-    end.  The window runs over the whole table: for catalogues, not corpora."""
-    return F.coalesce(count, F.lead(offset).over(Window.orderBy(order)) - offset, F.lit(total) - offset)
-
-
 def resolve_key(ids: DataFrame, table: DataFrame, rid: str, fk: str) -> DataFrame:
     """The foreign keys of the rows named by ``ids``, repeats included."""
     return ids.join(table.select(F.col(rid).alias("_r"), F.col(fk).cast("long").alias("_f")), F.col("id") == F.col("_r")).select(F.col("_f").alias("id"))
@@ -55,3 +53,22 @@ def expand_forms(ids: DataFrame, forms: DataFrame, condition: Column, links: str
     """Adds what inflected forms link to: rows of ``forms`` that meet the
     condition, their arrays of ids opened."""
     return ids.select("id").unionByName(forms.where(condition).select(F.explode(F.col(links).cast("array<bigint>")).alias("id"))).distinct()
+
+
+def search_inflected(rows: DataFrame, key: str, words: list[str], forms: DataFrame, links: str, mode: str = "all") -> DataFrame:
+    """Ids of the rows of ``rows`` (key, word) with one of the words, and of
+    those that inflected forms (``form`` and an array of ids) link to.
+
+    A word with a wildcard is looked up as a pattern among the forms, any
+    other by its exact key.  The exact modes leave forms out.
+    """
+    plans = [wildcard(w) for w in words]
+
+    def any_of(column: str) -> Column:
+        found = matches(plans[0], False, F.col(column))
+        for p in plans[1:]:
+            found = found | matches(p, False, F.col(column))
+        return found
+
+    direct = rows.where(any_of("word")).select(F.col(key).alias("id")).distinct()
+    return direct if mode in EXACT_MODES else expand_forms(direct, forms, any_of("form"), links)

@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from wordloom.operators.order import ranged
+
 MODES = ("exact", "last_before", "first_after", "exact_or_before", "exact_or_after")
 
 
@@ -30,13 +32,13 @@ def lookup(table: DataFrame, key: str, rid: str, target, mode: str = "exact") ->
     return found.groupBy().agg(best.alias("_k")).where("_k is not null").join(found.select(key, rid), F.col("_k") == F.col(key)).groupBy(key).agg(F.min(rid).alias(rid))
 
 
-def lookup_many(table: DataFrame, key: str, rid: str, targets: DataFrame, target: str, mode: str = "exact", buckets: Column | None = None) -> DataFrame:
+def lookup_many(table: DataFrame, key: str, rid: str, targets: DataFrame, target: str, mode: str = "exact") -> DataFrame:
     """(target, rid or null) for each different target.
 
-    Exact lookups are an equi-join.  For the others ``buckets`` may map a key
-    to a number that never falls as the key grows (a date's month, a number
-    divided by a width); windows then run for each bucket, and a bucket
-    without a key of its own takes the last key of an earlier one.
+    Exact lookups are an equi-join.  For the others, keys and targets are dealt
+    out by ranges of the key; a window carries the last key seen inside each
+    partition, and a target before its partition's first key takes the last
+    key of an earlier partition, of which there is one row each.
     """
     if mode not in MODES:
         raise ValueError(f"no lookup mode {mode!r}")
@@ -48,17 +50,14 @@ def lookup_many(table: DataFrame, key: str, rid: str, targets: DataFrame, target
     strict = mode in ("last_before", "first_after")
     line = keys.select("_k", "_r", F.lit(1 if strict else 0).alias("_side")).unionByName(wanted.select("_k", F.lit(None).cast(table.schema[rid].dataType).alias("_r"), F.lit(0 if strict else 1).alias("_side")))
     line = line.withColumn("_key", F.col("_side") == (1 if strict else 0))
-    line = line.withColumn("_b", F.lit(0) if buckets is None else buckets)
     order = [F.col("_k").desc() if after else F.col("_k").asc(), F.col("_side").asc()]
-    inside = Window.partitionBy("_b").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    line = ranged(line, order)
+    inside = Window.partitionBy("_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     seen = line.withColumn("_found", F.last(F.when(F.col("_key"), F.col("_r")), ignorenulls=True).over(inside))
-    if buckets is not None:
-        # One row for each bucket: the last key it passes on.
-        last = line.where("_key").groupBy("_b").agg((F.min_by("_r", "_k") if after else F.max_by("_r", "_k")).alias("_carry"))
-        every = line.select("_b").distinct().join(last, "_b", "left")
-        over = Window.orderBy(F.col("_b").desc() if after else F.col("_b").asc()).rowsBetween(Window.unboundedPreceding, -1)
-        carried = every.withColumn("_carry", F.last("_carry", ignorenulls=True).over(over))
-        seen = seen.join(carried, "_b").withColumn("_found", F.coalesce("_found", "_carry"))
+    last = line.groupBy("_part").agg((F.min_by if after else F.max_by)("_r", F.when(F.col("_key"), F.col("_k"))).alias("_last"))
+    over = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    carried = last.select(F.col("_part").alias("_of"), F.last("_last", ignorenulls=True).over(over).alias("_carry"))
+    seen = seen.join(carried, F.col("_part") == F.col("_of")).withColumn("_found", F.coalesce("_found", "_carry"))
     return seen.where(~F.col("_key")).select(F.col("_k").alias(target), F.col("_found").alias(rid))
 
 

@@ -6,6 +6,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from wordloom.sources.kept import kept
+
 
 def chain(*keys: tuple[str, bool], reverse: bool = False, rid: str = "rid") -> list[Column]:
     """Sort keys (column, ascending) one after another; ``reverse`` turns the
@@ -14,19 +16,26 @@ def chain(*keys: tuple[str, bool], reverse: bool = False, rid: str = "rid") -> l
     return [*turned, F.col(rid).asc()]
 
 
+def ranged(df: DataFrame, order: list[Column]) -> DataFrame:
+    """Rows dealt out by ranges of an order, with their partition's number
+    ``_part``, written once: range bounds come from a sample, so a second
+    evaluation might draw them elsewhere."""
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # named, so that no read joins partitions
+    return kept(df.repartitionByRange(parts, *order).withColumn("_part", F.spark_partition_id()))
+
+
 def numbered(df: DataFrame, order: list[Column], name: str = "pos") -> DataFrame:
     """Adds each row's place (from 0) in an order, in parallel.
 
     Rows are sorted over range partitions; a partition's first place is the
     number of rows in those before it, of which there is one count each."""
-    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # named, so that no read joins partitions
-    ranged = df.repartitionByRange(parts, *order).withColumn("_part", F.spark_partition_id())
-    inside = Window.partitionBy("_part").orderBy(*order)
-    ranged = ranged.withColumn("_n", F.row_number().over(inside) - 1)
-    counts = ranged.groupBy("_part").agg(F.count(F.lit(1)).alias("_size"))
+    rows = ranged(df, order)
+    counts = rows.groupBy("_part").agg(F.count(F.lit(1)).alias("_size"))
     before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     first = counts.select(F.col("_part").alias("_of"), F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_before"))
-    return ranged.join(first, F.col("_part") == F.col("_of")).withColumn(name, (F.col("_before") + F.col("_n")).cast("long")).drop("_part", "_n", "_of", "_before")
+    inside = Window.partitionBy("_part").orderBy(*order)
+    placed = rows.withColumn("_n", F.row_number().over(inside) - 1).join(first, F.col("_part") == F.col("_of"))
+    return placed.withColumn(name, (F.col("_before") + F.col("_n")).cast("long")).drop("_part", "_n", "_of", "_before")
 
 
 def top(df: DataFrame, order: list[Column], begin: int, count: int, name: str = "pos") -> DataFrame:

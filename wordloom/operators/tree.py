@@ -11,6 +11,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from wordloom.functions.text import content_url
+from wordloom.sources.kept import kept
+
 ROOT = 0
 
 
@@ -84,12 +87,12 @@ def absolute_paths(dirs: DataFrame) -> DataFrame:
     doesn't lead to a root (no parent row, or a ring) has no path.
     """
     root = F.col("parent_id").isNull()
-    left = _kept(dirs.select("dir_id", F.when(root, F.lit("")).otherwise(F.concat(F.lit("/"), "name")).alias("path"), F.col("parent_id").alias("up")))
+    left = kept(dirs.select("dir_id", F.when(root, F.lit("")).otherwise(F.concat(F.lit("/"), "name")).alias("path"), F.col("parent_id").alias("up")))
     done = left.where("up is null")
     left = left.where("up is not null")
     while left.head(1):
         above = done.unionByName(left).select(F.col("dir_id").alias("_id"), F.col("path").alias("_head"), F.col("up").alias("_up"))
-        climbed = _kept(left.join(above, F.col("up") == F.col("_id")).select("dir_id", F.concat("_head", "path").alias("path"), F.col("_up").alias("up")))
+        climbed = kept(left.join(above, F.col("up") == F.col("_id")).select("dir_id", F.concat("_head", "path").alias("path"), F.col("_up").alias("up")))
         reached, left = climbed.where("up is null"), climbed.where("up is not null")
         if not reached.head(1):  # every level that leads to a root is reached before a deeper one
             break
@@ -97,7 +100,17 @@ def absolute_paths(dirs: DataFrame) -> DataFrame:
     return done.select("dir_id", "path")
 
 
-def _kept(df: DataFrame) -> DataFrame:
-    """Computed once: in the folder of spark.checkpoint.dir where it is set."""
-    sc = df.sparkSession.sparkContext
-    return df.checkpoint() if sc.getCheckpointDir() else df.localCheckpoint()
+def by_ids(dirs: DataFrame, files: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(``kind``, ``id``, ``name``, ``parent_id``) of directories and files by
+    id (``wanted``: ``kind`` and ``id``)."""
+    rows = dirs.select(F.lit("dir").alias("kind"), F.col("dir_id").alias("id"), "name", "parent_id")
+    rows = rows.unionByName(files.select(F.lit("file").alias("kind"), F.col("file_id").alias("id"), "name", "parent_id"))
+    return rows.join(wanted.select("kind", "id").distinct(), ["kind", "id"], "left_semi")
+
+
+def content(files: DataFrame, urls: DataFrame, url: str) -> DataFrame:
+    """``urls`` with the ``title`` and ``content`` of the file that a content
+    URL names by its id (``.../@<file id>``); null where there is none."""
+    wanted = urls.withColumn("_file", content_url(F.col(url))["path"])
+    wanted = wanted.withColumn("_file", F.when(F.col("_file").startswith("@"), F.expr("try_cast(substring(_file, 2) AS BIGINT)")))
+    return wanted.join(files.select(F.col("file_id").cast("long").alias("_file"), "title", "content"), "_file", "left").drop("_file")

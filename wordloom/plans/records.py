@@ -179,46 +179,42 @@ def merge_records(spark, sf):
     return idsets.merge_records(a, b, ["c_mktsegment", "c_nationkey"], "c_custkey")
 
 
-_LOOKUP = """WITH k AS (SELECT o_orderkey AS key FROM orders WHERE o_orderkey % 7 = 3), t AS (SELECT DISTINCT l_orderkey AS target FROM lineitem)
-SELECT target, (SELECT {best}(key) FROM k WHERE key {sign} target) AS rid FROM t"""
-_TEXT = """WITH t AS (SELECT DISTINCT lower(n_name) AS target FROM nation UNION SELECT p_name FROM part WHERE p_partkey % 50 = 0)
-SELECT target, (SELECT min(p_partkey) FROM part WHERE p_name = (SELECT {best}(p_name) FROM part WHERE p_name {sign} target)) AS rid FROM t"""
-_SIGNS = {"exact": ("min", "="), "last_before": ("max", "<"), "first_after": ("min", ">"), "exact_or_before": ("max", "<="), "exact_or_after": ("min", ">=")}
+_LOOKUP = """WITH k AS (SELECT o_totalprice AS key, min(o_orderkey) AS rid FROM orders GROUP BY 1), t AS (SELECT DISTINCT l_extendedprice AS target FROM lineitem)"""
+_TEXT = """WITH k AS (SELECT p_name AS key, min(p_partkey) AS rid FROM part GROUP BY 1), t AS (SELECT DISTINCT lower(n_name) AS target FROM nation UNION SELECT p_name || 'x' FROM part UNION SELECT p_name FROM part)"""
+_FOUND = "SELECT target, rid FROM t {join} JOIN k ON target {sign} key"
+_TURNED = {"exact": "=", "last_before": ">", "first_after": "<", "exact_or_before": ">=", "exact_or_after": "<="}
 
 
-def _add_lookups(mode: str) -> None:
-    best, sign = _SIGNS[mode]
+def _found_sql(mode: str) -> str:
+    return _FOUND.format(join="LEFT" if mode == "exact" else "ASOF LEFT", sign=_TURNED[mode])
 
-    @query(_LOOKUP.format(best=best, sign=sign), f"lookup_{mode}")
+
+def _add_lookups(mode: str) -> None:
+    @query(f"{_LOOKUP} {_found_sql(mode)}", f"lookup_{mode}")
     def number(spark, sf):
-        keys = table(spark, sf, "orders").where("o_orderkey % 7 = 3").select(F.col("o_orderkey").alias("key"), F.col("o_orderkey").alias("rid"))
-        targets = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("target"))
-        return lookups.lookup_many(keys, "key", "rid", targets, "target", mode, F.floor(F.col("_k") / 4096))
+        """The order with the price next to each line's price."""
+        keys = table(spark, sf, "orders").select(F.col("o_totalprice").alias("key"), F.col("o_orderkey").alias("rid"))
+        return lookups.lookup_many(keys, "key", "rid", table(spark, sf, "lineitem").select(F.col("l_extendedprice").alias("target")), "target", mode)
 
-    @query(_TEXT.format(best=best, sign=sign), f"lookup_text_{mode}")
+    @query(f"{_TEXT} {_found_sql(mode)}", f"lookup_text_{mode}")
     def text(spark, sf):
         part = table(spark, sf, "part")
-        targets = table(spark, sf, "nation").select(F.lower("n_name").alias("target")).union(part.where("p_partkey % 50 = 0").select("p_name"))
-        return lookups.lookup_many(part.select("p_name", F.col("p_partkey").alias("rid")), "p_name", "rid", targets, "target", mode, F.ascii("_k"))
+        targets = table(spark, sf, "nation").select(F.lower("n_name").alias("target")).union(part.select(F.explode(F.array("p_name", F.concat("p_name", F.lit("x"))))))
+        return lookups.lookup_many(part.select("p_name", F.col("p_partkey").alias("rid")), "p_name", "rid", targets, "target", mode)
 
 
 for _mode in lookups.MODES:
     _add_lookups(_mode)
 
 
-#: The lookups above index or look up a fixed part of their tables, as their
-#: SQL says.  These take whole tables, with targets between, below and above
-#: the keys.
+#: All order numbers and names, with targets between, below and above the keys.
 _ALL = """WITH k AS (SELECT o_orderkey::DOUBLE AS key, min(o_orderkey) AS rid FROM orders GROUP BY 1),
   x AS (SELECT l_orderkey::DOUBLE AS l FROM lineitem UNION SELECT key FROM k), t AS (SELECT l AS target FROM x UNION SELECT l + 0.5 FROM x UNION SELECT l - 0.5 FROM x)"""
 _ALL_TEXT = """WITH k AS (SELECT p_name AS key, min(p_partkey) AS rid FROM part GROUP BY 1),
   t AS (SELECT p_name AS target FROM part UNION SELECT p_name || ' ' FROM part UNION SELECT lower(n_name) FROM nation UNION SELECT '!' UNION SELECT '~')"""
-_FOUND = "SELECT target, rid FROM t {join} JOIN k ON target {sign} key"
-_TURNED = {"exact": "=", "last_before": ">", "first_after": "<", "exact_or_before": ">=", "exact_or_after": "<="}
-
 
 def _add_whole_lookups(mode: str) -> None:
-    found = _FOUND.format(join="LEFT" if mode == "exact" else "ASOF LEFT", sign=_TURNED[mode])
+    found = _found_sql(mode)
 
     @query(f"{_ALL} {found}", f"lookup_all_{mode}")
     def number(spark, sf):
@@ -227,14 +223,14 @@ def _add_whole_lookups(mode: str) -> None:
         x = F.col("l_orderkey").cast("double")
         wanted = table(spark, sf, "lineitem").select("l_orderkey").union(keys.select("rid")).distinct()
         targets = wanted.select(F.explode(F.array(x - 0.5, x, x + 0.5)).alias("target"))
-        return lookups.lookup_many(keys, "key", "rid", targets, "target", mode, F.floor(F.col("_k") / 4096))
+        return lookups.lookup_many(keys, "key", "rid", targets, "target", mode)
 
     @query(f"{_ALL_TEXT} {found}", f"lookup_all_text_{mode}")
     def text(spark, sf):
         part = table(spark, sf, "part").select("p_name", F.col("p_partkey").alias("rid"))
         targets = part.select(F.explode(F.array("p_name", F.concat("p_name", F.lit(" ")))).alias("target"))
         targets = targets.union(table(spark, sf, "nation").select(F.lower("n_name"))).union(spark.createDataFrame([("!",), ("~",)], "target string"))
-        return lookups.lookup_many(part, "p_name", "rid", targets, "target", mode, F.ascii("_k"))
+        return lookups.lookup_many(part, "p_name", "rid", targets, "target", mode)
 
 
 for _mode in lookups.MODES:
@@ -259,11 +255,11 @@ def sort_chain_desc(spark, sf):
     return order.numbered(table(spark, sf, "part").select("p_partkey", "p_size", "p_name"), keys)
 
 
-@query("""SELECT c_custkey, n_name, pos FROM (SELECT c_custkey, n_name, row_number() OVER (ORDER BY n_name DESC, c_custkey) - 1 AS pos
-  FROM customer JOIN nation ON c_nationkey = n_nationkey) WHERE pos < 100""")
+@query("""SELECT o_orderkey, c_name, row_number() OVER (ORDER BY c_name DESC, o_orderkey) - 1 AS pos FROM orders JOIN customer ON o_custkey = c_custkey""")
 def sort_via_link(spark, sf):
-    linked = order.through_link(table(spark, sf, "customer").select("c_custkey", "c_nationkey"), "c_nationkey", table(spark, sf, "nation"), "n_nationkey", "n_name", "n_name")
-    return order.top(linked, order.chain(("n_name", False), rid="c_custkey"), 0, 100).select("c_custkey", "n_name", "pos")
+    """All orders by the name of their customer."""
+    linked = order.through_link(table(spark, sf, "orders").select("o_orderkey", "o_custkey"), "o_custkey", table(spark, sf, "customer"), "c_custkey", "c_name", "c_name")
+    return order.numbered(linked, order.chain(("c_name", False), rid="o_orderkey")).select("o_orderkey", "c_name", "pos")
 
 
 @query("SELECT c_custkey, n_name, row_number() OVER (ORDER BY n_name DESC NULLS LAST, c_custkey) - 1 AS pos FROM customer LEFT JOIN nation ON c_nationkey = n_nationkey")

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from wordloom.functions import folding, marks, text
 from wordloom.operators import filters, idsets, index, links, lookups, order, tree
-from wordloom.operators.search import MODES, relevance, score, search
+from wordloom.operators.search import EXACT_MODES, MODES, relevance, score, search
 from wordloom.plans.registry import query, table
 from wordloom.sources import sinks
 
@@ -136,16 +136,21 @@ def search_wildcard(spark, sf):
     return search(_tokens(spark, sf), "th*g and of").select("doc_id", "n_occ")
 
 
-def _pairs(condition: str) -> str:
-    return f"WITH t AS ({FOLDED}) SELECT doc_id, n0 + n1 AS n_occ FROM ({_docs_with('the', 'of')}) WHERE doc_id IN (SELECT a.doc_id FROM t a JOIN t b ON a.doc_id = b.doc_id AND a.f = 'the' AND b.f = 'of' AND {condition})"
+def _pairs(a: str, b: str, condition: str) -> str:
+    """Documents where the nearest ``b`` before (p) or after (n) some ``a`` at
+    x meets the condition, by one pass over the places of both words."""
+    at = f"CASE WHEN f = '{b}' THEN pos END"
+    return f"""WITH t AS ({FOLDED}), m AS (SELECT doc_id, pos AS x, f, last_value({at} IGNORE NULLS) OVER (w ROWS UNBOUNDED PRECEDING) AS p,
+      first_value({at} IGNORE NULLS) OVER (w ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS n FROM t WHERE f IN ('{a}', '{b}') WINDOW w AS (PARTITION BY doc_id ORDER BY pos))
+      SELECT doc_id, n0 + n1 AS n_occ FROM ({_docs_with(a, b)}) WHERE doc_id IN (SELECT doc_id FROM m WHERE f = '{a}' AND ({condition}))"""
 
 
-@query(_pairs("abs(a.pos - b.pos) <= 2"))
+@query(_pairs("the", "of", "x - p <= 2 OR n - x <= 2"))
 def search_near(spark, sf):
     return search(_tokens(spark, sf), "the near of", near=2).select("doc_id", "n_occ")
 
 
-@query(_pairs("b.pos - a.pos BETWEEN 0 AND 3"))
+@query(_pairs("the", "of", "n - x <= 3"))
 def search_before(spark, sf):
     return search(_tokens(spark, sf), "the before of", near=3).select("doc_id", "n_occ")
 
@@ -259,14 +264,14 @@ def tree_path(spark, sf):
     return tree.absolute_paths(_tree(spark, sf)[0]).select("path")
 
 
-@query(f"""WITH p AS ({PATHS_SQL}), top AS (SELECT min(parts[1]) AS m FROM p WHERE len(parts) > 1)
+@query(f"""WITH p AS ({PATHS_SQL})
   SELECT DISTINCT 'dir' AS kind, parts[1] AS name FROM p WHERE len(parts) > 1""")
 def tree_list(spark, sf):
     dirs, files = _tree(spark, sf)
     return tree.list_dir(dirs, files, tree.ROOT).select("kind", "name")
 
 
-@query(f"""WITH p AS ({PATHS_SQL}), top AS (SELECT 'spam-farm.example.org' AS m)
+@query(f"""WITH p AS ({PATHS_SQL})
   SELECT count(DISTINCT parts[2]) AS n FROM p WHERE parts[1] = 'spam-farm.example.org' AND len(parts) > 2""")
 def tree_resolve(spark, sf):
     dirs, files = _tree(spark, sf)
@@ -275,6 +280,48 @@ def tree_resolve(spark, sf):
     return below.agg(F.countDistinct("name").alias("n"))
 
 
+@query(f"""WITH p AS ({PATHS_SQL}) SELECT DISTINCT 'file' AS kind, parts[len(parts)] AS name FROM p WHERE parts[1] = 'spam-farm.example.org' AND len(parts) = 2
+  UNION ALL SELECT 'dir', 'spam-farm.example.org'""")
+def tree_by_id(spark, sf):
+    """A directory and its files, each found again by its id."""
+    dirs, files = _tree(spark, sf)
+    at = tree.resolve_dir(dirs, "/spam-farm.example.org").select(F.col("dir_id").alias("_up"))
+    below = files.join(at, F.col("parent_id") == F.col("_up"), "left_semi")
+    found = tree.by_ids(dirs, files, below.select(F.lit("file").alias("kind"), F.col("file_id").alias("id")).unionByName(at.select(F.lit("dir").alias("kind"), F.col("_up").alias("id"))))
+    return found.select("kind", "name")
+
+
+@query(r"SELECT page_id, regexp_extract(html, '<title>([^<]*)', 1) AS title, regexp_extract(html, '(?is)<body[^>]*>(.*)</body>', 1) AS content FROM pages")
+def tree_content(spark, sf):
+    """Title and content of every file that a content URL names."""
+    pages = table(spark, sf, "pages")
+    files = pages.select(F.col("page_id").alias("file_id"), F.regexp_extract("html", "<title>([^<]*)", 1).alias("title"), text.html_body(F.col("html")).alias("content"))
+    urls = pages.select("page_id", F.concat(F.lit("sk://fs/2.0/main!/@"), "page_id").alias("url"))
+    return tree.content(files, urls, "url").select("page_id", "title", "content")
+
+
+@query(f"SELECT word, doc_id, count(*) AS n_occ FROM ({TOKENS}) WHERE starts_with(word, 'thi') OR ends_with(word, 'tion') GROUP BY word, doc_id")
+def index_written(spark, sf):
+    """Words by prefix and by suffix, in an index written sorted by word and
+    by reversed word: the literal part prunes row groups."""
+    written = index.written(table(spark, sf, "documents"))
+    head, tail = (index.find_postings(written, p) for p in ("thi*", "*tion"))
+    return head.unionByName(tail).select("word", "doc_id", "n_occ").distinct()
+
+
+@query(f"SELECT doc_id, count(*) AS n_occ FROM ({TOKENS}) WHERE word IN ('of', 'the') AND doc_id IN (SELECT doc_id FROM ({TOKENS}) WHERE word = 'of') AND doc_id IN (SELECT doc_id FROM ({TOKENS}) WHERE word = 'the') GROUP BY doc_id")
+def search_written(spark, sf):
+    """A search over the written index; only its words' row groups are read."""
+    return search(index.written(table(spark, sf, "documents")).by_word, "of the", folded=False).select("doc_id", "n_occ")
+
+
+@query(f"SELECT doc_id, count(*) AS n_occ FROM ({FOLDED}) WHERE f IN ('the', 'de') AND doc_id IN (SELECT doc_id FROM documents WHERE lang = 'en') GROUP BY doc_id")
+def search_filtered(spark, sf):
+    """Only postings of rows that a record filter keeps."""
+    english = idsets.ids(table(spark, sf, "documents").where("lang = 'en'"), "doc_id")
+    return search(filters.in_set(_tokens(spark, sf), "doc_id", english), "the or de").select("doc_id", "n_occ")
+
+
 #: The dictionary's index data and inflected forms, made from the parts.
 INDEX_SQL = "SELECT p_partkey AS rid, p_partkey AS entryid, p_size % 8 AS type, (p_partkey % 3)::VARCHAR AS contextid, p_name AS label, (p_partkey * 7) % 1000 AS clid FROM part"
 FOUND_SQL = f"SELECT rid FROM ({INDEX_SQL}) WHERE list_contains(string_split(label, ' '), 'ring') UNION SELECT p_partkey FROM part WHERE starts_with(p_brand, 'Brand#1') AND p_size = 7"
@@ -307,6 +354,37 @@ def _results(spark, sf):
     return kept.where(filters.type_mask(F.col("type"), MODES["all"]))
 
 
+#: Forms of words: a part's name holds a base form, and each form links to the parts of its base.
+_FORMS = {"rings": "ring", "ringing": "ring", "bluer": "blue", "blues": "blue"}
+_FORM_ROWS = ", ".join(f"('{f}', '{b}')" for f, b in _FORMS.items())
+_HAS = "list_contains(string_split(p_name, ' '), {0})"
+
+
+def _inflected(spark, sf, words: list[str], mode: str):
+    own = text.tokens(_index_data(spark, sf), "label", "rid")
+    pairs = spark.createDataFrame(list(_FORMS.items()), "form string, base string")
+    forms = pairs.join(own.select(F.col("word").alias("base"), "rid").distinct(), "base").groupBy("form").agg(F.collect_set("rid").alias("clids"))
+    return links.search_inflected(own, "rid", words, forms, "clids", mode)
+
+
+def _mode_sql(mode: str) -> str:
+    linked = f"UNION SELECT p_partkey FROM part, (VALUES {_FORM_ROWS}) f(form, base) WHERE (form = 'rings' OR starts_with(form, 'blue')) AND {_HAS.format('base')}"
+    return f"SELECT p_partkey AS id FROM part WHERE len(list_filter(string_split(p_name, ' '), lambda w: w = 'rings' OR starts_with(w, 'blue'))) > 0 {linked if mode not in EXACT_MODES else ''}"
+
+
+def _add_mode(mode: str) -> None:
+    mask = MODES[mode]
+
+    @query(f"SELECT p_partkey AS id FROM part WHERE p_partkey IN ({_mode_sql(mode)}) AND ({mask} >> (p_size % 8)::INTEGER) & 1 = 1", f"mode_{mode}")
+    def run(spark, sf):
+        found = _inflected(spark, sf, ["rings", "blue*"], mode)
+        return filters.in_set(_index_data(spark, sf), "rid", found).where(filters.type_mask(F.col("type"), mask)).select(F.col("rid").alias("id"))
+
+
+for _mode in MODES:
+    _add_mode(_mode)
+
+
 @query(f"SELECT rid, entryid, type, contextid, label, clid, pos FROM ({_RESULT_SQL}) WHERE pos BETWEEN 10 AND 29")
 def combined_search(spark, sf):
     return order.top(_results(spark, sf), order.by_result(), 10, 20)

@@ -59,3 +59,21 @@ def code_points(text: Column) -> Column:
 def search_path(name: str, folders: str, exists=os.path.exists) -> str | None:
     """The first of ``;``-separated folders of the driver that has a file."""
     return next((f"{d}/{name}" for d in folders.split(";") if exists(f"{d}/{name}")), None)
+
+
+def blobs(spark: SparkSession, path: str) -> DataFrame:
+    """(``name``, ``data``) of stored byte strings."""
+    return spark.read.parquet(path)
+
+
+def integers(raw: Column) -> Column:
+    """The different unsigned 32-bit little-endian numbers of a byte string in
+    order; bytes that fill no number are left out."""
+    pairs = F.regexp_extract_all(F.hex(raw), F.lit("(.{8})"), F.lit(1))
+    turned = F.transform(pairs, lambda h: F.concat(*(F.substring(h, k, 2) for k in (7, 5, 3, 1))))
+    return F.array_sort(F.array_distinct(F.transform(turned, lambda h: F.conv(h, 16, 10).cast("long"))))
+
+
+def hex_integers(text: Column) -> Column:
+    """The different hexadecimal numbers of a text in order."""
+    return F.array_sort(F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit("([0-9A-Fa-f]+)"), F.lit(1)), lambda h: F.conv(h, 16, 10).cast("long"))))

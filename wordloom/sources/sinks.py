@@ -34,3 +34,9 @@ def results_page(results: DataFrame, total: DataFrame, begin: int, size: int) ->
 def write_text(df: DataFrame, column: str, path: str, mode: str = "overwrite") -> None:
     """One line for each row; ``append`` adds files."""
     df.select(F.col(column).cast("string").alias("value")).write.mode(mode).text(path)
+
+
+def write_blobs(df: DataFrame, name: str, data: str, path: str) -> None:
+    """Keeps byte strings by name: a Parquet table, overwritten, whose folder
+    is made where it is missing (a file for each blob would be too many)."""
+    df.select(F.col(name).alias("name"), F.col(data).cast("binary").alias("data")).write.mode("overwrite").parquet(path)
