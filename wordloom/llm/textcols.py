@@ -121,6 +121,7 @@ def batches(frames, rows: int = 1 << 30, size: int = 24 << 20, text: str = "text
     """Joins small Arrow batches until they hold ``size`` bytes of text, and
     cuts large ones, so that vectorised work has enough rows and memory stays
     bounded (one text may exceed the size by itself)."""
+    give_back()  # what a task of another kind has left
     held: list[pa.RecordBatch] = []
     held_rows = held_size = 0
     for frame in frames:
