@@ -25,8 +25,10 @@ def rows(df, *names):
 
 
 def test_quality_rules(spark, sf, docs):
-    got = rows(q.op2_quality_rules(spark, sf), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
+    query = q.op2_quality_rules(spark, sf)
+    got = rows(query, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
     assert got == {d: brute.quality(t) for d, t in docs.items()}
+    assert all(not (k and b) for k, b in rows(query, "kept", "base_failed").values())
     out = clean_lines(q.table(spark, sf, "documents"))
     assert rows(out, "kept", "words_left", "clean_text") == {d: brute.line_rules(t) for d, t in docs.items()}
     quality = {r["doc_id"]: r["quality"] for r in q.table(spark, sf, "labels").collect()}
