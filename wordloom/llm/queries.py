@@ -137,7 +137,7 @@ def quality_base(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUALITY_SQL = rf"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), {WORDS_SQL}) AS ws FROM documents),
 windows AS (SELECT doc_id, i, ws[i:i + 4] AS w FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 3)) AS i FROM d)),
-again AS (SELECT doc_id, unnest(at) AS i FROM (SELECT doc_id, w, list(i) AS at FROM windows GROUP BY doc_id, w HAVING count(*) > 1)),
+again AS (SELECT doc_id, unnest(places) AS i FROM (SELECT doc_id, w, list(i) AS places FROM windows GROUP BY doc_id, w HAVING count(*) > 1)),
 inside AS (SELECT doc_id, count(DISTINCT i + j) AS n FROM again, range(5) r(j) GROUP BY doc_id),
 lines AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM d),
 dup AS (SELECT doc_id, (count(*) - count(DISTINCT line))::BIGINT AS n FROM lines WHERE regexp_matches(line, {WORDS_SQL}) GROUP BY doc_id),
