@@ -126,6 +126,86 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_assign", "n_access", "n_hex", F.sha2(joined(F.col("base")), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"))
 
 
+def op11_repair_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from wordloom.llm.repair import repair_conversations
+
+    out = repair_conversations(_damaged(table(spark, sf_dir, "conversations")))
+    text = F.array_join(F.transform("repaired", lambda r: F.concat(r["role"], F.lit(":"), r["text"])), "\n")
+    return out.select("conv_id", "gaps", "blank", "duplicate", "truncated", "illegal", "cost", "audit", F.sha2(text, 256).alias("repaired_sha256"))
+
+
+def _damaged(rows: DataFrame) -> DataFrame:
+    """The damage that the contract orders, by a hash of conversation and turn."""
+    space = F.lit(" ")
+    named = F.concat(F.coalesce(F.col("conv_id").cast("string"), space), F.lit(":"), F.coalesce(F.col("turn").cast("string"), space))
+    own = rows.select("conv_id", "turn", F.coalesce("role", space).alias("role"), F.coalesce("text", space).alias("text"), (F.crc32(named) % 20).alias("fate"))
+    fate = F.col("fate")
+    text = F.when(fate == 1, "").when(fate == 2, F.translate("text", ".!?", "")).otherwise(F.col("text"))
+    role = F.when(fate == 4, "user").otherwise(F.col("role"))
+    twice = F.explode(F.sequence(F.lit(1), F.when(fate == 3, 2).otherwise(1)))
+    return own.select("conv_id", "turn", role.alias("role"), text.alias("text"), (fate != 0).alias("present"), twice.alias("again"))
+
+
+def op12_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from wordloom.llm.url_rules import judge_urls
+
+    rules = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
+    return judge_urls(table(spark, sf_dir, "pages"), spark.createDataFrame(rules, "host string, path string, verdict string"))
+
+
+OP12_SQL = r"""
+WITH rules(host, path, verdict) AS (VALUES ('net', '/', 'block'), ('example.net', '/en/', 'allow'), ('example.com', '/de/', 'block'), ('org', '/fr/', 'allow')),
+rest AS (SELECT page_id, CASE WHEN contains(url, '://') THEN url[instr(url, '://') + 3:] ELSE '' END AS rest FROM pages),
+cut AS (
+  SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+         regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path, row_number() OVER () AS n FROM rest),
+best AS (
+  SELECT n, max_by(r.host || r.path, length(r.host || r.path)) AS rule, max_by(verdict, length(r.host || r.path)) AS verdict
+  FROM cut c JOIN rules r ON (c.host = r.host OR ends_with(c.host, '.' || r.host)) AND starts_with(c.path, r.path) GROUP BY n)
+SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM cut LEFT JOIN best USING (n)
+"""
+
+
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from wordloom.llm.prefix_trie import conversations, prefix_trie
+
+    own = conversations(table(spark, sf_dir, "conversations"))
+    heads = own.where("conv_id % 20 = 0").select(F.col("conv_id").alias("base"), F.slice("turns", 1, 3).alias("head"))
+    none = F.array().cast(own.schema["turns"].dataType)
+    h = (F.crc32(F.col("conv_id").cast("string")) % 4).cast("int")
+    rebuilt = F.concat(F.slice(F.coalesce("head", none), F.lit(1), h), F.slice("turns", h + 1, F.size("turns")))
+    linked = own.join(heads, F.col("conv_id") - F.col("conv_id") % 20 == F.col("base"), "left")
+    return prefix_trie(linked.select("conv_id", rebuilt.alias("turns")))
+
+
+#: DuckDB has no crc32: a step for each byte, and eight for its bits.
+CRC32 = """xor(list_reduce(list_prepend(4294967295::BIGINT, flatten(list_transform(string_split({0}, ''), lambda c: [ascii(c)::BIGINT, -1, -1, -1, -1, -1, -1, -1, -1]))),
+  lambda a, x: CASE WHEN x >= 0 THEN xor(a, x) WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END), 4294967295)"""
+
+OP13_SQL = rf"""
+WITH rows AS (SELECT conv_id AS c, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
+marked AS (SELECT *, md5(length(role)::VARCHAR || ':' || role || text) AS t, len(regexp_extract_all(text, '[^ 	-]+'))::BIGINT AS w FROM rows),
+own AS (SELECT c, list(t ORDER BY turn NULLS FIRST, t) AS ts, list(w ORDER BY turn NULLS FIRST, t) AS ws FROM marked GROUP BY c),
+cut AS (SELECT *, ({CRC32.format("c::VARCHAR")} % 4)::BIGINT AS h FROM own),
+built AS (
+  SELECT x.c, list_concat(coalesce(b.ts[1:x.h], []), x.ts[x.h + 1:]) AS ts, list_concat(coalesce(b.ws[1:x.h], []), x.ws[x.h + 1:]) AS ws
+  FROM cut x LEFT JOIN own b ON b.c = x.c - x.c % 20),
+members AS (SELECT c, d, len(ts) AS n, md5(array_to_string(ts[1:d], ',')) AS node, CASE WHEN d > 0 THEN ws[d] ELSE 0 END AS w FROM (SELECT *, unnest(range(0, len(ts) + 1)) AS d FROM built)),
+nodes AS (
+  SELECT node, d, min(c) AS c, count(*) AS n_convs, (count(*) - 1) * any_value(w) AS saved,
+         sha256(coalesce(string_agg(c::VARCHAR, ',' ORDER BY c) FILTER (WHERE n = d), '')) AS ends
+  FROM members GROUP BY node, d),
+above AS (SELECT x.node, x.d, m.node AS up, m.d AS up_d, x.saved FROM nodes x JOIN members m ON m.c = x.c AND m.d <= x.d),
+kids AS (SELECT up AS node, up_d AS d, count(*) AS n FROM above WHERE up_d = d - 1 GROUP BY ALL),
+sums AS (
+  SELECT a.up AS node, a.up_d AS d, sum(a.saved)::BIGINT AS saved, count(*) FILTER (WHERE k.n IS NULL) AS leaves
+  FROM above a LEFT JOIN kids k ON k.node = a.node AND k.d = a.d GROUP BY ALL)
+SELECT x.c AS conv_id, x.d AS depth, p.c AS parent_conv_id, x.n_convs, coalesce(k.n, 0) AS n_children, s.leaves AS n_leaves, s.saved AS saved_tokens, x.ends AS ends_sha256
+FROM nodes x JOIN sums s ON s.node = x.node AND s.d = x.d LEFT JOIN kids k ON k.node = x.node AND k.d = x.d
+LEFT JOIN above a ON a.node = x.node AND a.d = x.d AND a.up_d = x.d - 1 LEFT JOIN nodes p ON p.node = a.up AND p.d = a.up_d
+"""
+
+
 WORDS_SQL = r"'[^\x20\x09-\x0D]+'"
 
 
@@ -197,6 +277,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op7_run_index_dedup": op7_run_index_dedup,
         "op9_nearest_neighbours": op9_nearest_neighbours,
         "op10_secret_scan": op10_secret_scan,
+        "op11_repair_conversations": op11_repair_conversations,
+        "op12_url_rules": op12_url_rules,
+        "op13_prefix_trie": op13_prefix_trie,
         "quality_base": quality_base,
         "secret_base": secret_base,
         "mix_targets": mix_targets,
@@ -204,4 +287,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_line_dedup": OP4_SQL, "op9_nearest_neighbours": OP9_SQL, "quality_base": QUALITY_SQL, "secret_base": SECRETS_SQL, "mix_targets": TARGETS_SQL}
+    return {"op4_line_dedup": OP4_SQL, "op9_nearest_neighbours": OP9_SQL, "op12_url_rules": OP12_SQL, "op13_prefix_trie": OP13_SQL, "quality_base": QUALITY_SQL, "secret_base": SECRETS_SQL, "mix_targets": TARGETS_SQL}
