@@ -81,6 +81,17 @@ def same_folded(a: Column, b: Column) -> Column:
     return fold(a) == fold(b)
 
 
+def compare_folded(a: Column, b: Column, changes: dict[str, str] | None = None) -> Column:
+    """-1, 0 or 1: the order of two texts by their folds, in which one code
+    point may have become several (``changes``).  The fold itself is the key
+    to sort, join or look up by in this order."""
+    return compared(fold(a, changes=changes), fold(b, changes=changes))
+
+
+def compared(a: Column, b: Column) -> Column:
+    return F.when(a < b, -1).when(a > b, 1).when(a == b, 0)
+
+
 def sloppy_capitals(word: Column, wanted: str) -> Column:
     """Whether a word equals ``wanted`` where an unaccented capital on either
     side may stand for the same letter with an accent."""

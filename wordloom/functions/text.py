@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Separators that always end a word, separators that end it unless an exception word goes on, and the exceptions.
-HARD = "!#()+,./:;<>^_`[]{}~-| \n\r\t "
+HARD = "!#()+,./:;<>^_`[]{|}~- \n\r\t "
 SOFT = "'"
 EXCEPTIONS = ("aujourd'hui",)
 
@@ -40,12 +40,15 @@ def tokens(docs: DataFrame, text: str = "text", key: str = "doc_id", **rules) ->
     return docs.select(key, F.posexplode(words(F.col(text), **rules)).alias("pos", "word"))
 
 
-def next_string(prefix: str) -> bytes | None:
-    """The smallest byte string above all that begin with ``prefix``."""
-    raw = prefix.encode()
-    while raw and raw[-1] == 0xFF:
-        raw = raw[:-1]
-    return raw[:-1] + bytes([raw[-1] + 1]) if raw else None
+def next_string(prefix: str) -> str | None:
+    """The smallest string above all that begin with ``prefix``: by code
+    points, which is the order of UTF-8 bytes as well.  None if there is none."""
+    while prefix:
+        point = ord(prefix[-1]) + 1
+        if point <= 0x10FFFF:
+            return prefix[:-1] + chr(0xE000 if point == 0xD800 else point)  # surrogates aren't text
+        prefix = prefix[:-1]
+    return None
 
 
 def reverse_points(text: Column) -> Column:

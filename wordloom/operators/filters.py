@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -67,7 +68,29 @@ def through_link(df: DataFrame, column: str, target: DataFrame, key: str, condit
     return df.join(target.where(condition).select(F.col(key).alias("_key")), F.col(column) == F.col("_key"), "left_semi")
 
 
+def let(value: Column, then: Callable[[Column], Column]) -> Column:
+    """``then`` of a value that is computed once: an expression named inside a
+    lambda is computed anew at each of its calls."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
+
+
 def near_positions(positions: Column, others: Column, before: int, after: int) -> Column:
-    """Positions p with some other position in [p - before, p + after]."""
-    reach = F.flatten(F.transform(others, lambda e: F.sequence(e - after, e + before)))
-    return F.array_intersect(positions, reach)
+    """Positions p with some other position in [p - before, p + after], in
+    order; a negative reach admits none on that side.
+
+    Both lists are merged once.  A position's place on the merged line less
+    its place among its own kind is the number of others up to it, so its two
+    neighbours among them are read directly, whatever the reach."""
+
+    def merged(v: Column) -> Column:
+        tagged = lambda name, own: F.transform(v[name], lambda x: F.struct(x.alias("at"), F.lit(own).alias("own")))
+        line = F.sort_array(F.concat(tagged("others", 0), tagged("positions", 1)))
+        placed = F.filter(F.transform(line, lambda x, i: F.struct(x["at"].alias("at"), x["own"].alias("own"), i.alias("i"))), lambda x: x["own"] == 1)
+
+        def meets(x: Column, k: Column) -> Column:
+            last, following = (F.get(v["others"], x["i"] - k - back) for back in (1, 0))
+            return (x["at"] - last <= before) | (following - x["at"] <= after)
+
+        return F.transform(F.filter(placed, meets), lambda x: x["at"])
+
+    return let(F.struct(F.sort_array(positions).alias("positions"), F.sort_array(others).alias("others")), merged)

@@ -44,6 +44,10 @@ def id_range(spark: SparkSession, start: int, count: int) -> DataFrame:
     return spark.range(start, start + count)
 
 
+#: Fixed value: the ids of one bitmap.
+BITS = 32768
+
+
 def as_bitmap(ids: DataFrame) -> DataFrame:
     """(``bucket``, ``bits``): the set as bitmaps of 32,768 ids each."""
     return ids.groupBy(F.bitmap_bucket_number("id").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("id")).alias("bits"))
@@ -53,6 +57,34 @@ def bitmap_count(bitmaps: DataFrame) -> DataFrame:
     return bitmaps.agg(F.coalesce(F.sum(F.bitmap_count("bits")), F.lit(0)).alias("n"))
 
 
+def _bucket_wise(left: DataFrame, right: DataFrame, operator: str) -> DataFrame:
+    turned = right.withColumn("bits", F.unhex(F.translate(F.hex("bits"), "0123456789ABCDEF", "FEDCBA9876543210"))) if operator == "not" else right
+    sides = left.withColumn("_left", F.lit(1)).unionByName(turned.withColumn("_left", F.lit(0)))
+    merge = F.bitmap_or_agg if operator == "or" else F.bitmap_and_agg
+    found = sides.groupBy("bucket").agg(merge("bits").alias("bits"), F.sum("_left").alias("_l"), F.count(F.lit(1)).alias("_n"))
+    kept = {"or": F.lit(True), "and": F.col("_n") == 2, "not": F.col("_l") == 1}[operator]
+    return found.where(kept).select("bucket", "bits").where(F.bitmap_count("bits") > 0)
+
+
+def bitmap_combine(operator: str, left: DataFrame, right: DataFrame) -> DataFrame:
+    """``or``, ``and`` or ``not`` (left without right) of two sets kept as
+    bitmaps, bucket by bucket: one shuffle of bitmaps, no ids.  Each side has
+    one row for a bucket.  Empty buckets are left out."""
+    if operator not in ("or", "and", "not"):
+        raise ValueError(f"no bitmap operator {operator!r}")
+    return _bucket_wise(left, right, operator)
+
+
+def from_bitmap(bitmaps: DataFrame) -> DataFrame:
+    """The ids of a set kept as bitmaps; numbers up to 0 count backwards in
+    their buckets, as ``as_bitmap`` puts them there."""
+    pairs = F.regexp_extract_all(F.hex("bits"), F.lit("(..)"), F.lit(1))
+    filled = F.filter(F.transform(pairs, lambda h, i: F.struct(F.conv(h, 16, 10).cast("int").alias("byte"), i.alias("i"))), lambda x: x["byte"] > 0)
+    bits = bitmaps.select("bucket", F.explode(filled).alias("x")).select("bucket", "x.i", F.explode(F.filter(F.sequence(F.lit(0), F.lit(7)), lambda k: F.getbit(F.col("x.byte"), k) == 1)).alias("k"))
+    at = F.col("i") * 8 + F.col("k")
+    return bits.select(F.when(F.col("bucket") > 0, (F.col("bucket") - 1) * BITS + at + 1).otherwise(F.col("bucket") * BITS - at).cast("long").alias("id"))
+
+
 def drop_adjacent(df: DataFrame, order: list[str], value: str, within: list[str]) -> DataFrame:
     """Rows whose value differs from the one before them, in each ``within``
     group; the first row of a group stays.  Rows are dealt out by ranges of

@@ -1,19 +1,22 @@
 """Lexicon and postings of a corpus, and word lookup in them.
 
-Both are plain tables.  Written sorted by ``word`` (and a copy of the lexicon
-by ``rev``), a prefix or suffix search reads few row groups.
+Both are plain tables.  ``written`` keeps the postings sorted by word and the
+lexicon sorted by each of its four keys, so that a prefix or suffix search,
+raw or folded, reads few row groups of one copy of the lexicon and then only
+those folders of postings that hold the words found.
 """
 
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wordloom.functions.folding import fold, fold_text
-from wordloom.functions.text import WordPattern, regular, tokens, wildcard
+from wordloom.functions.text import WordPattern, next_string, regular, tokens, wildcard
 from wordloom.sources.kept import shared_folder
 
 
@@ -41,11 +44,13 @@ def with_keys(words: DataFrame) -> DataFrame:
     return words.withColumn("fold", fold(F.col("word"))).withColumn("rev", F.reverse("word")).withColumn("rev_fold", F.reverse("fold"))
 
 
-def matches(pattern: WordPattern, folded: bool = False, word: Column | None = None) -> Column:
+def matches(pattern: WordPattern, folded: bool = False, word: Column | None = None, folds: Callable[[str], str] | None = None) -> Column:
     """The condition that a word meets a planned pattern.  Without ``word`` it
     stands on a lexicon's columns, so that the literal part can prune a scan
-    of the sorted key; with it the keys are computed from that column."""
-    literal = fold_text(pattern.literal) if folded else pattern.literal
+    of the sorted key; with it the keys are computed from that column, which
+    is a folded key already if ``folds`` says how."""
+    change = folds or (fold_text if folded else str)
+    literal = change(pattern.literal)
     if word is None:
         key = F.col("fold" if folded else "word")
         backward = F.col("rev_fold" if folded else "rev")
@@ -60,9 +65,12 @@ def matches(pattern: WordPattern, folded: bool = False, word: Column | None = No
         found = backward.startswith(literal[::-1]) if backward is not None else key.endswith(literal)
     else:
         found = F.lit(True)
-    if pattern.rest is not None:
-        found = found & key.rlike(fold_text(pattern.rest) if folded and "\\" not in pattern.rest else pattern.rest)
-    return found
+    return found if pattern.rest is None else found & _rest(pattern, key, change)
+
+
+def _rest(pattern: WordPattern, key: Column, change: Callable[[str], str]) -> Column:
+    """What a pattern's literal part leaves to be matched."""
+    return key.rlike(pattern.rest if "\\" in pattern.rest else change(pattern.rest))
 
 
 def find_words(words: DataFrame, pattern: str, kind: str = "wildcard", folded: bool = False) -> DataFrame:
@@ -72,31 +80,92 @@ def find_words(words: DataFrame, pattern: str, kind: str = "wildcard", folded: b
     return words.where(matches(plan, folded))
 
 
+#: The keys that words are looked up by; a suffix is a prefix of a reversed one.
+KEYS = ("word", "rev", "fold", "rev_fold")
+
+
 @dataclass(frozen=True)
 class Written:
-    """Postings in files sorted by word, and again by reversed word."""
+    """An index in files.
+
+    ``postings`` (``bucket, word``, key, ``structure, n_occ, positions``) are
+    range-partitioned and sorted by word and key, a folder for each range.
+    ``words`` holds the lexicon four times, sorted by each of ``KEYS``: a row
+    for each word with ``word_id``, all keys, ``n_docs``, ``n_occ`` and the
+    ``first`` and ``last`` bucket that hold its postings."""
 
-    by_word: DataFrame
-    by_rev: DataFrame
+    postings: DataFrame
+    words: dict[str, DataFrame]
 
 
-def written(docs: DataFrame, text: str = "text", key: str = "doc_id", path: str | None = None) -> Written:
-    """Writes the postings of a corpus twice, each range-partitioned and sorted
-    by its key, so that a literal head or tail of a pattern reads only the row
-    groups that may hold it.  ``path``: a new folder of the shared one if None."""
+def word_id(word: Column) -> Column:
+    """A word's number, for tables that link words."""
+    return F.xxhash64(word)
+
+
+def written(docs: DataFrame, text: str = "text", key: str = "doc_id", path: str | None = None, structure: Column | None = None) -> Written:
+    """Writes an index.  ``path``: a new folder of the shared one if None.
+
+    A frequent word's postings are spread over as many ranges as they fill;
+    the lexicon is summed up from them and written in four orders."""
     spark = docs.sparkSession
     path = path or f"{shared_folder(spark)}/index-{uuid.uuid4().hex}"
-    rows = postings(docs, text, key).withColumn("rev", F.reverse("word"))
-    for name in ("word", "rev"):
-        source = rows if name == "word" else spark.read.parquet(f"{path}/word")
-        source.repartitionByRange(name).sortWithinPartitions(name, key).write.parquet(f"{path}/{name}")
-    return Written(spark.read.parquet(f"{path}/word"), spark.read.parquet(f"{path}/rev"))
-
-
-def find_postings(index: Written, pattern: str) -> DataFrame:
-    """Postings of the words that meet a wildcard pattern."""
-    plan = wildcard(pattern)
-    if plan.mode == "end":
-        found = index.by_rev.where(F.col("rev").startswith(plan.literal[::-1]))
-        return found if plan.rest is None else found.where(F.col("word").rlike(plan.rest))
-    return index.by_word.where(matches(plan, False, F.col("word")))
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    rows = postings(docs, text, key, structure).repartitionByRange(parts, "word", key).withColumn("bucket", F.spark_partition_id())
+    rows.sortWithinPartitions("bucket", "word", key).write.partitionBy("bucket").parquet(f"{path}/postings")
+    return _lexicon_of(spark, path, key)
+
+
+def _lexicon_of(spark: SparkSession, path: str, key: str) -> Written:
+    held = spark.read.parquet(f"{path}/postings")
+    pairs = held.groupBy("word", key).agg(F.sum("n_occ").alias("n"), F.min("bucket").alias("low"), F.max("bucket").alias("high"))
+    words = pairs.groupBy("word").agg(F.count(F.lit(1)).alias("n_docs"), F.sum("n").alias("n_occ"), F.min("low").alias("first"), F.max("high").alias("last"))
+    with_keys(words).withColumn("word_id", word_id(F.col("word"))).write.parquet(f"{path}/lexicon")
+    for k in KEYS:
+        spark.read.parquet(f"{path}/lexicon").repartitionByRange(k).sortWithinPartitions(k).write.parquet(f"{path}/by_{k}")
+    return open_written(spark, path)
+
+
+def open_written(spark: SparkSession, path: str) -> Written:
+    """An index that was written before."""
+    return Written(spark.read.parquet(f"{path}/postings"), {k: spark.read.parquet(f"{path}/by_{k}") for k in KEYS})
+
+
+def in_range(key: Column, prefix: str) -> Column:
+    """The keys in [prefix, next string): two comparisons that reach the scan."""
+    above = next_string(prefix)
+    return key >= prefix if above is None else (key >= prefix) & (key < above)
+
+
+def find_written(index: Written, pattern: str, folded: bool = False, kind: str = "wildcard") -> DataFrame:
+    """The lexicon's words that meet a pattern, from the copy whose order its
+    literal part can be searched in; folded keys lead back to raw words."""
+    plan = {"wildcard": wildcard, "regex": regular}[kind](pattern)
+    literal = fold_text(plan.literal) if folded else plan.literal
+    backward = plan.mode == "end"
+    name = KEYS[2 * folded + backward]
+    key = F.col(name)
+    found = index.words[name]
+    if plan.mode == "exact":
+        found = found.where(key == literal)
+    elif literal:
+        found = found.where(in_range(key, literal[::-1] if backward else literal))
+    return found.where(_rest(plan, F.col("fold" if folded else "word"), fold_text if folded else str)) if plan.rest is not None else found
+
+
+def buckets(words: DataFrame) -> list[int]:
+    """The postings' folders that hold some words: at most as many numbers as
+    there are folders."""
+    return sorted(r[0] for r in words.select(F.explode(F.sequence("first", "last")).alias("b")).distinct().collect())
+
+
+def find_postings(index: Written, pattern: str, folded: bool = False, kind: str = "wildcard") -> DataFrame:
+    """Postings of the words that meet a pattern.  Only the folders that hold
+    such words are read; of these, only row groups that may."""
+    words = find_written(index, pattern, folded, kind)
+    rows = index.postings.where(F.col("bucket").isin(buckets(words)))
+    plan = {"wildcard": wildcard, "regex": regular}[kind](pattern)
+    if not folded and plan.mode in ("exact", "begin"):
+        rows = rows.where(F.col("word") == plan.literal if plan.mode == "exact" else in_range(F.col("word"), plan.literal))
+        return rows if plan.rest is None else rows.where(_rest(plan, F.col("word"), str))
+    return rows.join(words.select("word"), "word", "left_semi")

@@ -8,10 +8,14 @@ range partition and not in one task.
 
 from __future__ import annotations
 
+from bisect import bisect_left
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from wordloom.operators.order import ranged
+from wordloom.operators.order import Pages, numbered, paged, ranged
+from wordloom.sources.kept import kept
 
 MODES = ("exact", "last_before", "first_after", "exact_or_before", "exact_or_after")
 
@@ -68,6 +72,45 @@ def list_position(table: DataFrame, key: str, target: str) -> DataFrame:
     return table.agg(F.greatest(F.lit(0), F.least(smaller, F.count(F.lit(1)) - 1)).cast("long").alias("position"))
 
 
+@dataclass(frozen=True)
+class Ranks:
+    """A sorted key in files with a directory: the first key of each range and
+    how many keys stand before it."""
+
+    pages: Pages
+    key: str
+    parts: list[int]
+    firsts: list[str]
+
+
+def ranks(table: DataFrame, key: str, path: str | None = None) -> Ranks:
+    """Sorts the different keys of a table once, for any number of lists to
+    open.  The directory has one entry for each range."""
+    pages = paged(table.where(F.col(key).isNotNull()).select(key).distinct(), [F.col(key).asc()], path)
+    held = pages.rows.groupBy("_part").agg(F.min(key).alias("first")).orderBy("_part").collect()
+    return Ranks(pages, key, [r["_part"] for r in held], [r["first"] for r in held])
+
+
+def position_in(held: Ranks, target: str) -> DataFrame:
+    """``list_position`` by the directory: one range of the key is read."""
+    at = bisect_left(held.firsts, target) - 1  # the last range that begins below the target
+    part = held.parts[max(at, 0)] if held.parts else -1
+    smaller = F.count(F.when(F.col(held.key) < target, 1)) + (held.pages.starts[part] if at >= 0 else 0)
+    read = held.pages.rows.where(F.col("_part") == part)
+    return read.agg(F.greatest(F.lit(0), F.least(smaller, F.lit(held.pages.total - 1))).cast("long").alias("position"))
+
+
+def list_positions(table: DataFrame, key: str, targets: DataFrame, target: str) -> DataFrame:
+    """(target, ``position``) of each different typed word: the keys are
+    numbered over range partitions, and one as-of pass finds the first key
+    that isn't smaller."""
+    keys = numbered(table.where(F.col(key).isNotNull()).select(key).distinct(), [F.col(key).asc()], "position")
+    keys = kept(keys)
+    last = max(keys.count() - 1, 0)
+    found = lookup_many(keys, key, "position", targets, target, "exact_or_after")
+    return found.select(target, F.coalesce("position", F.lit(last)).cast("long").alias("position"))
+
+
 def lower_bound(values: Column, target: Column) -> Column:
     """Where ``target`` goes into a sorted array (from 0)."""
     return F.size(F.filter(values, lambda v: v < target))

@@ -9,15 +9,19 @@ positions and scores are expressions over these arrays.  No joins.
 from __future__ import annotations
 
 import re
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from wordloom.functions.folding import fold, fold_text
 from wordloom.functions.text import wildcard, word_pattern
-from wordloom.operators.filters import near_positions, title_level
-from wordloom.operators.index import matches
+from wordloom.operators.filters import let, near_positions, title_level
+from wordloom.operators.hops import Hop, follow
+from wordloom.operators.index import Written, buckets, find_written, matches
+from wordloom.sources.kept import kept
 
 NEAR = 10
 OPERATORS = {"or": "or", "and": "and", "not": "not", "near": "near", "before": "before"}
@@ -82,16 +86,23 @@ def _conditions(terms: list[Term], word: Column, folded: bool) -> list[list[Colu
     return [[word == w if t.phrase else matches(wildcard(w), folded, word) for w in t.words] for t in terms]
 
 
-def _reach(positions: Column, first: int, last: int) -> Column:
-    """All positions from ``first`` to ``last`` after each of some."""
-    return F.flatten(F.transform(positions, lambda x: F.sequence(x + first, x + last)))
+def _tags(terms: list[Term], folded: bool) -> Column:
+    """The numbers of all query words that ``word`` meets; it is folded once."""
+
+    def met(v: Column) -> Column:
+        own = [v["raw"] == w if t.phrase else matches(wildcard(w), False, v["key"], fold_text if folded else str) for t in terms for w in t.words]
+        return F.array_compact(F.array(*(F.when(c, F.lit(k)) for k, c in enumerate(own))))
+
+    word = F.col("word")
+    return let(F.struct(word.alias("raw"), (fold(word) if folded else word).alias("key")), met)
 
 
 def _phrase_ends(positions: list[Column], steps: list[int]) -> Column:
     """Where a phrase's last word stands."""
     at = positions[0]
     for nxt, step in zip(positions[1:], steps[1:], strict=True):
-        at = F.array_intersect(nxt, _reach(at, 1, step))
+        after = F.transform(at, lambda x: x + 1)
+        at = F.array_intersect(nxt, after) if step == 1 else near_positions(nxt, after, step - 1, -1)
     return at
 
 
@@ -125,8 +136,7 @@ def verdict(terms: list[Term], near: int = NEAR) -> Verdict:
         else:
             # The words beside the operator: the last one before, the first one after.
             left, right = p[i - 1][-1], p[i][0]
-            reach = _reach(right, -near, near if t.operator == "near" else 0)
-            found = found & has & F.coalesce(F.arrays_overlap(left, reach), F.lit(False))
+            found = found & has & (F.size(near_positions(left, right, near if t.operator == "near" else 0, near)) > 0)
             marked = F.array_union(near_positions(marked, own, near, near), near_positions(own, marked, near, near))
     n_occ = sum((F.size(c) for own in p for c in own[1:]), F.size(p[0][0]))
     for own in p[1:]:
@@ -134,18 +144,22 @@ def verdict(terms: list[Term], near: int = NEAR) -> Verdict:
     return Verdict(found, F.array_sort(marked), n_occ)
 
 
-def _gather(rows: DataFrame, key: str, terms: list[Term], folded: bool, positions: str, exploded: bool) -> DataFrame:
-    """Positions of every term and document: one shuffle, of matches alone."""
-    conditions = _conditions(terms, F.col("word"), folded)
-    flat = [(f"p{i}_{j}", c) for i, own in enumerate(conditions) for j, c in enumerate(own)]
-    wanted = flat[0][1]
-    for _, c in flat[1:]:
-        wanted = wanted | c
-    def gathered(condition: Column) -> Column:
-        held = F.collect_list(F.when(condition, F.col(positions)))
+def _gather(tagged: DataFrame, key: str, terms: list[Term], positions: str, exploded: bool) -> DataFrame:
+    """Positions of every query word (number ``k``) and document: one shuffle,
+    of matches alone."""
+
+    def gathered(k: int) -> Column:
+        held = F.collect_list(F.when(F.col("k") == k, F.col(positions)))
         return F.array_sort(held if exploded else F.array_distinct(F.flatten(held)))
 
-    return rows.where(wanted).groupBy(key).agg(*(gathered(c).alias(n) for n, c in flat))
+    names = [f"p{i}_{j}" for i, t in enumerate(terms) for j in range(len(t.words))]
+    return tagged.groupBy(key).agg(*(gathered(k).alias(n) for k, n in enumerate(names)))
+
+
+def _without_positions(terms: list[Term]) -> list[Term]:
+    for t in terms:
+        t.operator = "and" if t.operator in ("near", "before") else t.operator
+    return terms
 
 
 def search(rows: DataFrame, query: str, key: str = "doc_id", stop_words: frozenset[str] = frozenset(), near: int = NEAR, folded: bool = True, with_positions: bool = True) -> DataFrame:
@@ -157,14 +171,84 @@ def search(rows: DataFrame, query: str, key: str = "doc_id", stop_words: frozens
     """
     terms = parse(query, stop_words)
     if not with_positions:
-        for t in terms:
-            t.operator = "and" if t.operator in ("near", "before") else t.operator
+        terms = _without_positions(terms)
     exploded = "pos" in rows.columns
-    held = _gather(rows, key, terms, folded, "pos" if exploded else "positions", exploded)
+    positions = "pos" if exploded else "positions"
+    tagged = rows.select(key, positions, F.explode(_tags(terms, folded)).alias("k"))
+    return _judged(_gather(tagged, key, terms, positions, exploded), terms, key, near)
+
+
+def _judged(held: DataFrame, terms: list[Term], key: str, near: int) -> DataFrame:
     v = verdict(terms, near)
     return held.where(v.found).select(key, v.n_occ.cast("long").alias("n_occ"), v.marked.alias("marked"))
 
 
+def needed(terms: list[Term]) -> list[int]:
+    """The numbers of the query words without which no document is found: those
+    of the terms that are joined by and, near or before after the last ``or``."""
+    out: list[int] = []
+    k = 0
+    for i, t in enumerate(terms):
+        own = list(range(k, k + len(t.words)))
+        k += len(own)
+        if t.operator == "or":
+            out = own if i == 0 else []
+        elif t.operator != "not":
+            out += own
+    return out
+
+
+#: Documents whose ids are broadcast at most; more meet by a shuffle.
+BROADCAST_IDS = 1 << 17
+
+
+def query_words(index: Written, terms: list[Term], folded: bool = True, path: Sequence[Hop] = ()) -> DataFrame:
+    """(``k``, ``word, n_docs, first, last``): the lexicon's words of each
+    query word.  ``path`` leads from the words found (``word_id``) to others,
+    such as inflected forms; phrases stay literal."""
+    every = index.words["word"]
+    found = []
+    for k, (w, phrase) in enumerate((w, t.phrase) for t in terms for w in t.words):
+        own = every.where(F.col("word") == w) if phrase else find_written(index, w, folded)
+        if path and not phrase:
+            ids = follow(own.select(F.col("word_id").alias("id")), list(path)).distinct()
+            own = every.join(ids, F.col("word_id") == F.col("id"), "left_semi")
+        found.append(own.select(F.lit(k).alias("k"), "word", "n_docs", "first", "last"))
+    return reduce(DataFrame.unionByName, found)
+
+
+def search_written(
+    index: Written, query: str, key: str = "doc_id", stop_words: frozenset[str] = frozenset(), near: int = NEAR, folded: bool = True, path: Sequence[Hop] = (), only: DataFrame | None = None, with_positions: bool = True
+) -> DataFrame:
+    """``search`` over a written index: the same result, from fewer rows.
+
+    The lexicon says first which words a query means, where their postings are
+    and how many there are.  If some word has to be in every document found,
+    the documents of the rarest such word are picked, and only their postings
+    of the other words are gathered.  ``only``: ids (``id``) that a record
+    filter lets through; other postings are dropped as they are read.
+    """
+    terms = parse(query, stop_words)
+    if not with_positions:
+        terms = _without_positions(terms)
+    words = kept(query_words(index, terms, folded, path))
+    sizes = {r["k"]: r["n"] for r in words.groupBy("k").agg(F.sum("n_docs").alias("n")).collect()}
+    rows = _postings_of(index, words, key)
+    rarest = min(needed(terms), key=lambda k: sizes.get(k, 0), default=None)
+    if rarest is not None and 2 * sizes.get(rarest, 0) < sum(sizes.values()):
+        docs = _postings_of(index, words.where(F.col("k") == rarest), key).select(key).distinct()
+        rows = rows.join(F.broadcast(docs) if sizes.get(rarest, 0) <= BROADCAST_IDS else docs, key, "left_semi")
+    if only is not None:
+        rows = rows.join(only.select(F.col("id").alias(key)), key, "left_semi")
+    return _judged(_gather(rows, key, terms, "positions", False), terms, key, near)
+
+
+def _postings_of(index: Written, words: DataFrame, key: str) -> DataFrame:
+    """(``k``, key, ``positions``) of the words of ``query_words``."""
+    read = index.postings.where(F.col("bucket").isin(buckets(words)))
+    return read.join(words.select("k", "word"), "word").select("k", key, "positions")
+
+
 #: What an occurrence counts at title levels 0 to 7.
 LEVEL_SCORES = (100, 20, 10, 5, 4, 3, 2, 1)
 

@@ -8,7 +8,7 @@ directories take about as many rounds as the tree's depth has binary digits.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wordloom.functions.text import content_url
@@ -100,6 +100,45 @@ def absolute_paths(dirs: DataFrame) -> DataFrame:
     return done.select("dir_id", "path")
 
 
+def settled(path: Column) -> Column:
+    """A path's segments without ``.``, ``..`` and empty ones; null above the
+    root, as ``normal_path`` has it."""
+    parts = F.split(path, "/")
+    plain = F.filter(parts, lambda s: ~s.isin("", "."))
+
+    def step(held: Column, s: Column) -> Column:
+        return F.when(s != "..", F.concat(held, F.array(s))).when(F.size(held) > 0, F.slice(held, F.lit(1), F.size(held) - 1))
+
+    climbing = F.aggregate(plain, F.array().cast("array<string>"), step)
+    return F.when(F.array_contains(plain, ".."), climbing).otherwise(plain)
+
+
+def resolve_many(dirs: DataFrame, files: DataFrame, paths: DataFrame, path: str) -> DataFrame:
+    """``paths`` with the ``kind`` (dir or file) and ``id`` of what each one
+    names, a directory before a file; both null where there is nothing.
+
+    Every directory's absolute path is climbed up to once (by doubling, in
+    about log2(depth) joins), so all paths of a table meet theirs in one join,
+    however deep; of equal names in a directory the smallest id counts, and
+    what is below the others can't be reached."""
+    names = ("_dir", "_dirs_path", "_file", "_path", "_norm", "_head", "_name")
+    if set(names) & set(paths.columns):
+        raise ValueError(f"columns {names} are taken")
+    first = dirs.groupBy("parent_id", "name").agg(F.min("dir_id").alias("dir_id"))
+    at = absolute_paths(first).select(F.col("dir_id").alias("_dir"), F.col("path").alias("_dirs_path"))
+    at = kept(at)
+    own = files.groupBy("parent_id", "name").agg(F.min("file_id").alias("_file")).join(at, F.col("parent_id") == F.col("_dir"))
+    own = own.select("_file", F.concat("_dirs_path", F.lit("/"), "name").alias("_path"))
+    # Equal paths are looked up once, so a path that many rows share is one row here.
+    wanted = paths.select(F.col(path).alias("_norm")).distinct().withColumn("_name", settled(F.col("_norm")))
+    joined = F.when(F.col("_name").isNotNull(), F.concat(F.when(F.size("_name") > 0, "/").otherwise(""), F.array_join("_name", "/")))
+    wanted = wanted.withColumn("_head", joined).drop("_name")
+    found = wanted.join(at, F.col("_head") == F.col("_dirs_path"), "left").join(own, F.col("_head") == F.col("_path"), "left")
+    kind = F.when(F.col("_dir").isNotNull(), "dir").when(F.col("_file").isNotNull(), "file")
+    found = found.select("_norm", kind.alias("kind"), F.coalesce("_dir", "_file").alias("id"))
+    return paths.join(found, F.col(path) == F.col("_norm"), "left").drop("_norm")
+
+
 def by_ids(dirs: DataFrame, files: DataFrame, wanted: DataFrame) -> DataFrame:
     """(``kind``, ``id``, ``name``, ``parent_id``) of directories and files by
     id (``wanted``: ``kind`` and ``id``)."""

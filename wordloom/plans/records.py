@@ -167,6 +167,24 @@ def set_bitmap_count(spark, sf):
     return idsets.bitmap_count(idsets.as_bitmap(_sets(spark, sf)[0]))
 
 
+def _add_bitmaps(operator: str, sql: str) -> None:
+    @query(f"SELECT id FROM ({A_SQL} {sql} {B_SQL})", f"bitmap_{operator}")
+    def run(spark, sf):
+        """Set algebra on bitmaps, and back to ids."""
+        a, b, _ = _sets(spark, sf)
+        return idsets.from_bitmap(idsets.bitmap_combine(operator, idsets.as_bitmap(a), idsets.as_bitmap(b)))
+
+
+for _operator, _sql in (("or", "UNION"), ("and", "INTERSECT"), ("not", "EXCEPT")):
+    _add_bitmaps(_operator, _sql)
+
+
+@query("SELECT DISTINCT l_orderkey * 1000 - 5000000 AS id FROM lineitem")
+def bitmap_round_trip(spark, sf):
+    """Ids below and above zero to bitmaps and back."""
+    return idsets.from_bitmap(idsets.as_bitmap(table(spark, sf, "lineitem").select((F.col("l_orderkey") * 1000 - 5_000_000).alias("id"))))
+
+
 @query("SELECT range AS id FROM range(5, 25)")
 def id_range(spark, sf):
     return idsets.id_range(spark, 5, 20)
@@ -255,6 +273,32 @@ def sort_chain_desc(spark, sf):
     return order.numbered(table(spark, sf, "part").select("p_partkey", "p_size", "p_name"), keys)
 
 
+_LINES = "SELECT l_orderkey, l_linenumber, l_extendedprice, row_number() OVER (ORDER BY l_extendedprice DESC, l_orderkey, l_linenumber, l_partkey, l_suppkey) - 1 AS pos FROM lineitem"
+
+
+def _line_pages(spark, sf):
+    keys = [F.col("l_extendedprice").desc(), *(F.col(c).asc() for c in ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"))]
+    return order.paged(table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"), keys)
+
+
+@query(f"SELECT * FROM ({_LINES}) WHERE pos BETWEEN (SELECT count(*) // 2 FROM lineitem) AND (SELECT count(*) // 2 + 49 FROM lineitem)")
+def page_in_the_middle(spark, sf):
+    """A late page of all lines: only the ranges that hold it are sorted."""
+    held = _line_pages(spark, sf)
+    return order.page_at(held, held.total // 2, 50).select("l_orderkey", "l_linenumber", "l_extendedprice", "pos")
+
+
+@query("""SELECT l_orderkey, l_linenumber, l_shipdate FROM (SELECT *, lag(l_quantity) OVER w AS a, lag(l_quantity, 2) OVER w AS b, lead(l_quantity) OVER w AS c FROM lineitem WINDOW w AS (ORDER BY l_shipdate, l_orderkey, l_linenumber, l_partkey, l_suppkey))
+  WHERE l_quantity > a AND l_quantity > c AND (b IS NULL OR b <= a)""")
+def filter_by_neighbours(spark, sf):
+    """Lines that stand out from those shipped before and after them."""
+    rows = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_shipdate", "l_quantity")
+    keys = [F.col(c).asc() for c in ("l_shipdate", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")]
+    near = order.with_neighbours(rows, keys, ["l_quantity"], before=2, after=1)
+    a, b, c, own = (F.col(f"l_quantity{k}") for k in ("_m1", "_m2", "_p1", ""))
+    return near.where((own > a) & (own > c) & (b.isNull() | (b <= a))).select("l_orderkey", "l_linenumber", "l_shipdate")
+
+
 @query("""SELECT o_orderkey, c_name, row_number() OVER (ORDER BY c_name DESC, o_orderkey) - 1 AS pos FROM orders JOIN customer ON o_custkey = c_custkey""")
 def sort_via_link(spark, sf):
     """All orders by the name of their customer."""

@@ -2,13 +2,19 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wordloom.functions import folding, marks, text
 from wordloom.operators import filters, idsets, index, links, lookups, order, tree
+from wordloom.operators.links import Hop
 from wordloom.operators.search import EXACT_MODES, MODES, relevance, score, search
+from wordloom.operators.search import search_written as search_index
 from wordloom.plans.registry import query, table
 from wordloom.sources import sinks
+from wordloom.sources.kept import kept
 
 WORD_SQL = r"[^!#()+,./:;<>^_`\[\]{}~|\x{20}\n\r\t\x{A0}''\-]+"
 TOKENS = f"SELECT doc_id, generate_subscripts(ws, 1) - 1 AS pos, unnest(ws) AS word FROM (SELECT doc_id, regexp_extract_all(text, '{WORD_SQL}') AS ws FROM documents)"
@@ -99,6 +105,47 @@ def wordlist_position(spark, sf):
     return found[0].unionByName(found[1]).unionByName(found[2])
 
 
+@query(f"""WITH k AS (SELECT DISTINCT word FROM ({TOKENS})), n AS (SELECT word, row_number() OVER (ORDER BY word) - 1 AS pos FROM k),
+  t AS (SELECT word AS target FROM k UNION SELECT word || '!' FROM k UNION SELECT 'z' || word FROM k)
+  SELECT target, coalesce(pos, (SELECT count(*) - 1 FROM k)) AS position FROM t ASOF LEFT JOIN n ON t.target <= n.word""")
+def wordlist_positions(spark, sf):
+    """Where the word list opens for many typed words at once."""
+    words = _tokens(spark, sf).select("word").distinct()
+    typed = words.select(F.explode(F.array("word", F.concat("word", F.lit("!")), F.concat(F.lit("z"), "word"))).alias("target"))
+    return lookups.list_positions(words, "word", typed, "target")
+
+
+@query(f"""SELECT t.target, least((SELECT count(*) FROM ({LEXICON}) WHERE word < t.target), (SELECT count(*) - 1 FROM ({LEXICON}))) AS position FROM (VALUES (''), ('a'), ('of'), ('the'), ('\U0010ffff')) t(target)""")
+def wordlist_directory(spark, sf):
+    """The same for one word at a time, by a directory of the sorted words:
+    each reads one range."""
+    held = lookups.ranks(_tokens(spark, sf), "word")
+    found = [lookups.position_in(held, t).select(F.lit(t).alias("target"), "position") for t in ("", "a", "of", "the", "\U0010ffff")]
+    return reduce(DataFrame.unionByName, found)
+
+
+_CHANGES = {"æ": "ae", "œ": "oe", "ß": "ss"}
+_KEY_SQL = "replace(replace(replace(strip_accents(lower({0})), 'æ', 'ae'), 'œ', 'oe'), 'ß', 'ss')"
+
+
+@query(f"SELECT word, row_number() OVER (ORDER BY {_KEY_SQL.format('word')}, word) - 1 AS pos FROM (SELECT DISTINCT word FROM ({TOKENS}))")
+def sort_folded(spark, sf):
+    """The lexicon in folded order, in which a letter may count as several."""
+    words = _tokens(spark, sf).select("word").distinct().withColumn("key", folding.fold(F.col("word"), changes=_CHANGES))
+    return order.numbered(words, [F.col("key").asc(), F.col("word").asc()]).select("word", "pos")
+
+
+@query(f"""WITH w AS (SELECT DISTINCT word FROM ({TOKENS})), k AS (SELECT {_KEY_SQL.format('word')} AS key, min(word) AS rid FROM w GROUP BY 1), t AS (SELECT DISTINCT {_KEY_SQL.format("upper(word) || 'e'")} AS target FROM w)
+  SELECT target, rid, CASE WHEN rid IS NULL THEN NULL WHEN target = key THEN 0 ELSE 1 END AS compared FROM t ASOF LEFT JOIN k ON t.target >= k.key""")
+def lookup_folded(spark, sf):
+    """The word at or before each of others, in folded order."""
+    words = _tokens(spark, sf).select("word").distinct()
+    keys = words.select(folding.fold(F.col("word"), changes=_CHANGES).alias("key"), "word")
+    targets = words.select(folding.fold(F.concat(F.upper("word"), F.lit("e")), changes=_CHANGES).alias("target"))
+    found = lookups.lookup_many(keys, "key", "word", targets, "target", "exact_or_before")
+    return found.select("target", F.col("word").alias("rid"), folding.compare_folded(F.col("target"), F.col("word"), _CHANGES).alias("compared"))
+
+
 def _docs_with(*words: str) -> str:
     """SQL: per document, how often each of the words stands in it."""
     counts = ", ".join(f"count(*) FILTER (WHERE f = '{w}') AS n{i}" for i, w in enumerate(words))
@@ -280,6 +327,27 @@ def tree_resolve(spark, sf):
     return below.agg(F.countDistinct("name").alias("n"))
 
 
+@query(r"""WITH u AS (SELECT page_id, regexp_replace(regexp_replace(url, '^https?://', ''), '[?#].*$', '') AS path FROM pages),
+  p AS (SELECT page_id, list_filter(string_split(path, '/'), lambda s: s <> '') AS parts FROM u),
+  d AS (SELECT DISTINCT parts[1:n] AS parts FROM (SELECT parts, unnest(range(1, len(parts))) AS n FROM p)), f AS (SELECT DISTINCT parts FROM p WHERE len(parts) > 0),
+  w AS (SELECT page_id, unnest([{'k': 'whole', 'parts': parts}, {'k': 'up', 'parts': parts[1:len(parts) - 1]}, {'k': 'none', 'parts': list_append(parts, 'none')}, {'k': 'above', 'parts': NULL}], recursive := true) FROM p)
+  SELECT page_id, k AS form, CASE WHEN w.parts = [] OR d.parts IS NOT NULL THEN 'dir' WHEN f.parts IS NOT NULL THEN 'file' END AS kind, CASE WHEN w.parts = [] OR d.parts IS NOT NULL OR f.parts IS NOT NULL THEN array_to_string(w.parts, '/') END AS found
+  FROM w LEFT JOIN d ON w.parts = d.parts LEFT JOIN f ON w.parts = f.parts""")
+def tree_resolve_all(spark, sf):
+    """Every page's path, the one above it, one below it that isn't there and
+    one above the root, written with ``.`` and ``..``, found in one join."""
+    path = F.regexp_replace(F.regexp_replace("url", "^https?://", ""), "[?#].*$", "")
+    pages = table(spark, sf, "pages").select("page_id", path.alias("path"))
+    dirs, files = tree.from_paths(pages, "path")
+    forms = F.array(*(F.struct(F.lit(k).alias("form"), p.alias("path")) for k, p in (("whole", F.concat(F.lit("//./"), "path")), ("up", F.concat("path", F.lit("/."), F.lit("/.."))), ("none", F.concat("path", F.lit("/x/../none"))), ("above", F.lit("a/../../b")))))
+    wanted = pages.select("page_id", F.explode(forms).alias("w")).select("page_id", "w.form", "w.path")
+    found = tree.resolve_many(dirs, files, wanted, "path")
+    names = kept(tree.absolute_paths(dirs))
+    own = files.join(names, F.col("parent_id") == F.col("dir_id")).select(F.lit("file").alias("kind"), F.col("file_id").alias("id"), F.concat("path", F.lit("/"), "name").alias("found"))
+    every = own.unionByName(names.select(F.lit("dir").alias("kind"), F.col("dir_id").alias("id"), F.col("path").alias("found")))
+    return found.join(every, ["kind", "id"], "left").select("page_id", "form", "kind", F.ltrim("found", F.lit("/")).alias("found"))
+
+
 @query(f"""WITH p AS ({PATHS_SQL}) SELECT DISTINCT 'file' AS kind, parts[len(parts)] AS name FROM p WHERE parts[1] = 'spam-farm.example.org' AND len(parts) = 2
   UNION ALL SELECT 'dir', 'spam-farm.example.org'""")
 def tree_by_id(spark, sf):
@@ -300,19 +368,112 @@ def tree_content(spark, sf):
     return tree.content(files, urls, "url").select("page_id", "title", "content")
 
 
+_INDEXES: dict[tuple[str, str], index.Written] = {}
+
+
+def _written(spark, sf) -> index.Written:
+    """The corpus's index: written once for an application, then read."""
+    at = (spark.sparkContext.applicationId, sf)
+    if at not in _INDEXES:
+        _INDEXES[at] = index.written(table(spark, sf, "documents"))
+    return _INDEXES[at]
+
+
 @query(f"SELECT word, doc_id, count(*) AS n_occ FROM ({TOKENS}) WHERE starts_with(word, 'thi') OR ends_with(word, 'tion') GROUP BY word, doc_id")
 def index_written(spark, sf):
-    """Words by prefix and by suffix, in an index written sorted by word and
-    by reversed word: the literal part prunes row groups."""
-    written = index.written(table(spark, sf, "documents"))
-    head, tail = (index.find_postings(written, p) for p in ("thi*", "*tion"))
+    """Postings of words by prefix and by suffix, from a written index."""
+    held = _written(spark, sf)
+    head, tail = (index.find_postings(held, p) for p in ("thi*", "*tion"))
     return head.unionByName(tail).select("word", "doc_id", "n_occ").distinct()
 
 
+_MODES = {"exact": ("The", "{k} = '{w}'"), "prefix": ("Th*", "starts_with({k}, '{w}')"), "suffix": ("*Tion", "ends_with({k}, '{w}')"), "wildcard": ("t?e*N", "regexp_full_match({k}, '{x}')"), "scan": ("*nD?", "regexp_full_match({k}, '{x}')")}
+
+
+def _mode_where(mode: str, folded: bool) -> str:
+    pattern, sql = _MODES[mode]
+    own = pattern.lower() if folded else pattern
+    return sql.format(k="fold" if folded else "word", w=own.strip("*"), x=own.replace("?", ".").replace("*", ".*"))
+
+
+@query(" UNION ALL ".join(f"SELECT '{m}' AS mode, {str(f).lower()} AS folded, word, n_docs, n_occ FROM ({LEXICON}) WHERE {_mode_where(m, f)}" for m in _MODES for f in (False, True)))
+def words_written(spark, sf):
+    """Words in every mode, raw and folded, each from the copy of the written
+    lexicon that is sorted for it."""
+    held = _written(spark, sf)
+    out = None
+    for mode, (pattern, _) in _MODES.items():
+        for folded in (False, True):
+            own = index.find_written(held, pattern, folded).select(F.lit(mode).alias("mode"), F.lit(folded).alias("folded"), "word", "n_docs", "n_occ")
+            out = own if out is None else out.unionByName(own)
+    return out
+
+
 @query(f"SELECT doc_id, count(*) AS n_occ FROM ({TOKENS}) WHERE word IN ('of', 'the') AND doc_id IN (SELECT doc_id FROM ({TOKENS}) WHERE word = 'of') AND doc_id IN (SELECT doc_id FROM ({TOKENS}) WHERE word = 'the') GROUP BY doc_id")
 def search_written(spark, sf):
     """A search over the written index; only its words' row groups are read."""
-    return search(index.written(table(spark, sf, "documents")).by_word, "of the", folded=False).select("doc_id", "n_occ")
+    return search_index(_written(spark, sf), "of the", folded=False).select("doc_id", "n_occ")
+
+
+@query(f"""SELECT doc_id, n0 + n1 AS n_occ FROM (SELECT doc_id, count(*) FILTER (WHERE starts_with(f, 'th')) AS n0, count(*) FILTER (WHERE ends_with(f, 'tion')) AS n1 FROM ({FOLDED}) GROUP BY doc_id) WHERE n0 > 0 AND n1 > 0""")
+def search_written_folded(spark, sf):
+    """A folded prefix and a folded suffix: the lexicon's folded copies lead
+    to raw words, and these to postings."""
+    return search_index(_written(spark, sf), "TH* and *Tion").select("doc_id", "n_occ")
+
+
+@query(f"SELECT doc_id, count(*) AS n_occ FROM ({FOLDED}) WHERE f IN ('the', 'de') AND doc_id IN (SELECT doc_id FROM documents WHERE lang = 'en') GROUP BY doc_id")
+def search_written_filtered(spark, sf):
+    """A record filter on the written postings."""
+    english = idsets.ids(table(spark, sf, "documents").where("lang = 'en'"), "doc_id")
+    return search_index(_written(spark, sf), "the or de", only=english).select("doc_id", "n_occ")
+
+
+@query(f"""WITH t AS ({TOKENS}), r AS (SELECT doc_id, count(*) FILTER (WHERE strip_accents(lower(word)) = 'thing') AS n FROM t GROUP BY doc_id)
+  SELECT doc_id, count(*) + any_value(n) AS n_occ FROM t JOIN r USING (doc_id) WHERE word IN ('of', 'the') AND n > 0 AND doc_id IN (
+    SELECT x.doc_id FROM t x JOIN t y ON x.doc_id = y.doc_id AND x.word = 'of' AND y.word = 'the' AND y.pos = x.pos + 1) GROUP BY doc_id""")
+def search_written_rarest(spark, sf):
+    """The documents of the rarest word prune the postings of the others."""
+    return search_index(_written(spark, sf), '"of the" and thing').select("doc_id", "n_occ")
+
+
+#: Words are forms of each other if they agree without an ending.
+_STEM = "(s|ed|ing)$"
+_FORM_SETS = f"""WITH t AS ({TOKENS}), lex AS (SELECT DISTINCT word, strip_accents(lower(word)) AS f, regexp_replace(word, '{_STEM}', '') AS stem FROM t)"""
+
+
+def _forms_sql(condition: str, expanded: bool) -> str:
+    own = "SELECT y.word FROM lex x JOIN lex y ON x.stem = y.stem WHERE {0}" if expanded else "SELECT x.word FROM lex x WHERE {0}"
+    a, b = own.format("x.f = 'thing'"), own.format("starts_with(x.f, 'wh')")
+    return f"""{_FORM_SETS}, f AS (SELECT doc_id, pos, word IN ({a}) AS a, word IN ({b}) AS b FROM t),
+  m AS (SELECT *, last_value(CASE WHEN b THEN pos END IGNORE NULLS) OVER (w ROWS UNBOUNDED PRECEDING) AS p, first_value(CASE WHEN b THEN pos END IGNORE NULLS) OVER (w ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS n
+    FROM f WHERE a OR b WINDOW w AS (PARTITION BY doc_id ORDER BY pos))
+  SELECT doc_id, count(*) FILTER (WHERE a) + count(*) FILTER (WHERE b) AS n_occ FROM m GROUP BY doc_id HAVING {condition}"""
+
+
+_FOLDS = {
+    "or": "bool_or(a OR b)",
+    "and": "bool_or(a) AND bool_or(b)",
+    "not": "bool_or(a) AND NOT bool_or(b)",
+    "near": "bool_or(a AND (coalesce(pos - p <= 5, false) OR coalesce(n - pos <= 5, false)))",
+    "before": "bool_or(a AND coalesce(n - pos <= 5, false))",
+}
+
+
+def _add_forms(operator: str, expanded: bool) -> None:
+    @query(_forms_sql(_FOLDS[operator], expanded), f"forms_{operator}" if expanded else f"exact_{operator}")
+    def run(spark, sf):
+        """Each word's inflected forms join it before the query is folded;
+        the exact modes go without."""
+        held = _written(spark, sf)
+        stems = held.words["word"].select("word_id", index.word_id(F.regexp_replace("word", _STEM, "")).alias("stem_id"))
+        path = [Hop(stems, "word_id", "stem_id"), Hop(stems, "stem_id", "word_id", many=True)] if expanded else []
+        return search_index(held, f"thing {operator} wh*", near=5, path=path).select("doc_id", "n_occ")
+
+
+for _operator in _FOLDS:
+    _add_forms(_operator, True)
+_add_forms("near", False)
 
 
 @query(f"SELECT doc_id, count(*) AS n_occ FROM ({FOLDED}) WHERE f IN ('the', 'de') AND doc_id IN (SELECT doc_id FROM documents WHERE lang = 'en') GROUP BY doc_id")
