@@ -61,6 +61,22 @@ def reverse_bytes(text: Column) -> Column:
     return F.unhex(F.array_join(F.reverse(pairs), ""))
 
 
+def decoded(data: Column, strict: bool = False) -> Column:
+    """UTF-8 bytes as text.  Broken ones fail the query if ``strict``, else
+    each becomes U+FFFD."""
+    return F.validate_utf8(data.cast("string")) if strict else F.make_valid_utf8(data.cast("string"))
+
+
+def points_of(text: Column) -> Column:
+    """A text's code points in order, as numbers."""
+    return F.transform(F.filter(F.split(text, ""), lambda c: c != ""), lambda c: F.ascii(c))
+
+
+def from_points(points: Column) -> Column:
+    """The text of some code points."""
+    return F.decode(F.unhex(F.array_join(F.transform(points, lambda p: F.lpad(F.hex(p), 8, "0")), "")), "UTF-32")
+
+
 def upper_ascii(text: Column) -> Column:
     return F.translate(text, "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ")
 

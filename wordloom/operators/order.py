@@ -121,8 +121,11 @@ def with_neighbours(df: DataFrame, order: list[Column], columns: list[str], befo
     return every.withColumns(moved).where("not _lent").drop("_part", "_lent")
 
 
-def slice_rows(df: DataFrame, rid: str, start: int, count: int) -> DataFrame:
-    """Rows by dense row id: a range filter that reaches the scan."""
+def slice_rows(df: DataFrame, rid: str, start: int, count: int, within: int | None = None) -> DataFrame:
+    """Rows by dense row id: a range filter that reaches the scan.  ``within``:
+    the number of rows; a slice that ends beyond them is refused."""
+    if within is not None and (start < 0 or count < 0 or start + count > within):
+        raise IndexError(f"rows {start} to {start + count} of {within}")
     return df.where(F.col(rid).between(start, start + count - 1))
 
 

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from wordloom.functions.text import bits
-from wordloom.operators import filters, idsets, links, lookups, order
+from wordloom.operators import filters, hooks, idsets, links, lookups, order
 from wordloom.operators.filters import BitRule
 from wordloom.operators.links import Hop
 from wordloom.plans.registry import query, table
+from wordloom.sources.kept import shared_folder
 from wordloom.sources.records import open_table, point_read
 
 
@@ -185,9 +188,10 @@ def bitmap_round_trip(spark, sf):
     return idsets.from_bitmap(idsets.as_bitmap(table(spark, sf, "lineitem").select((F.col("l_orderkey") * 1000 - 5_000_000).alias("id"))))
 
 
-@query("SELECT range AS id FROM range(5, 25)")
+@query("SELECT range AS id FROM range(5, (SELECT count(*) FROM orders))")
 def id_range(spark, sf):
-    return idsets.id_range(spark, 5, 20)
+    """Every row id of a table from the fifth on."""
+    return idsets.id_range(spark, 5, table(spark, sf, "orders").count() - 5)
 
 
 @query("SELECT c_mktsegment, c_nationkey, min(c_custkey) AS c_custkey FROM customer WHERE c_acctbal < 0 OR c_nationkey < 5 GROUP BY c_mktsegment, c_nationkey")
@@ -310,3 +314,57 @@ def sort_via_link(spark, sf):
 def sort_via_link_all(spark, sf):
     linked = order.through_link(table(spark, sf, "customer").select("c_custkey", "c_nationkey"), "c_nationkey", table(spark, sf, "nation"), "n_nationkey", "n_name", "n_name")
     return order.numbered(linked, order.chain(("n_name", False), rid="c_custkey")).select("c_custkey", "n_name", "pos")
+
+
+@query("SELECT p_partkey, p_name FROM part WHERE p_size % 3 = 0 AND regexp_matches(p_name, 'a.*a')")
+def hook_filter(spark, sf):
+    """Records that a caller's function keeps."""
+
+    def check(batch):
+        import pyarrow.compute as pc
+
+        sizes = pc.cast(batch.column("p_size"), "int64")
+        whole = pc.equal(pc.subtract(sizes, pc.multiply(pc.divide(sizes, 3), 3)), 0)
+        return pc.and_(whole, pc.match_substring_regex(batch.column("p_name"), "a.*a"))
+
+    return hooks.keep_records(table(spark, sf, "part").select("p_partkey", "p_name", "p_size"), check).select("p_partkey", "p_name")
+
+
+@query("""WITH a AS (SELECT c_custkey AS id, row_number() OVER (ORDER BY c_acctbal, c_custkey) - 1 AS r FROM customer WHERE c_acctbal < 5000),
+  b AS (SELECT id, row_number() OVER (ORDER BY n, id) - 1 AS r FROM (SELECT o_custkey AS id, count(*) AS n FROM orders GROUP BY 1))
+  SELECT coalesce(a.id, b.id) AS id, coalesce(least(a.r, b.r), a.r, b.r) AS best, (a.id IS NOT NULL)::INTEGER + (b.id IS NOT NULL)::INTEGER AS held FROM a FULL JOIN b ON a.id = b.id""")
+def hook_merge(spark, sf):
+    """Two ranked sets, merged by a caller's function of ranks and matches."""
+
+    def compute(batch):
+        import pyarrow.compute as pc
+
+        best = pc.min_element_wise(batch.column("rank0"), batch.column("rank1"))
+        return [best, pc.add(*(pc.cast(batch.column(f"match{k}"), "int32") for k in (0, 1)))]
+
+    a = table(spark, sf, "customer").where("c_acctbal < 5000").select(F.col("c_custkey").alias("id"), F.col("c_acctbal").alias("by"))
+    b = table(spark, sf, "orders").groupBy(F.col("o_custkey").alias("id")).agg(F.count(F.lit(1)).alias("by"))
+    return hooks.merge_with([a, b], "by", compute, "best long, held int")
+
+
+@query("SELECT page_id, octet_length(encode(html)) AS n_bytes, md5(translate(html, 'abcdefghijklmnopqrstuvwxyz', 'bcdefghijklmnopqrstuvwxyza')) AS digest FROM pages")
+def hook_blobs(spark, sf):
+    """Byte strings put through a caller's function."""
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    turned = bytes.maketrans(letters.encode(), (letters[1:] + letters[0]).encode())
+    blobs = table(spark, sf, "pages").select("page_id", F.encode("html", "UTF-8").alias("data"))
+    out = hooks.change_blobs(blobs, "data", lambda data: data.translate(turned))
+    return out.select("page_id", F.octet_length("data").cast("long").alias("n_bytes"), F.md5("data").alias("digest"))
+
+
+@query("SELECT r_name AS section, n_name AS key, n_nationkey AS value FROM nation JOIN region ON n_regionkey = r_regionkey")
+def settings_read(spark, sf):
+    """Nations written as sections of pairs, a file for each region, and read
+    back by the data source."""
+    nation, region = table(spark, sf, "nation"), table(spark, sf, "region")
+    pair = F.concat(F.lit("  "), "n_name", F.lit(" = "), "n_nationkey", F.lit("  // note"))
+    text = nation.join(region, F.col("n_regionkey") == F.col("r_regionkey")).groupBy("r_name").agg(F.array_join(F.collect_list(pair), "\n").alias("body"))
+    path = f"{shared_folder(spark)}/settings-{uuid.uuid4().hex}"
+    text.select(F.concat(F.lit("[ "), "r_name", F.lit(" ]\nno pair\n"), "body").alias("value"), "r_name").write.partitionBy("r_name").text(path)
+    found = open_table(spark, f"settings:{path}")
+    return found.select("section", "key", F.col("value").cast("int").alias("value"))

@@ -54,6 +54,14 @@ def fold_space(spark, sf):
     return table(spark, sf, "documents").select("doc_id", F.length(spaced).cast("long").alias("n"), spaced.alias("spaced"))
 
 
+@query("SELECT doc_id, text, length(text) AS n FROM documents")
+def code_points(spark, sf):
+    """Every text to UTF-8 bytes, code points and back."""
+    points = text.points_of(text.decoded(F.encode("text", "UTF-8")))
+    rows = table(spark, sf, "documents").select("doc_id", points.alias("points"))
+    return rows.select("doc_id", text.from_points(F.col("points")).alias("text"), F.size("points").cast("long").alias("n"))
+
+
 @query(f"SELECT DISTINCT reverse(word) AS rev FROM ({TOKENS})")
 def reverse_word(spark, sf):
     return _tokens(spark, sf).select(text.reverse_points(F.col("word")).alias("rev")).distinct()

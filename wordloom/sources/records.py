@@ -4,25 +4,57 @@ from __future__ import annotations
 
 import os
 import re
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from wordloom.sources.settings import pairs, register
+
+
+def _native(spark: SparkSession, name: str, base: str) -> DataFrame:
+    path = f"{base}/{name}" if base and not re.match(r"^(/|\w+://)", name) else name
+    return spark.read.parquet(path if path.endswith(".parquet") else f"{path}.parquet")
+
+
+def _settings(spark: SparkSession, name: str, base: str) -> DataFrame:
+    register(spark)
+    return spark.read.format("settings").load(f"{base}/{name}" if base and not re.match(r"^(/|\w+:)", name) else name)
+
+
+#: How each kind of table is opened: (session, name, base folder) to a DataFrame.
+KINDS: dict[str, Callable[[SparkSession, str, str], DataFrame]] = {"native": _native, "cursor": lambda spark, name, base: spark.table(name), "settings": _settings}
+
+
+def add_kind(kind: str, opener: Callable[[SparkSession, str, str], DataFrame]) -> None:
+    """Makes another kind known; a known one isn't replaced."""
+    if kind in KINDS:
+        raise ValueError(f"the kind {kind!r} is taken")
+    KINDS[kind] = opener
+
 
 def open_table(spark: SparkSession, url: str, base: str = "") -> DataFrame:
-    """``native:<path>`` is a Parquet table (with or without the ending),
-    ``cursor:<view>`` a registered view."""
+    """``<kind>:<name>``: ``native`` is a Parquet table (with or without the
+    ending), ``cursor`` a registered view, ``settings`` a folder of sections
+    with pairs; ``add_kind`` adds others."""
     kind, _, name = url.partition(":")
-    if kind == "cursor":
-        return spark.table(name)
-    if kind != "native":
+    if kind not in KINDS:
         raise ValueError(f"no kind of table {kind!r}")
-    path = f"{base}/{name}" if base and not re.match(r"^(/|\w+://)", name) else name
-    return spark.read.parquet(path if path.endswith(".parquet") else f"{path}.parquet")
+    return KINDS[kind](spark, name, base)
+
+
+def fields(df: DataFrame) -> list[tuple[int, str, str]]:
+    """A table's fields: place, name and type."""
+    return [(i, f.name, f.dataType.simpleString()) for i, f in enumerate(df.schema)]
 
 
-def point_read(table: DataFrame, rid: str, value: int) -> DataFrame:
-    return table.where(F.col(rid) == value)
+def point_read(table: DataFrame, rid: str, value: int, must_exist: bool = False) -> DataFrame:
+    """The row of an id.  ``must_exist`` looks at once and refuses an id that
+    isn't there."""
+    found = table.where(F.col(rid) == value)
+    if must_exist and found.isEmpty():
+        raise LookupError(f"no row {value}")
+    return found
 
 
 def lines(spark: SparkSession, path: str) -> DataFrame:
@@ -36,18 +68,11 @@ def word_set(rows: DataFrame, line: str = "line") -> DataFrame:
 
 
 def settings(text: str) -> dict[str, dict[str, str]]:
-    """Sections of ``key=value`` lines; ``//`` starts a comment and lines that
-    are neither are skipped."""
-    out: dict[str, dict[str, str]] = {}
-    section = out.setdefault("", {})
-    for line in (x.strip() for x in text.splitlines()):
-        if line.startswith("//"):
-            continue
-        if line.startswith("[") and line.endswith("]"):
-            section = out.setdefault(line[1:-1].strip(), {})
-        elif "=" in line:
-            key, _, value = line.partition("=")
-            section[key.strip()] = value.strip()
+    """Sections of ``key=value`` lines by the rules of ``settings.pairs``; of
+    equal keys the last one counts."""
+    out: dict[str, dict[str, str]] = {"": {}}
+    for _, section, key, value in pairs(text.splitlines()):
+        out.setdefault(section, {})[key] = value
     return out
 
 

@@ -36,6 +36,14 @@ def write_text(df: DataFrame, column: str, path: str, mode: str = "overwrite") -
     df.select(F.col(column).cast("string").alias("value")).write.mode(mode).text(path)
 
 
+def save_content(df: DataFrame, path: str, xml: str = "xml", html: str = "html") -> None:
+    """Saves contents as ``content.xml`` and ``content.html`` under ``path``:
+    a line for each row, line breaks as spaces, null as an empty line."""
+    for name, column in (("content.xml", xml), ("content.html", html)):
+        text = F.regexp_replace(F.coalesce(F.col(column).cast("string"), F.lit("")), r"[\r\n]+", " ")
+        write_text(df.select(text.alias("value")), "value", f"{path}/{name}")
+
+
 def write_blobs(df: DataFrame, name: str, data: str, path: str) -> None:
     """Keeps byte strings by name: a Parquet table, overwritten, whose folder
     is made where it is missing (a file for each blob would be too many)."""
