@@ -2,7 +2,9 @@
 
 import glob
 import hashlib
+import itertools
 import os
+import re
 import sys
 from collections import Counter
 from pathlib import Path
@@ -20,7 +22,7 @@ from wordloom.llm.langid import identify  # noqa: E402
 from wordloom.llm.line_dedup import drop_shared_lines  # noqa: E402
 from wordloom.llm.minhash_join import near_duplicates  # noqa: E402
 from wordloom.llm.run_index import RunIndex  # noqa: E402
-from wordloom.llm.secrets import find_secrets  # noqa: E402
+from wordloom.llm.secrets import ALPHABET, UUID, find_secrets, shortest, train  # noqa: E402
 
 
 def test_long_chains_are_unbroken():
@@ -141,12 +143,57 @@ def test_long_texts_of_tokens(spark):
     draw = np.random.default_rng(4)
     keys = ["".join(draw.choice(list("abcdeABCDE0123456789"), 16)) for _ in range(8000)]
     text = "token=abcdefgh " + " ".join(keys)
-    r = find_secrets(spark.createDataFrame([(1, text), (2, "x" * 200_000)], "doc_id long, text string"), [1.0] * 4489).orderBy("doc_id").collect()
+    r = find_secrets(spark.createDataFrame([(1, text), (2, "x" * 200_000)], "doc_id long, text string"), dict.fromkeys(map("".join, itertools.product(ALPHABET, repeat=2)), 1.0)).orderBy("doc_id").collect()
     spans = [(s["start"], s["end"]) for s in r[0]["spans"] if s["rank"] == 3]
     assert spans == [(15 + 17 * i, 31 + 17 * i) for i in range(8000)] and r[0]["n_assign"] == 1
     assert [(s["start"], s["end"]) for s in r[1]["spans"]] == [(0, 200_000)]
 
 
+NAMES = """MAX_BUFFER_SIZE_IN_BYTES JSONObjectMapperFactory GL_TEXTURE_CUBE_MAP_POSITIVE_X 550e8400-e29b-41d4-a716-446655440000 f47ac10b-58cc-4372-a567-0e02b2c3d479
+AbstractSingletonProxyFactoryBean org/apache/spark/sql/functions HTTP_500_INTERNAL_SERVER_ERROR getElementsByClassName XMLHttpRequest addEventListener NullPointerException
+utf8_general_ci SQLITE_CONSTRAINT_PRIMARYKEY WM_LBUTTONDBLCLK EXIT_FAILURE std_vector_iterator kube-controller-manager x86_64-unknown-linux-gnu aarch64-apple-darwin sha256sum
+ISO-8859-1 java/util/concurrent/ConcurrentHashMap DEFAULT_INITIAL_CAPACITY createUserWithEmailAndPassword CVE-2021-44228 RFC-7231 2021-03-04T12 __attribute__ __init_subclass__
+pthread_mutex_lock EPOLLONESHOT IPPROTO_ICMPV6 QAbstractItemModel QXmlStreamReader NSMutableAttributedString UIViewController kCGColorSpaceModelRGB CFBundleShortVersionString
+ERR_SSL_PROTOCOL_ERROR LC_MESSAGES numpy_dtype_float64 BigDecimal_ROUND_HALF_UP application/x-www-form-urlencoded Content-Security-Policy X-Forwarded-For Access-Control-Allow-Origin
+jquery-3-6-0-min bootstrap-4-bundle node_modules/webpack/lib DJANGO_SETTINGS_MODULE PYTHONDONTWRITEBYTECODE 20211231T235959 1234567890123456 us-east-1a-subnet-public i18n_messages_en_US""".split()
+
+
+def test_secrets_against_plain_python(spark, sf):
+    """Spans of the Markov part token by token, identifiers and keys."""
+    import random
+
+    import public_tokenizers
+
+    model = train(q.table(spark, sf, "documents"), vocabulary=public_tokenizers.path("byte_bpe_50k.json"))
+    draw = random.Random(11)
+    key = lambda n: "".join(draw.choice("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789") for _ in range(n))
+    keys = {n: [key(n) for _ in range(300)] for n in (6, 8, 10, 16)}
+    texts = [" ".join(NAMES), *(f"é {a}, {b} {a}" for a, b in zip(keys[6], keys[10], strict=True)), *(f"token={a} {b}:{a}" for a, b in zip(keys[16], keys[8], strict=True)), None, "", "a", "AKIA" + "A1" * 10 + "_" + keys[16][0]]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r for r in find_secrets(df, model).collect()}
+    found = set()
+    for i, text in enumerate(texts):
+        base = [(s["start"], s["end"]) for s in got[i]["base"]]
+        want = []
+        for m in re.finditer(r"[A-Za-z0-9_+/=-]+", text or ""):
+            total = sum(round(model[m[0][k : k + 2]], 6) for k in range(len(m[0]) - 1))
+            if total >= 12.0 and not re.search(UUID, m[0]) and not any(a < m.end() and m.start() < b for a, b in base):
+                want.append((m.start(), m.end()))
+                found.add(m[0])
+        assert sorted((s["start"], s["end"]) for s in got[i]["spans"] if s["rank"] == 3) == want
+    assert not found & set(NAMES)
+    share = {n: sum(k in found for k in keys[n]) / 300 for n in (8, 10)}
+    assert share[10] >= 0.8 and share[8] >= 0.5
+    score = lambda w: sum(model[w[k : k + 2]] for k in range(len(w) - 1))
+    assert sum(score(k) >= 12 for k in keys[16]) >= 0.95 * 300
+
+
+def test_shortest_token():
+    flat = dict.fromkeys(map("".join, itertools.product(ALPHABET, repeat=2)), -1.0)
+    assert shortest(flat | {"ab": 5.0, "ba": 2.0}, 12.0) == 5 and shortest(flat | {"ab": 5.0}, 5.0) == 2 and shortest(flat, 1.0) > 1000
+    assert shortest(flat | {"aa": 4.0}, 12.0) == 4
+
+
 @pytest.mark.parametrize("name", ["quality_base", "secret_base", "mix_targets", "op4_line_dedup"])
 def test_queries_with_sql(spark, sf, name):
     c = duckdb.connect()

@@ -159,7 +159,7 @@ def test_secret_scan_adds_random_tokens(spark, sf):
     """A random key without a pattern is found; long ordinary names aren't."""
     from wordloom.llm.secrets import find_secrets, train
 
-    model = train(q.table(spark, sf, "documents"))
+    model = train(q.table(spark, sf, "documents"), documents=500)
     rng = np.random.default_rng(7)
     keys = ["".join(rng.choice(list("ABCDEFGHJKLMNPQRSTUVWXYZabcdefghijkmnopqrstuvwxyz0123456789"), 32)) for _ in range(60)]
     names = ["the_configuration_of_the_first_server_2", "international-understanding-of-2024-conditions", "thereandthereandthereand1"]

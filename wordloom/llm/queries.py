@@ -120,9 +120,11 @@ SELECT query_id, r::INTEGER AS rank, vec_id, score FROM ranked WHERE r <= 5
 
 
 def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
     from wordloom.llm.secrets import find_secrets, joined
 
-    out = find_secrets(table(spark, sf_dir, "documents"))
+    out = find_secrets(table(spark, sf_dir, "documents"), vocabulary=public_tokenizers.path("byte_bpe_50k.json"))
     return out.select("doc_id", "n_assign", "n_access", "n_hex", F.sha2(joined(F.col("base")), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"))
 
 
@@ -184,7 +186,8 @@ CRC32 = """xor(list_reduce(list_prepend(4294967295::BIGINT, flatten(list_transfo
 
 OP13_SQL = rf"""
 WITH rows AS (SELECT conv_id AS c, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
-marked AS (SELECT *, md5(length(role)::VARCHAR || ':' || role || text) AS t, len(regexp_extract_all(text, '[^ 	-]+'))::BIGINT AS w FROM rows),
+marked AS (SELECT *, md5(length(role)::VARCHAR || ':' || role || text) AS t, len(regexp_extract_all(text, '[^ 	-
+]+'))::BIGINT AS w FROM rows),
 own AS (SELECT c, list(t ORDER BY turn NULLS FIRST, t) AS ts, list(w ORDER BY turn NULLS FIRST, t) AS ws FROM marked GROUP BY c),
 cut AS (SELECT *, ({CRC32.format("c::VARCHAR")} % 4)::BIGINT AS h FROM own),
 built AS (
