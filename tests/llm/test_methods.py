@@ -190,7 +190,7 @@ def test_secrets_against_plain_python(spark, sf):
 
 def test_shortest_token():
     flat = dict.fromkeys(map("".join, itertools.product(ALPHABET, repeat=2)), -1.0)
-    assert shortest(flat | {"ab": 5.0, "ba": 2.0}, 12.0) == 5 and shortest(flat | {"ab": 5.0}, 5.0) == 2 and shortest(flat, 1.0) > 1000
+    assert shortest(flat | {"ab": 5.0, "ba": 2.0}, 12.0) == 4 and shortest(flat | {"ab": 5.0, "ba": -4.5}, 8.0) == 5 and shortest(flat | {"ab": 5.0}, 5.0) == 2 and shortest(flat, 1.0) > 1000
     assert shortest(flat | {"aa": 4.0}, 12.0) == 4
 
 

@@ -222,13 +222,14 @@ def train(docs: DataFrame, documents: int = 2000, vocabulary: str | None = None)
 def shortest(model: dict[str, float], threshold: float) -> int:
     """How many characters a token needs at least to reach the threshold: the
     best that any string of a length can get is summed up pair by pair."""
-    best, length = dict.fromkeys(ALPHABET, 0.0), 1
-    while max(best.values()) < threshold:
-        after = {b: max(best[a] + model[a + b] for a in ALPHABET) for b in ALPHABET}
+    best, length, top, since = dict.fromkeys(ALPHABET, 0.0), 1, 0.0, 0
+    while top < threshold:
+        best = {b: max(best[a] + model[a + b] for a in ALPHABET) for b in ALPHABET}
         length += 1
-        if max(after.values()) <= max(best.values()):
-            return 1 << 20  # no string gains by going on
-        best = after
+        since = 0 if max(best.values()) > top else since + 1
+        top = max(top, *best.values())
+        if since > SIZE:  # no ring of characters gains anything
+            return 1 << 20
     return length
 
 
