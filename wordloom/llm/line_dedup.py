@@ -171,8 +171,10 @@ def drop_shared_lines(docs: DataFrame, min_chars: int = 20, min_docs: int = 3, m
 
     Null or empty text: one empty line.  Rows with one doc_id are one document
     that has the lines of all of them, and each row is returned.  Null doc_ids
-    are one document, smaller than all others.  An empty table gives an empty
-    one.  Columns not named are ignored, whatever their names.
+    are one document, smaller than all others.  Rows that tie for the largest
+    doc_id of a line all keep it.  Texts and lines may have any length: a task
+    holds one text, and digests of lines are shuffled.  An empty table gives
+    an empty one.  Columns not named are ignored, whatever their names.
     """
     spark = docs.sparkSession
     id_type = docs.schema["doc_id"].dataType.simpleString()

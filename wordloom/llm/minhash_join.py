@@ -219,7 +219,9 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     nothing.  Null doc_id: linked with nothing, component_id null, kept.
     Repeated rows: one class, each row returned; different texts under one
     doc_id are linked through it.  A similarity of exactly ``percent`` is a
-    link.  An empty table gives an empty one.  Other columns are ignored.
+    link; of texts that tie for smallest doc_id all are kept.  Texts may have
+    any length: a task holds one text's shingles.  An empty table gives an
+    empty one.  Other columns are ignored.
     """
     t = match_threshold(percent)
     id_type = docs.schema["doc_id"].dataType.simpleString()

@@ -122,8 +122,10 @@ def mix_sources(docs: DataFrame, share: float = 1.5, cap: float = 2.0, weights:
     Null text has size 0 and is never taken; null source is a source, the last
     one.  Repeated rows are documents of their own; where rows agree in
     doc_id, source and size they are told apart by a running number.  All draws
-    come from hashes of these, so reruns agree.  An empty table gives an empty
-    one; other columns are ignored.
+    come from hashes of these, so reruns agree; ties between hashes go by
+    doc_id and that number.  Only the sizes of texts are moved, so texts may
+    have any length.  An empty table gives an empty one; other columns are
+    ignored.
     """
     sized = docs.select("doc_id", "source", word_count().alias("size"))
     twins = Window.partitionBy("doc_id", "source", "size").orderBy(F.lit(0))

@@ -186,7 +186,9 @@ def pack_documents(docs: DataFrame, tokenizer: str, end_id: int = 1, capacity: i
     ``with_ids``, the ids as little-endian 32-bit bytes.  Equal lengths are
     packed by doc_id and piece.
 
-    Null or empty text is a document of the end id alone.  Repeated rows are
+    Null or empty text is a document of the end id alone.  A document of any
+    length is cut into pieces of ``capacity`` ids, the last one shorter, by the
+    task that holds its text.  Repeated rows are
     packed each for itself; null doc_ids are packed and returned as null; an
     empty table gives an empty one; other columns are ignored.
     """

@@ -394,8 +394,10 @@ def remove_repeats(docs: DataFrame, bucket_bytes: int = 1 << 18) -> DataFrame:
 
     Null or empty text: nothing to remove.  Repeated rows are texts of their
     own and so repeat each other; null doc_ids are returned as they are; texts
-    shorter than ``WIDTH`` bytes are left alone; an empty table gives an empty
-    one; other columns are ignored.
+    shorter than ``WIDTH`` bytes are left alone.  There are no ties: every place
+    of a repeated string goes, none is chosen to stay.  Texts may have any
+    length: a task holds one text, and only regions that may be repeated are
+    shuffled.  An empty table gives an empty one; other columns are ignored.
     """
     id_type = docs.schema["doc_id"].dataType.simpleString()
     text = F.coalesce("text", F.lit(""))
