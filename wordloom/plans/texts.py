@@ -62,6 +62,17 @@ def code_points(spark, sf):
     return rows.select("doc_id", text.from_points(F.col("points")).alias("text"), F.size("points").cast("long").alias("n"))
 
 
+@query("SELECT page_id, hex(encode(reverse(url))) AS turned FROM pages")
+def reverse_bytes(spark, sf):
+    return table(spark, sf, "pages").select("page_id", F.hex(text.reverse_bytes(F.col("url"))).alias("turned"))
+
+
+@query(f"SELECT word FROM (SELECT DISTINCT word FROM ({TOKENS})) WHERE strip_accents(word[1]) = 'E' AND word[2:] = 'tion'")
+def words_sloppy(spark, sf):
+    """Words in which an accented capital may stand for the bare one."""
+    return _tokens(spark, sf).where(folding.sloppy_capitals(F.col("word"), "Etion")).select("word").distinct()
+
+
 @query(f"SELECT DISTINCT reverse(word) AS rev FROM ({TOKENS})")
 def reverse_word(spark, sf):
     return _tokens(spark, sf).select(text.reverse_points(F.col("word")).alias("rev")).distinct()
