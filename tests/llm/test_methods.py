@@ -194,7 +194,7 @@ def test_shortest_token():
     assert shortest(flat | {"aa": 4.0}, 12.0) == 4
 
 
-@pytest.mark.parametrize("name", ["quality_base", "secret_base", "mix_targets", "op4_line_dedup"])
+@pytest.mark.parametrize("name", ["quality_base", "secret_base", "mix_targets", "op4_line_dedup", "op11_repair_conversations", "op12_url_rules", "op13_prefix_trie"])
 def test_queries_with_sql(spark, sf, name):
     c = duckdb.connect()
     for f in glob.glob(f"{sf}/*.parquet"):

@@ -148,6 +148,59 @@ def _damaged(rows: DataFrame) -> DataFrame:
     return own.select("conv_id", "turn", role.alias("role"), text.alias("text"), (fate != 0).alias("present"), twice.alias("again"))
 
 
+#: DuckDB has no crc32: a step for each byte, and eight for its bits.
+CRC32 = """xor(list_reduce(list_prepend(4294967295::BIGINT, flatten(list_transform(string_split({0}, ''), lambda c: [ascii(c)::BIGINT, -1, -1, -1, -1, -1, -1, -1, -1]))),
+  lambda a, x: CASE WHEN x >= 0 THEN xor(a, x) WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END), 4294967295)"""
+
+
+def _option(cost: str, label: str, to: str, line: str | None, allowed: str = "true") -> str:
+    """SQL of one edit's path: its cost, labels and lines before those of the state that it leads to."""
+    lines = f"{to}.t" if line is None else f"list_prepend({line}, {to}.t)"
+    return f"CASE WHEN {allowed} THEN {{'c': {to}.c + {cost}, 'l': '{label}' || {to}.l, 't': {lines}}} END"
+
+
+def _best(*options: str) -> str:
+    return f"list_sort(list_filter([{', '.join(options)}], lambda x: x IS NOT NULL))[1]"
+
+
+_SOUND, _WORSE = "fault NOT IN (1, 2)", "5 * (fault = 3)::BIGINT"
+#: For each state of the grammar: the state that a written role leads to and the role, and the initials that it keeps.
+_STATES = ((2, "user", {"s": 1, "u": 2}), (2, "user", {"u": 2}), (3, "assistant", {"a": 3}), (2, "user", {"u": 2}))
+
+
+def _edits_of(g: int) -> str:
+    to, role, arcs = _STATES[g]
+    keeps = [_option(_WORSE, "K", f"s{k}", "role || ':' || text", f"{_SOUND} AND role[1] = '{x}'") for x, k in arcs.items()]
+    return _best(_option("2", "D", f"s{g}", None), *keeps, _option(f"1 + {_WORSE}", "R", f"s{to}", f"'{role}:' || text", _SOUND))
+
+
+#: Paths from the last row backwards, for the four states of the grammar at once; insertions come after a row's own edits.
+OP11_SQL = rf"""
+WITH RECURSIVE fates AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, {CRC32.format("(coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' '))")} % 20 AS fate FROM conversations),
+d AS (
+  SELECT conv_id, turn, CASE WHEN fate = 4 THEN 'user' ELSE role END AS role, CASE fate WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text
+  FROM (SELECT *, unnest(range(CASE WHEN fate = 3 THEN 2 ELSE 1 END)) FROM fates WHERE fate <> 0)),
+o AS (SELECT *, row_number() OVER w AS i, count(*) OVER (PARTITION BY conv_id) AS n, lead(role[1]) OVER w AS following FROM d WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text)),
+f AS (
+  SELECT *, CASE WHEN NOT regexp_matches(text, '[^ 	-]') THEN 1 WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 THEN 2
+    WHEN NOT regexp_matches(text, '[.!?][ 	-]*$') THEN 3 ELSE 0 END AS fault FROM o),
+counts AS (
+  SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (WHERE fault = 1) AS blank, count(*) FILTER (WHERE fault = 2) AS duplicate,
+         count(*) FILTER (WHERE fault = 3) AS truncated, count(*) FILTER (WHERE i < n AND role[1] || following NOT IN ('su', 'ua', 'au')) AS illegal FROM f GROUP BY conv_id),
+paths AS (
+  SELECT conv_id, n + 1 AS i, {{'c': 0::BIGINT, 'l': '', 't': []::VARCHAR[]}} AS s0, {{'c': 10::BIGINT, 'l': 'II', 't': ['user:', 'assistant:']}} AS s1,
+         {{'c': 5::BIGINT, 'l': 'I', 't': ['assistant:']}} AS s2, {{'c': 0::BIGINT, 'l': '', 't': []::VARCHAR[]}} AS s3 FROM f WHERE i = n
+  UNION ALL
+  SELECT conv_id, i, {_best("b0", _option("5", "I", "n2", "'user:'"))} AS s0, {_best("b1", _option("5", "I", "n2", "'user:'"))} AS s1, n2 AS s2, {_best("b3", _option("5", "I", "b2", "'user:'"))} AS s3
+  FROM (SELECT *, {_best("b2", _option("5", "I", "b3", "'assistant:'"))} AS n2
+    FROM (SELECT f.conv_id, f.i, {", ".join(f"{_edits_of(g)} AS b{g}" for g in range(4))} FROM paths p JOIN f ON f.conv_id IS NOT DISTINCT FROM p.conv_id AND f.i = p.i - 1)))
+SELECT a.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal,
+       coalesce(s0.c, 0) AS cost, coalesce(s0.l, '') AS audit, sha256(coalesce(array_to_string(s0.t, chr(10)), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) a LEFT JOIN counts c ON c.conv_id IS NOT DISTINCT FROM a.conv_id LEFT JOIN paths p ON p.conv_id IS NOT DISTINCT FROM a.conv_id AND p.i = 1
+"""
+
+
 def op12_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from wordloom.llm.url_rules import judge_urls
 
@@ -180,10 +233,6 @@ def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_trie(linked.select("conv_id", rebuilt.alias("turns")))
 
 
-#: DuckDB has no crc32: a step for each byte, and eight for its bits.
-CRC32 = """xor(list_reduce(list_prepend(4294967295::BIGINT, flatten(list_transform(string_split({0}, ''), lambda c: [ascii(c)::BIGINT, -1, -1, -1, -1, -1, -1, -1, -1]))),
-  lambda a, x: CASE WHEN x >= 0 THEN xor(a, x) WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END), 4294967295)"""
-
 OP13_SQL = rf"""
 WITH rows AS (SELECT conv_id AS c, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
 marked AS (SELECT *, md5(length(role)::VARCHAR || ':' || role || text) AS t, len(regexp_extract_all(text, '[^ 	-
@@ -290,4 +339,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_line_dedup": OP4_SQL, "op9_nearest_neighbours": OP9_SQL, "op12_url_rules": OP12_SQL, "op13_prefix_trie": OP13_SQL, "quality_base": QUALITY_SQL, "secret_base": SECRETS_SQL, "mix_targets": TARGETS_SQL}
+    return {"op4_line_dedup": OP4_SQL, "op9_nearest_neighbours": OP9_SQL, "op11_repair_conversations": OP11_SQL, "op12_url_rules": OP12_SQL, "op13_prefix_trie": OP13_SQL, "quality_base": QUALITY_SQL, "secret_base": SECRETS_SQL, "mix_targets": TARGETS_SQL}
