@@ -6,7 +6,8 @@ pair for its own rows; pairs are merged piece by piece (``seen twice`` is the
 union of both second filters and of what the two first ones have in common).
 Only keys that the merged second filter knows are shuffled, as SHA-256
 digests, for the exact count of documents and the choice of the document that
-keeps the line.  A filter has no false negatives, so the result is exact at
+keeps the line; and only texts whose ids a third filter knows as losing a line
+are shuffled to meet what they lose.  A filter has no false negatives, so the result is exact at
 every size; a fuller filter only lets more suspects through.
 
 The filter that is broadcast has ``bits`` bits: eight for each line of the
@@ -26,7 +27,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wordloom.llm.bloom import PIECE_BITS, Bloom
+from wordloom.llm.bloom import PIECE_BITS, Bloom, split_by_names
 from wordloom.llm.shared import materialize
 from wordloom.llm.textcols import batches, is_space, lower_ascii, text_bytes
 
@@ -200,7 +201,15 @@ def drop_shared_lines(docs: DataFrame, min_chars: int = 20, min_docs: int = 3, m
         .agg(F.collect_set("digest").alias("drops"))
         .select(F.col("doc_id").alias("drop_id"), "drops")
     )
-    whole = docs.select("doc_id", "text", (F.struct(*carry) if carry else F.struct(F.lit(0).alias("none"))).alias("carried"))
-    joined = whole.join(drops, F.col("doc_id").eqNullSafe(F.col("drop_id")), "left").select("doc_id", "text", "carried", "drops")
+    drops = materialize(drops, "line-drops")
+    # Only texts that may lose a line meet the lines to drop; a filter of ids tells them from the others.
+    whole = docs.select("doc_id", "text", (F.struct(*carry) if carry else F.struct(F.lit(0).alias("none"))).alias("carried"), F.xxhash64("doc_id").alias("name"))
+    split = split_by_names(whole, drops.select(F.xxhash64("drop_id").alias("name")))
+    text = F.coalesce("text", F.lit(""))
+    lines = (F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit(""))) + 1).cast("long")
+    stay = split.where("not maybe").select("doc_id", "carried", lines.alias("n_lines"), F.lit(0).cast("long").alias("n_dropped"), text.alias("kept_text"))
+    open_rows = split.where("maybe").select("doc_id", "text", "carried")
+    joined = open_rows.join(drops, F.col("doc_id").eqNullSafe(F.col("drop_id")), "left").select("doc_id", "text", "carried", "drops")
     carried = joined.schema["carried"].dataType.simpleString()
-    return joined.mapInArrow(_clean(min_chars), f"doc_id {id_type}, carried {carried}, n_lines long, n_dropped long, kept_text string")
+    cleaned = joined.mapInArrow(_clean(min_chars), f"doc_id {id_type}, carried {carried}, n_lines long, n_dropped long, kept_text string")
+    return stay.unionByName(cleaned)
