@@ -12,6 +12,7 @@ one partition holds the last exchange.
 
 from __future__ import annotations
 
+import json
 import os
 import zlib
 from collections.abc import Iterator
@@ -24,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wordloom.llm.shared import materialize
-from wordloom.llm.textcols import batches, words_of
+from wordloom.llm.textcols import Words, batches, lower_ascii, text_bytes
 
 #: Pieces in a partition, and words that a worker remembers.
 PIECES, REMEMBERED = 50_000, 600_000
@@ -43,38 +44,58 @@ class WordTokens:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        # Where the tokenizer lowers all letters anyway, words that differ in case are one.
+        self.lower = '"type":"Lowercase"' in json.dumps(json.loads(self.tokenizer.to_str())["normalizer"], separators=(",", ":"))
         self.known: dict[bytes, int] = {}
-        # The ids of remembered words one after another, and their limits.
-        self.flat, self.limits = np.zeros(0, np.uint16 if self.tokenizer.get_vocab_size() < 1 << 16 else np.uint32), np.zeros(1, np.int64)
+        # The ids of words one after another, and where each word's begin; both
+        # grow in place, and words beyond those remembered are overwritten.
+        self.flat = np.zeros(1 << 16, np.uint16 if self.tokenizer.get_vocab_size() < 1 << 16 else np.uint32)
+        self.limits = np.zeros(1 << 14, np.int64)
+        self.held = 0
+
+    @staticmethod
+    def _room(values: np.ndarray, size: int) -> np.ndarray:
+        if size <= len(values):
+            return values
+        wider = np.zeros(max(size, len(values) + len(values) // 2), values.dtype)
+        wider[: len(values)] = values
+        return wider
+
+    def _add(self, at: int, words: list[bytes]) -> None:
+        """Puts the ids of new words at place ``at``."""
+        got = [e.ids for e in self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in words], add_special_tokens=False)]
+        ends = self.limits[at] + np.cumsum(np.fromiter(map(len, got), np.int64, len(got)))
+        self.limits = self._room(self.limits, at + len(got) + 1)
+        self.limits[at + 1 : at + 1 + len(got)] = ends
+        self.flat = self._room(self.flat, int(ends[-1]))
+        self.flat[self.limits[at] : ends[-1]] = np.fromiter(chain.from_iterable(got), self.flat.dtype, int(ends[-1] - self.limits[at]))
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Flat ids of all texts and their n + 1 offsets."""
-        words = words_of(texts)
+        data, offsets = text_bytes(texts)
+        if self.lower:  # but for letters that a mark may be composed with
+            data = np.where(np.append(data[1:] < 128, True)[: len(data)], lower_ascii(data), data)
+        words = Words(data, offsets)
         n = len(words.bounds) - 1
         if not len(words.start):
             return np.zeros(0, np.uint32), np.zeros(n + 1, np.int64)
         forms = words.vocabulary.to_pylist()
-        known, held = self.known, len(self.limits) - 1
+        known = self.known
         at = np.fromiter((known.get(f, -1) for f in forms), np.int64, len(forms))
         new = np.flatnonzero(at < 0)
-        at[new] = held + np.arange(len(new))
-        parts, sizes = [self.flat], [np.diff(self.limits)]
+        at[new] = self.held + np.arange(len(new))
         for k in range(0, len(new), 10_000):
-            part = [forms[i].decode("utf-8", "replace") for i in new[k : k + 10_000].tolist()]
-            got = [e.ids for e in self.tokenizer.encode_batch_fast(part, add_special_tokens=False)]
-            sizes.append(np.fromiter(map(len, got), np.int64, len(got)))
-            parts.append(np.fromiter(chain.from_iterable(got), self.flat.dtype, int(sizes[-1].sum())))
-        flat, size = np.concatenate(parts), np.concatenate(sizes)
-        limits = np.concatenate([[0], np.cumsum(size)])
-        kept = min(len(size), max(held, REMEMBERED))
-        for i in new[: kept - held].tolist():
-            known[forms[i]] = int(at[i])
-        self.flat, self.limits = flat[: limits[kept]].copy(), limits[: kept + 1].copy()
-        code = at[words.codes]
-        per_word = size[code]
+            self._add(self.held + k, [forms[i] for i in new[k : k + 10_000].tolist()])
+        kept = max(0, min(len(new), REMEMBERED - self.held))
+        known.update(zip((forms[i] for i in new[:kept].tolist()), range(self.held, self.held + kept), strict=True))
+        self.held += kept
+        begin = self.limits[at]
+        size = self.limits[at + 1] - begin
+        per_word = size[words.codes]
         total = np.concatenate([[0], np.cumsum(per_word)])
-        place = np.repeat(limits[code] - total[:-1], per_word) + np.arange(total[-1])
-        return flat[place].astype(np.uint32), total[words.bounds]
+        place = np.repeat(begin[words.codes] - total[:-1], per_word)
+        place += np.arange(total[-1])
+        return self.flat[place].astype(np.uint32), total[words.bounds]
 
 
 _HELD: dict[str, WordTokens] = {}
