@@ -275,6 +275,7 @@ def find_secrets(docs: DataFrame, model: dict[str, float] | None = None, thresho
     # Texts are named by their digests: only those with a hit are met again, and places are joined to base spans without a text.
     held = rows.select("key", found).join(hits, "token").select("key", "token").distinct().groupBy("key").agg(F.collect_list("token").alias("tokens"))
     placed = F.filter(_matches(F.col("text"), pattern, "markov"), lambda s: F.array_contains(F.col("tokens"), s["value"]))
-    places = rows.select("key", "text").join(held, "key").select("key", placed.alias("placed")).dropDuplicates(["key"])
+    # Written, so that the last join stands alone and Spark can split a group of copies in it.
+    places = materialize(rows.select("key", "text").join(held, "key").select("key", placed.alias("placed")).dropDuplicates(["key"]), "places")
     every = F.when(F.col("placed").isNotNull(), F.concat("base", _outside(F.col("placed"), F.col("base")))).otherwise(F.col("base"))
     return based.join(places, "key", "left").select("doc_id", *counts, "base", every.alias("spans"))
