@@ -24,7 +24,11 @@ REJECT = 0.7
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents with a toxicity score of at least ``REJECT``."""
+    """Drops documents with a toxicity score of at least ``REJECT``.
+
+    A score of exactly ``REJECT`` goes.  Texts of any length are scored whole;
+    null and empty ones have no toxic word and stay; repeated rows score alike
+    and go or stay together; an empty table gives an empty one."""
     from wordloom.llm.toxicity import score_toxicity
 
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
@@ -33,7 +37,12 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops lines that three documents or more share but for the last one."""
+    """Drops lines that three documents or more share but for the last one.
+
+    Every document stays, one whose lines all go as an empty text; null texts
+    become empty; ``n_chars`` is counted anew.  Rows that tie for the largest
+    doc_id of a line all keep it, so repeated rows lose the same lines; texts
+    may have any length; an empty table gives an empty one."""
     from wordloom.llm.line_dedup import drop_shared_lines
 
     out = drop_shared_lines(docs, carry=("lang", "source"))
@@ -42,7 +51,12 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the smallest id of each group of near copies."""
+    """Keeps the document with the smallest id of each group of near copies.
+
+    Rows that share a doc_id are one document, of which the first by a hash of
+    its text stays, so repeated rows become one; rows without a doc_id are
+    linked with nothing and all stay, and so do texts without a word.  Texts
+    may have any length; an empty table gives an empty one."""
     from wordloom.llm.bloom import split_by_names
     from wordloom.llm.minhash_join import near_duplicates
 
@@ -61,7 +75,13 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Takes each document as often as the mix of sources says (0 to 2 times)."""
+    """Takes each document as often as the mix of sources says (0 to 2 times).
+
+    Texts without a word have size 0 and are never taken; a null source is a
+    source.  Rows that agree in id, source and size are told apart by a running
+    number in the order of their texts' hashes, so ties and repeated rows are
+    taken alike in each run.  Texts may have any length; an empty table gives
+    an empty one."""
     from wordloom.llm.mixing import mix_sources, word_count
 
     keys = ("doc_id", "source", "size")
@@ -85,7 +105,11 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Packs what the mix took into sequences of at most 4096 tokens."""
+    """Packs what the mix took into sequences of at most 4096 tokens.
+
+    A row for each piece, as ``pack_documents`` returns it: long texts are cut,
+    null and empty ones are their end token alone, repeated rows are packed
+    each for itself, and equal lengths go by doc_id and piece."""
     import public_tokenizers
 
     from wordloom.llm.packing import pack_documents
