@@ -87,14 +87,16 @@ def _conditions(terms: list[Term], word: Column, folded: bool) -> list[list[Colu
 
 
 def _tags(terms: list[Term], folded: bool) -> Column:
-    """The numbers of all query words that ``word`` meets; it is folded once."""
+    """The numbers of all query words that ``word`` meets; it is folded once,
+    and not at all for phrases alone."""
 
     def met(v: Column) -> Column:
         own = [v["raw"] == w if t.phrase else matches(wildcard(w), False, v["key"], fold_text if folded else str) for t in terms for w in t.words]
         return F.array_compact(F.array(*(F.when(c, F.lit(k)) for k, c in enumerate(own))))
 
     word = F.col("word")
-    return let(F.struct(word.alias("raw"), (fold(word) if folded else word).alias("key")), met)
+    folds = folded and not all(t.phrase for t in terms)
+    return let(F.struct(word.alias("raw"), (fold(word) if folds else word).alias("key")), met)
 
 
 def _phrase_ends(positions: list[Column], steps: list[int]) -> Column:
@@ -174,7 +176,9 @@ def search(rows: DataFrame, query: str, key: str = "doc_id", stop_words: frozens
         terms = _without_positions(terms)
     exploded = "pos" in rows.columns
     positions = "pos" if exploded else "positions"
-    tagged = rows.select(key, positions, F.explode(_tags(terms, folded)).alias("k"))
+    wanted = reduce(lambda x, y: x | y, [c for own in _conditions(terms, F.col("word"), folded) for c in own])
+    # Most rows go by plain conditions; the rest are tagged with the query words that they meet.
+    tagged = rows.where(wanted).select(key, positions, F.explode(_tags(terms, folded)).alias("k"))
     return _judged(_gather(tagged, key, terms, positions, exploded), terms, key, near)
 
 
