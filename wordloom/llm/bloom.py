@@ -10,7 +10,7 @@ import zstandard
 from pyspark import Broadcast
 from pyspark.sql import DataFrame
 
-from wordloom.llm.textcols import mix
+from wordloom.llm.textcols import give_back, mix
 
 #: Bits of one piece of a filter; merging holds one piece of each number.
 PIECE_BITS = 1 << 19
@@ -82,9 +82,17 @@ def may_hold(packed: bytes, ids: np.ndarray) -> np.ndarray:
 
 def _maybe(shared):
     def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        give_back()  # what a task of another kind has left
         for frame in frames:
-            names = frame.column(frame.schema.get_field_index("name")).to_numpy(zero_copy_only=False)
-            yield pa.RecordBatch.from_arrays([*frame.columns, pa.array(may_hold(shared.value, names), pa.bool_())], [*frame.schema.names, "maybe"])
+            # In slices, so that no whole batch of texts is held twice.
+            for at in range(0, frame.num_rows, 256):
+                part = frame.slice(at, 256)
+                names = part.column(part.schema.get_field_index("name")).to_numpy(zero_copy_only=False)
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(may_hold(shared.value, names), pa.bool_())], [*part.schema.names, "maybe"])
+                del part
+            del frame
+            pa.default_memory_pool().release_unused()
+        give_back()
 
     return run
 
