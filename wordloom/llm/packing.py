@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wordloom.llm.shared import materialize
+from wordloom.llm.textcols import REMEMBERED as REMEMBERED_BY_KIND
 from wordloom.llm.textcols import Words, batches, lower_ascii, text_bytes
 
 #: Pieces in a partition, and words that a worker remembers.
@@ -98,7 +99,7 @@ class WordTokens:
         return self.flat[place].astype(np.uint32), total[words.bounds]
 
 
-_HELD: dict[str, WordTokens] = {}
+_HELD: dict[str, WordTokens] = REMEMBERED_BY_KIND.setdefault("packing", {})
 
 
 def _tokens(path: str) -> WordTokens:
@@ -110,7 +111,7 @@ def _tokens(path: str) -> WordTokens:
 def _cut(tokenizer: str, end_id: int, capacity: int, with_ids: bool):
     def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens = _tokens(tokenizer)
-        for table in batches(frames, size=1 << 20):
+        for table in batches(frames, size=1 << 20, kind="packing"):
             flat, bounds = tokens.encode(table["text"].combine_chunks())
             rows: list[tuple[int, int, int, int, int, bytes | None]] = []
             for i, (a, b) in enumerate(zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)):

@@ -117,11 +117,16 @@ def hash_binary(values: pa.Array, seed: int = 0) -> np.ndarray:
     return np.fromiter((xxhash.xxh3_64_intdigest(v, seed) for v in values.to_pylist()), np.uint64, len(values))
 
 
-def batches(frames, rows: int = 1 << 30, size: int = 24 << 20, text: str = "text"):
+#: What the tasks of one kind remember in a worker for the next of their kind, by the kind's name.
+REMEMBERED: dict[str, dict] = {}
+
+
+def batches(frames, rows: int = 1 << 30, size: int = 24 << 20, text: str = "text", kind: str = ""):
     """Joins small Arrow batches until they hold ``size`` bytes of text, and
     cuts large ones, so that vectorised work has enough rows and memory stays
-    bounded (one text may exceed the size by itself)."""
-    give_back()  # what a task of another kind has left
+    bounded (one text may exceed the size by itself).  ``kind``: whose memory
+    in ``REMEMBERED`` stays."""
+    give_back(kind)  # what a task of another kind has left
     held: list[pa.RecordBatch] = []
     held_rows = held_size = 0
     for frame in frames:
@@ -143,12 +148,15 @@ def batches(frames, rows: int = 1 << 30, size: int = 24 << 20, text: str = "text
     if held:
         yield pa.Table.from_batches(held).combine_chunks()
     held = []
-    give_back()
+    give_back(kind)
 
 
-def give_back() -> None:
-    """Returns freed memory to the machine: Spark keeps Python workers between
-    tasks, and an idle one should hold no more than it needs."""
+def give_back(kind: str = "") -> None:
+    """Returns memory to the machine: Spark keeps Python workers between tasks,
+    and one should hold no more than its present kind of task needs."""
+    for name, own in REMEMBERED.items():
+        if name != kind:
+            own.clear()
     pa.default_memory_pool().release_unused()
     try:
         ctypes.CDLL(None).malloc_trim(0)
