@@ -92,6 +92,25 @@ def test_nearest_in_clusters_and_blocks(spark, monkeypatch):
         assert recall(spark, c[draw.integers(centres, size=8192)] + draw.normal(size=(8192, 64)) * spread) >= 0.95
 
 
+def test_nearest_among_rows_that_codes_cannot_tell_apart(spark, monkeypatch):
+    """Very close rows, rows of several lengths, components of any size."""
+    monkeypatch.setattr(ann, "ROWS", 3000)
+    draw = np.random.default_rng(5)
+    close = draw.normal(size=(1, 64)) + 1e-4 * draw.normal(size=(6000, 64))
+    mixed = [v[:n] for v, n in zip(draw.normal(size=(4000, 64)), draw.choice([31, 64], 4000, p=[0.7, 0.3]), strict=True)]
+    huge = draw.normal(size=(1000, 9)) * 10.0 ** draw.integers(-250, 250, size=(1000, 1))
+    for rows in (list(close), mixed, list(huge)):
+        df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(rows)], "vec_id long, embedding array<double>")
+        got = ann.nearest(df).orderBy("query_id", "rank").toPandas()
+        x = np.array([np.pad(v, (0, 64 - len(v))) for v in rows])
+        x /= np.abs(x).max(axis=1)[:, None]
+        x /= np.sqrt((x * x).sum(axis=1))[:, None]
+        for i in range(0, len(x), 50):
+            score = x @ x[i]
+            score[i] = -2
+            assert score[got[got["query_id"] == i]["vec_id"]].min() >= np.sort(score)[-5] - 1e-15
+
+
 def test_nearest_rows_of_one_id(spark):
     rows = [(50, [1.0, 0.0]), (50, [1.0, 0.1]), (3, [1.0, 0.0, 0.0]), (3, [0.0, 1.0]), (4, [1.0, 0.0, 1.0])]
     got = ann.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).orderBy("query_id", "rank").collect()

@@ -7,10 +7,12 @@ minimise a loss that weighs the residual parallel to the vector ``eta`` times
 as much as the rest, since only the parallel part moves large inner products;
 what parallel residual remains is stored as one number and divided out.
 
-A scan sends codes alone, not vectors: it adds up table entries over the
-four-bit codes of a block of rows for each query of a block of queries and
-keeps the best ``rerank`` rows.  The best of all blocks meet the original
-vectors by joins and are ranked by their exact cosine.
+A scan adds up table entries over the four-bit codes of a block of rows for
+each query of a block of queries.  The best ``rerank`` rows are measured on the
+original vectors; the angle between a row and what its code stands for, stored
+with it, then says which others may be as near as the last of the best.  These
+are measured too, so no near row is lost, whatever the rows are like.  Each
+block hands on its ``k`` best.
 """
 
 from __future__ import annotations
@@ -21,13 +23,14 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from wordloom.llm.shared import materialize
 
 WORDS, CENTRES = 16, 256
-ROWS, QUERIES = 1 << 15, 512
+#: Rows and queries of a block, for vectors of up to 64 components; longer ones make smaller blocks.
+ROWS, QUERIES = 1 << 14, 1024
 
 
 @dataclass
@@ -44,11 +47,13 @@ def eta(dimensions: int, threshold: float = 0.2) -> float:
     return max(1.0, (dimensions - 1) * threshold**2 / (1 - threshold**2))
 
 
-def _unit(x: np.ndarray) -> np.ndarray:
-    """Rows of length one, with a zero column more if the number is odd."""
+def _unit(x: np.ndarray, size: int) -> np.ndarray:
+    """The first ``size`` components of rows brought to length one, with a zero
+    column more if the number is odd."""
     x = x / np.maximum(np.abs(x).max(axis=1, keepdims=True), np.finfo(np.float64).tiny)
     x = x / np.maximum(np.sqrt((x * x).sum(axis=1, keepdims=True)), 1e-300)
-    return np.pad(x, ((0, 0), (0, x.shape[1] % 2))).astype(np.float32)
+    x = np.pad(x, ((0, 0), (0, max(0, size - x.shape[1]))))[:, :size]
+    return np.pad(x, ((0, 0), (0, size % 2)))
 
 
 def _cells(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
@@ -75,14 +80,23 @@ def _codes(x: np.ndarray, y: np.ndarray, words: np.ndarray, weight: float, sweep
     return codes
 
 
-def encode(x: np.ndarray, books: Books) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Cell, codes and parallel residual of unit rows."""
-    cell = _cells(x, books.centres)
-    y = x - books.centres[cell]
-    codes = _codes(x, y, books.words, books.weight)
+def encode(x: np.ndarray, books: Books) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Cell, codes, gain and reach of unit rows, or of the first components of
+    such rows.
+
+    A code stands for a vector c of length a along its row and w across it.  The
+    row's inner product with a unit query q is (q c) * gain, give or take reach
+    times the sine of the angle between row and query: gain is 1 / a, reach w / a."""
+    single = x.astype(np.float32)
+    cell = _cells(single, books.centres)
+    codes = _codes(single, single - books.centres[cell], books.words, books.weight)
     m = len(books.words)
-    rest = y - np.concatenate([books.words[s][codes[:, s]] for s in range(m)], axis=1)
-    return cell, codes, (rest * x).sum(axis=1)
+    coded = books.centres[cell].astype(np.float64) + np.concatenate([books.words[s][codes[:, s]] for s in range(m)], axis=1)
+    along = (coded * x).sum(axis=1)
+    across = np.sqrt(np.maximum((coded * coded).sum(axis=1) - along * along, 0)) + 2e-8  # more than rounding takes away
+    told = along > 0.01
+    gain = 1 / np.where(told, along, 1)
+    return cell, codes, np.where(told, gain, 0), np.where(told, across * gain, np.inf)
 
 
 def fit(x: np.ndarray, rounds: int = 4, threshold: float = 0.2) -> Books:
@@ -123,12 +137,18 @@ def fit(x: np.ndarray, rounds: int = 4, threshold: float = 0.2) -> Books:
     return Books(centres, words, weight)
 
 
-def _matrix(vectors: list, size: int) -> np.ndarray:
-    """Rows cut or filled up with zeros to one length."""
-    out = np.zeros((len(vectors), size))
+def _matrix(vectors: list, size: int = 1) -> np.ndarray:
+    """Rows filled up with zeros to one length, ``size`` at least, each times
+    a power of two that brings its largest component near one: cosines stay as
+    they are to the last bit, and no square over- or underflows."""
+    out = np.zeros((len(vectors), max([size, *map(len, vectors)])))
     for i, v in enumerate(vectors):
-        out[i, : min(size, len(v))] = v[:size]
-    return out
+        out[i, : len(v)] = v
+    return np.ldexp(out, -np.frexp(np.abs(out).max(axis=1, keepdims=True))[1])
+
+
+def _stored(column: pd.Series, size: int) -> np.ndarray:
+    return _matrix([np.frombuffer(b) for b in column], size)
 
 
 def _encode(shared, size: int):
@@ -136,62 +156,90 @@ def _encode(shared, size: int):
         for frame in frames:
             if not frame.num_rows:
                 continue
-            vectors = frame.column(frame.schema.get_field_index("embedding"))
-            cell, codes, parallel = encode(_unit(_matrix(vectors.to_pylist(), size)), shared.value)
+            vectors = frame.column("embedding").to_pylist()
+            x = _matrix(vectors, size)
+            cell, codes, gain, reach = encode(_unit(x, size), shared.value)
             codes = np.pad(codes, ((0, 0), (0, codes.shape[1] % 2)))
             packed = codes[:, 0::2] | (codes[:, 1::2] << 4)
             yield pa.RecordBatch.from_arrays(
-                [*frame.columns, pa.array(cell.astype(np.int32)), pa.array([p.tobytes() for p in packed], pa.binary()), pa.array(parallel.astype(np.float32))],
-                [*frame.schema.names, "cell", "code", "parallel"],
+                [
+                    frame.column("rid"),
+                    frame.column("vec_id"),
+                    pa.array([row[: len(v)].tobytes() for row, v in zip(x, vectors, strict=True)], pa.binary()),
+                    pa.array(cell.astype(np.int32)),
+                    pa.array([p.tobytes() for p in packed], pa.binary()),
+                    pa.array(gain),
+                    pa.array(reach),
+                ],
+                ["rid", "vec_id", "vector", "cell", "code", "gain", "reach"],
             )
 
     return run
 
 
-def _scan(shared, size: int, rerank: int):
+def _dots(columns: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """Inner products in double precision, added up from the first component to
+    the last; ``columns`` has a row for each component."""
+    total = np.zeros(columns.shape[1])
+    for own, other in zip(columns, q, strict=True):
+        total += own * other
+    return total
+
+
+def _scan(shared, size: int, k: int, rerank: int):
     def run(key, rows: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
         books = shared.value
-        out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        out: list[tuple[np.ndarray, ...]] = []
         if len(rows) and len(queries):
-            rids, cell = rows["rid"].to_numpy(), rows["cell"].to_numpy()
+            rids, ids, cell, gain, reach = (rows[c].to_numpy() for c in ("rid", "vec_id", "cell", "gain", "reach"))
             codes = np.stack([np.frombuffer(c, np.uint8) for c in rows["code"]]).T.copy()
-            gain = 1 / np.maximum(1 - rows["parallel"].to_numpy(np.float32), np.float32(0.1))
+            x, asked = _stored(rows["vector"], size), _stored(queries["vector"], size)
+            width = max(x.shape[1], asked.shape[1])
+            x, asked = (np.pad(a, ((0, 0), (0, width - a.shape[1]))).T.copy() for a in (x, asked))
+            norms, lengths = (np.sqrt(sum((c * c for c in a), np.zeros(a.shape[1]))) for a in (x, asked))
+            words, centres = books.words.astype(np.float64), books.centres.astype(np.float64)
             low, high = np.arange(256) & 15, np.arange(256) >> 4
-            unit = _unit(_matrix(queries["embedding"].tolist(), size))
-            for query, q in zip(queries["rid"].tolist(), unit, strict=True):
-                tables = (q.reshape(len(books.words), 1, 2) * books.words).sum(axis=2)
+            for i, (query, q_id, q) in enumerate(zip(queries["rid"].tolist(), queries["vec_id"].tolist(), _unit(asked.T, size), strict=True)):
+                tables = (q.reshape(len(words), 1, 2) * words).sum(axis=2)
                 tables = np.pad(tables, ((0, len(tables) % 2), (0, 0)))
-                score = (books.centres @ q)[cell]
+                score = (centres @ q)[cell]
                 for s in range(len(codes)):
                     score += (tables[2 * s][low] + tables[2 * s + 1][high])[codes[s]]
                 score *= gain
-                score[rids == query] = -np.inf
-                # All rows that tie with the last one are kept too.
-                cut = np.partition(score, -rerank)[-rerank] if len(score) > rerank else -np.inf
-                at = np.flatnonzero((score >= cut) & (rids != query))
-                out.append((np.full(len(at), query), rids[at], score[at]))
-        cols = [np.concatenate(c) for c in zip(*out, strict=True)] if out else [[], [], []]
-        return pd.DataFrame({"query": np.asarray(cols[0], np.int64), "rid": np.asarray(cols[1], np.int64), "near": np.asarray(cols[2], np.float64)})
+                own = rids == query
+                score[own] = -np.inf
+                best = np.argpartition(score, -rerank)[-rerank:] if len(score) > rerank else np.arange(len(score))
+                best = best[~own[best]]
+                exact = _dots(x[:, best], asked[:, i]) / (norms[best] * lengths[i])
+                if len(score) > rerank and len(best) >= k:
+                    # Whatever is as near as the k-th so far is nearer to the query than this angle.
+                    last = np.partition(exact, -k)[-k]
+                    sine = max(np.sqrt(max(1 - max(last, 0.0) ** 2, 0.0)), 1e-9)
+                    may = score + sine * reach >= last - 1e-11
+                    may[best] = may[own] = False
+                    more = np.flatnonzero(may)
+                    best = np.concatenate([best, more])
+                    exact = np.concatenate([exact, _dots(x[:, more], asked[:, i]) / (norms[more] * lengths[i])])
+                at = np.lexsort((ids[best], -exact))[:k]
+                out.append((np.full(len(at), query), np.full(len(at), q_id), ids[best[at]], exact[at]))
+        cols = [np.concatenate(c) for c in zip(*out, strict=True)] if out else [[], [], [], []]
+        kinds = (("query", np.int64), ("query_id", np.int64), ("vec_id", np.int64), ("score", np.float64))
+        return pd.DataFrame({name: np.asarray(c, kind) for (name, kind), c in zip(kinds, cols, strict=True)})
 
     return run
 
 
-def _dot(a: str, b: str) -> Column:
-    """An inner product in double precision, added up from the first dimension
-    to the last; the shorter array counts as ending in zeros."""
-    product = F.zip_with(a, b, lambda x, y: F.coalesce(x * y, F.lit(0.0)))
-    return F.aggregate(product, F.lit(0.0), lambda x, y: x + y)
-
-
 def nearest(vectors: DataFrame, every: int = 50, k: int = 5, rerank: int = 200, sample: int = 10_000, threshold: float = 0.2) -> DataFrame:
     """The ``k`` nearest rows found by cosine for each row whose vec_id is
     divisible by ``every``: ``query_id, rank, vec_id, score``, nearest first,
     ties to the smaller vec_id.
 
     Centres and codebooks are fitted on about ``sample`` rows (the documented
-    bound); every row is indexed and scanned, and the best ``rerank`` rows of
-    each query by their codes, and all that tie with the last, are ranked
-    exactly.
+    bound); every row is indexed and scanned.  The best ``rerank`` rows of each
+    query and block by their codes, and all that may be as near as the k-th of
+    them, are measured exactly, so the result is that of brute force.  Rows
+    that lie so close together that codes can't tell them apart cost more
+    measures, not more memory: a task holds one block of rows and queries.
 
     Null ids or vectors, vectors of zeros or with null or non-finite
     components take no part.  Rows with one vec_id are rows of their own: each
@@ -208,26 +256,23 @@ def nearest(vectors: DataFrame, every: int = 50, k: int = 5, rerank: int = 200,
         & F.exists("embedding", lambda c: c != 0)
     )
     sizes = fine.groupBy(F.size("embedding").alias("size")).count()
-    n = sizes.agg(F.sum("count")).first()[0] or 0
+    all_of = sizes.agg(F.sum("count").alias("n"), F.max("size").alias("width")).first()
+    n, width = all_of["n"] or 0, all_of["width"] or 1
     most = sizes.orderBy(F.desc("count"), "size").first()
     size = most["size"] if most else 1
     hashed = F.xxhash64("vec_id", "embedding", F.lit("sample"))
     u = F.pmod(hashed, F.lit(1 << 40)) / float(1 << 40)
     drawn = fine.where(u * n < sample).orderBy(hashed, "vec_id").limit(2 * sample).collect()
-    shared = spark.sparkContext.broadcast(fit(_unit(_matrix([r["embedding"] for r in drawn] or [[1.0]], size)), threshold=threshold))
+    taught = _unit(_matrix([r["embedding"][:size] for r in drawn if any(r["embedding"][:size])] or [[1.0]], size), size)
+    shared = spark.sparkContext.broadcast(fit(taught.astype(np.float32), threshold=threshold))
     numbered = fine.select(F.monotonically_increasing_id().alias("rid"), "vec_id", "embedding")
-    index = materialize(numbered.mapInArrow(_encode(shared, size), "rid long, vec_id long, embedding array<double>, cell int, code binary, parallel float"), "index")
+    index = materialize(numbered.mapInArrow(_encode(shared, size), "rid long, vec_id long, vector binary, cell int, code binary, gain double, reach double"), "index")
     asks = F.col("vec_id") % every == 0
-    row_blocks, query_blocks = max(1, -(-n // ROWS)), max(1, -(-n // (every * QUERIES)))
+    per_rows, per_queries = (max(1, block * 64 // max(64, width)) for block in (ROWS, QUERIES))
+    row_blocks, query_blocks = max(1, -(-n // per_rows)), max(1, -(-n // (every * per_queries)))
     over = lambda blocks: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long")))
-    rows = index.select("rid", "cell", "code", "parallel", F.pmod(F.xxhash64("rid"), F.lit(row_blocks)).alias("rb"), over(query_blocks).alias("qb"))
-    asked = index.where(asks).select("rid", "embedding", F.pmod(F.xxhash64("rid"), F.lit(query_blocks)).alias("qb"), over(row_blocks).alias("rb"))
-    found = rows.groupBy("rb", "qb").cogroup(asked.groupBy("rb", "qb")).applyInPandas(_scan(shared, size, rerank), "query long, rid long, near double")
-    first = Window.partitionBy("query").orderBy(F.desc("near"))
-    best = found.withColumn("nth", F.rank().over(first)).where(F.col("nth") <= rerank).select("query", "rid")
-    theirs = index.select("rid", "vec_id", F.col("embedding").alias("x"))
-    own = index.where(asks).select(F.col("rid").alias("query"), F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
-    cosine = _dot("x", "q") / (F.sqrt(_dot("x", "x")) * F.sqrt(_dot("q", "q")))
-    exact = best.join(theirs, "rid").join(own, "query").select("query", "query_id", "vec_id", cosine.alias("score"))
+    rows = index.select("rid", "vec_id", "vector", "cell", "code", "gain", "reach", F.pmod(F.xxhash64("rid"), F.lit(row_blocks)).alias("rb"), over(query_blocks).alias("qb"))
+    asked = index.where(asks).select("rid", "vec_id", "vector", F.pmod(F.xxhash64("rid"), F.lit(query_blocks)).alias("qb"), over(row_blocks).alias("rb"))
+    found = rows.groupBy("rb", "qb").cogroup(asked.groupBy("rb", "qb")).applyInPandas(_scan(shared, size, k, rerank), "query long, query_id long, vec_id long, score double")
     order = Window.partitionBy("query").orderBy(F.desc("score"), "vec_id")
-    return exact.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
