@@ -31,3 +31,11 @@ def test_hilite_text_of_long_texts(spark, tmp_path):
     got = catalogue.queries()["hilite_text"](spark, str(tmp_path)).collect()
     assert time.time() - began < 20
     assert [r["doc_id"] for r in got] == [1] and got[0]["text"].startswith('<a name="skhlt_0"></a><b>OF</b> w1 w2 w3 w4 <a name="skhlt_5"></a><b>OF</b> w6') and got[0]["complete"]
+
+
+def test_a_directory_without_pages_is_listed(spark, tmp_path):
+    urls = {"none": ["http://www.spam-farm.example.org/a", "https://x.org/y/z"], "some": ["http://spam-farm.example.org/a", "http://spam-farm.example.org/b/c", "http://x.org/spam-farm.example.org/d"]}
+    for name, own in urls.items():
+        spark.createDataFrame(list(enumerate(own)), "page_id long, url string").write.parquet(f"{tmp_path}/{name}/pages.parquet")
+        got = sorted(tuple(r) for r in catalogue.queries()["tree_by_id"](spark, f"{tmp_path}/{name}").collect())
+        assert got == [("dir", "spam-farm.example.org"), *([("file", "a")] if name == "some" else [])]

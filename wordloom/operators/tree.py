@@ -8,7 +8,7 @@ directories take about as many rounds as the tree's depth has binary digits.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wordloom.functions.text import content_url
@@ -17,6 +17,15 @@ from wordloom.sources.kept import kept
 ROOT = 0
 
 
+def _ident(path: Column) -> Column:
+    return F.xxhash64(path).bitwiseAND(F.lit((1 << 62) - 1))
+
+
+def dir_row(spark: SparkSession, name: str) -> DataFrame:
+    """The row that ``from_paths`` gives a directory right below the root."""
+    return spark.range(1).select(_ident(F.lit(name)).alias("dir_id"), F.lit(name).alias("name"), F.lit(ROOT).cast("long").alias("parent_id"))
+
+
 def from_paths(paths: DataFrame, path: str) -> tuple[DataFrame, DataFrame]:
     """Builds both tables from slash-separated paths: the last segment is a
     file.  Ids are hashes of paths, so they are stable and need no order."""
@@ -24,13 +33,12 @@ def from_paths(paths: DataFrame, path: str) -> tuple[DataFrame, DataFrame]:
     cut = paths.select(parts.alias("parts")).where(F.size("parts") > 0).distinct()
     name_of = lambda n: F.array_join(F.slice("parts", 1, n), "/")
     levels = cut.where(F.size("parts") > 1).select("parts", F.explode(F.sequence(F.lit(1), F.size("parts") - 1)).alias("n"))
-    ident = lambda text: F.xxhash64(text).bitwiseAND(F.lit((1 << 62) - 1))
-    parent = lambda n: F.when(n == 1, F.lit(ROOT).cast("long")).otherwise(ident(name_of(n - 1)))
+    parent = lambda n: F.when(n == 1, F.lit(ROOT).cast("long")).otherwise(_ident(name_of(n - 1)))
     n = F.col("n")
-    dirs = levels.select(ident(name_of(n)).alias("dir_id"), F.element_at("parts", n).alias("name"), parent(n).alias("parent_id")).distinct()
+    dirs = levels.select(_ident(name_of(n)).alias("dir_id"), F.element_at("parts", n).alias("name"), parent(n).alias("parent_id")).distinct()
     root = paths.sparkSession.range(1).select(F.lit(ROOT).cast("long").alias("dir_id"), F.lit("").alias("name"), F.lit(None).cast("long").alias("parent_id"))
     last = F.size("parts")
-    files = cut.select(ident(F.concat(F.lit("f:"), F.array_join("parts", "/"))).alias("file_id"), F.element_at("parts", last).alias("name"), parent(last).alias("parent_id"))
+    files = cut.select(_ident(F.concat(F.lit("f:"), F.array_join("parts", "/"))).alias("file_id"), F.element_at("parts", last).alias("name"), parent(last).alias("parent_id"))
     return root.unionByName(dirs), files
 
 
