@@ -16,19 +16,51 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wordloom.functions.folding import fold, fold_text
-from wordloom.functions.text import WordPattern, next_string, regular, tokens, wildcard
-from wordloom.sources.kept import shared_folder
+from wordloom.functions.text import WordPattern, next_string, regular, wildcard, words
+from wordloom.operators.filters import let
+from wordloom.sources.kept import kept, shared_folder
+
+
+def _held(own: Column) -> Column:
+    """A text's words as an array of (``word, positions``): places are sorted
+    by word once and cut where the word changes."""
+
+    def cut(line: Column) -> Column:
+        firsts = F.array_compact(F.transform(line, lambda x, i: F.when((i == 0) | (F.get(line, i - 1)["word"] != x["word"]), i)))
+
+        def one(firsts: Column) -> Column:
+            def run(a: Column, j: Column) -> Column:
+                size = F.coalesce(F.get(firsts, j + 1), F.size(line)) - a
+                places = F.transform(F.slice(line, a + 1, size), lambda x: x["pos"])
+                return F.struct(F.get(line, a)["word"].alias("word"), places.alias("positions"))
+
+            return F.transform(firsts, run)
+
+        return let(firsts, one)
+
+    return let(F.sort_array(F.transform(own, lambda w, i: F.struct(w.alias("word"), i.alias("pos")))), cut)
 
 
 def postings(docs: DataFrame, text: str = "text", key: str = "doc_id", structure: Column | None = None) -> DataFrame:
     """(``word``, key, ``structure``, ``n_occ``, ``positions``): a row for each
-    different word of a document and structure."""
-    rows = tokens(docs, text, key) if structure is None else None
-    if rows is None:
-        rows = tokens(docs.withColumn("_s", structure).select(F.struct(key, "_s").alias("_at"), text), text, "_at").select(f"_at.{key}", F.col("_at._s").alias("structure"), "pos", "word")
-    else:
-        rows = rows.withColumn("structure", F.lit(0))
-    return rows.groupBy("word", key, "structure").agg(F.count(F.lit(1)).alias("n_occ"), F.sort_array(F.collect_list("pos")).alias("positions"))
+    different word of a document and structure.
+
+    A row of ``docs`` holds its own postings, so they are made where it is read
+    and not shuffled; only ids are, to find those that several rows share, whose
+    postings are joined."""
+    rows = docs.select(key, F.lit(0).alias("structure") if structure is None else structure.alias("structure"), F.col(text).alias("_text"))
+    again = kept(rows.groupBy(key, "structure").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select(F.col(key).alias("_key"), F.col("structure").alias("_structure")))
+
+    def held(of: DataFrame) -> DataFrame:
+        each = of.select(key, "structure", F.explode(_held(words(F.col("_text")))).alias("_p"))
+        return each.select(F.col("_p.word").alias("word"), key, "structure", F.size("_p.positions").cast("long").alias("n_occ"), F.col("_p.positions").alias("positions"))
+
+    if again.isEmpty():
+        return held(rows)
+    same = F.col(key).eqNullSafe(F.col("_key")) & F.col("structure").eqNullSafe(F.col("_structure"))
+    several = held(rows.join(again, same, "left_semi")).groupBy("word", key, "structure")
+    joined = several.agg(F.sum("n_occ").alias("n_occ"), F.sort_array(F.flatten(F.collect_list("positions"))).alias("positions"))
+    return held(rows.join(again, same, "left_anti")).unionByName(joined)
 
 
 def lexicon(rows: DataFrame, key: str = "doc_id") -> DataFrame:
@@ -113,14 +145,17 @@ def written(docs: DataFrame, text: str = "text", key: str = "doc_id", path: str
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = postings(docs, text, key, structure).repartitionByRange(parts, "word", key).withColumn("bucket", F.spark_partition_id())
     rows.sortWithinPartitions("bucket", "word", key).write.partitionBy("bucket").parquet(f"{path}/postings")
-    return _lexicon_of(spark, path, key)
+    return _lexicon_of(spark, path, key, whole=structure is None)
 
 
-def _lexicon_of(spark: SparkSession, path: str, key: str) -> Written:
-    held = spark.read.parquet(f"{path}/postings")
-    pairs = held.groupBy("word", key).agg(F.sum("n_occ").alias("n"), F.min("bucket").alias("low"), F.max("bucket").alias("high"))
-    words = pairs.groupBy("word").agg(F.count(F.lit(1)).alias("n_docs"), F.sum("n").alias("n_occ"), F.min("low").alias("first"), F.max("high").alias("last"))
-    with_keys(words).withColumn("word_id", word_id(F.col("word"))).write.parquet(f"{path}/lexicon")
+def _lexicon_of(spark: SparkSession, path: str, key: str, whole: bool) -> Written:
+    """``whole``: a document and word have one row of postings, so that rows
+    are counted; else they are summed up for each document first."""
+    pairs = spark.read.parquet(f"{path}/postings").select("word", key, "n_occ", F.col("bucket").alias("low"), F.col("bucket").alias("high"))
+    if not whole:
+        pairs = pairs.groupBy("word", key).agg(F.sum("n_occ").alias("n_occ"), F.min("low").alias("low"), F.max("high").alias("high"))
+    found = pairs.groupBy("word").agg(F.count(F.lit(1)).alias("n_docs"), F.sum("n_occ").alias("n_occ"), F.min("low").alias("first"), F.max("high").alias("last"))
+    with_keys(found).withColumn("word_id", word_id(F.col("word"))).write.parquet(f"{path}/lexicon")
     for k in KEYS:
         spark.read.parquet(f"{path}/lexicon").repartitionByRange(k).sortWithinPartitions(k).write.parquet(f"{path}/by_{k}")
     return open_written(spark, path)
@@ -153,19 +188,34 @@ def find_written(index: Written, pattern: str, folded: bool = False, kind: str =
     return found.where(_rest(plan, F.col("fold" if folded else "word"), fold_text if folded else str)) if plan.rest is not None else found
 
 
-def buckets(words: DataFrame) -> list[int]:
+def buckets(found: DataFrame) -> list[int]:
     """The postings' folders that hold some words: at most as many numbers as
     there are folders."""
-    return sorted(r[0] for r in words.select(F.explode(F.sequence("first", "last")).alias("b")).distinct().collect())
+    return sorted(r[0] for r in found.select(F.explode(F.sequence("first", "last")).alias("b")).distinct().collect())
 
 
 def find_postings(index: Written, pattern: str, folded: bool = False, kind: str = "wildcard") -> DataFrame:
     """Postings of the words that meet a pattern.  Only the folders that hold
     such words are read; of these, only row groups that may."""
-    words = find_written(index, pattern, folded, kind)
-    rows = index.postings.where(F.col("bucket").isin(buckets(words)))
+    found = find_written(index, pattern, folded, kind)
+    rows = index.postings.where(F.col("bucket").isin(buckets(found)))
     plan = {"wildcard": wildcard, "regex": regular}[kind](pattern)
     if not folded and plan.mode in ("exact", "begin"):
         rows = rows.where(F.col("word") == plan.literal if plan.mode == "exact" else in_range(F.col("word"), plan.literal))
         return rows if plan.rest is None else rows.where(_rest(plan, F.col("word"), str))
-    return rows.join(words.select("word"), "word", "left_semi")
+    return meeting(rows, kept(found.select("word", "first", "last"))).select(*index.postings.columns)
+
+
+#: Words that are broadcast at most; more meet the postings by folder and word.
+BROADCAST_WORDS = 1 << 16
+
+
+def meeting(rows: DataFrame, found: DataFrame) -> DataFrame:
+    """Postings with the other columns of ``found`` (rows of a lexicon, kept)
+    for each of its rows of their word.  Few words go to where the postings are
+    read.  Many are dealt out by folder and word, so that a frequent word is as
+    many tasks as it fills folders."""
+    if found.count() <= BROADCAST_WORDS:
+        return rows.join(F.broadcast(found.drop("first", "last")), "word")
+    spread = found.withColumn("bucket", F.explode(F.sequence("first", "last"))).drop("first", "last")
+    return rows.join(spread, ["bucket", "word"])

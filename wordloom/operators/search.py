@@ -20,7 +20,7 @@ from wordloom.functions.folding import fold, fold_text
 from wordloom.functions.text import wildcard, word_pattern
 from wordloom.operators.filters import let, near_positions, title_level
 from wordloom.operators.hops import Hop, follow
-from wordloom.operators.index import Written, buckets, find_written, matches
+from wordloom.operators.index import Written, buckets, find_written, matches, meeting
 from wordloom.sources.kept import kept
 
 NEAR = 10
@@ -250,7 +250,7 @@ def search_written(
 def _postings_of(index: Written, words: DataFrame, key: str) -> DataFrame:
     """(``k``, key, ``positions``) of the words of ``query_words``."""
     read = index.postings.where(F.col("bucket").isin(buckets(words)))
-    return read.join(words.select("k", "word"), "word").select("k", key, "positions")
+    return meeting(read, words.select("k", "word", "first", "last")).select("k", key, "positions")
 
 
 #: What an occurrence counts at title levels 0 to 7.
