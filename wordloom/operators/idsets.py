@@ -49,8 +49,12 @@ BITS = 32768
 
 
 def as_bitmap(ids: DataFrame) -> DataFrame:
-    """(``bucket``, ``bits``): the set as bitmaps of 32,768 ids each."""
-    return ids.groupBy(F.bitmap_bucket_number("id").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("id")).alias("bits"))
+    """(``bucket``, ``bits``): the set as bitmaps of 32,768 ids each.
+
+    Different ids are dealt out by bucket before bitmaps are built: ids that
+    lie far apart would else make a bitmap of 4 KB for each bucket and task."""
+    own = ids.select(F.bitmap_bucket_number("id").alias("bucket"), F.bitmap_bit_position("id").alias("at"))
+    return own.distinct().repartition("bucket").groupBy("bucket").agg(F.bitmap_construct_agg("at").alias("bits"))
 
 
 def bitmap_count(bitmaps: DataFrame) -> DataFrame:
