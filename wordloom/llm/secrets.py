@@ -233,6 +233,21 @@ def shortest(model: dict[str, float], threshold: float) -> int:
     return length
 
 
+def base_spans(docs: DataFrame, *carry: str) -> DataFrame:
+    """(``doc_id``, ``n_assign, n_access, n_hex``, ``base``) of each row, and
+    the columns ``carry``: what the three patterns alone find.  No shuffle."""
+    text = F.coalesce(F.col("text"), F.lit(""))
+    found = docs.select(
+        "doc_id",
+        *carry,
+        _matches(text, ASSIGN, "assign", least=6).alias("assign"),
+        _matches(text, ACCESS, "access").alias("access"),
+        _matches(text, HEX, "hex").alias("hex"),
+    )
+    counts = [F.size(k).cast("long").alias(f"n_{k}") for k in ("assign", "access", "hex")]
+    return found.select("doc_id", *carry, *counts, F.concat("assign", "access", "hex").alias("base"))
+
+
 def find_secrets(docs: DataFrame, model: dict[str, float] | None = None, threshold: float = 12.0, documents: int = 2000, vocabulary: str | None = None) -> DataFrame:
     """Returns for each row ``doc_id, n_assign, n_access, n_hex, base`` and
     ``spans``: arrays of (start, rank, end, value) in code points.
@@ -253,15 +268,8 @@ def find_secrets(docs: DataFrame, model: dict[str, float] | None = None, thresho
     ratios = F.split(F.lit(",".join(table)), ",").cast("array<double>")
     least = max(2, shortest(known, threshold - 1e-3))  # the table is rounded
     pattern = TOKEN.removesuffix("+") + f"{{{least},}}+"
-    text = F.coalesce(F.col("text"), F.lit(""))
-    rows = docs.select("doc_id", text.alias("text"), F.md5(F.encode(text, "UTF-8")).alias("key"))
-    based = rows.select(
-        "doc_id",
-        "key",
-        _matches(F.col("text"), ASSIGN, "assign", least=6).alias("assign"),
-        _matches(F.col("text"), ACCESS, "access").alias("access"),
-        _matches(F.col("text"), HEX, "hex").alias("hex"),
-    ).withColumn("base", F.concat("assign", "access", "hex"))
+    rows = docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text")).withColumn("key", F.md5(F.encode("text", "UTF-8")))
+    based = base_spans(rows, "key")
     # A token's score doesn't depend on its text, so each different one is scored once.
     found = F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(pattern), F.lit(0)))).alias("token")
     different = rows.select(found).distinct().repartition(partitions(docs))  # small rows, much work: spread it
@@ -269,7 +277,7 @@ def find_secrets(docs: DataFrame, model: dict[str, float] | None = None, thresho
     based_on = F.col("token").rlike(ACCESS) | F.col("token").rlike(HEX)
     hits = different.where((_score(F.col("token"), ratios) >= threshold) & ~F.col("token").rlike(UUID) & ~based_on)
     hits = materialize(hits, "hits")
-    counts = [F.size(k).cast("long").alias(f"n_{k}") for k in ("assign", "access", "hex")]
+    counts = ["n_assign", "n_access", "n_hex"]
     if hits.isEmpty():
         return based.select("doc_id", *counts, "base", F.col("base").alias("spans"))
     # Texts are named by their digests: only those with a hit are met again, and places are joined to base spans without a text.
