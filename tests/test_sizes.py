@@ -2,11 +2,18 @@
 
 import time
 
+import pytest
 from pyspark.sql import functions as F
-from wordloom.functions import marks
+from wordloom.functions import marks, text
+from wordloom.llm import queries as llm
+from wordloom.operators import idsets, index, search
 from wordloom.plans import catalogue
 
 
+def plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
 def test_highlights_of_a_long_text_take_one_pass(spark):
     words = [("of" if i % 3 == 0 else f"w{i}") for i in range(20_000)]
     df = spark.createDataFrame([(words, [i for i, w in enumerate(words) if w == "of"])], "w array<string>, at array<int>")
@@ -39,3 +46,44 @@ def test_a_directory_without_pages_is_listed(spark, tmp_path):
         spark.createDataFrame(list(enumerate(own)), "page_id long, url string").write.parquet(f"{tmp_path}/{name}/pages.parquet")
         got = sorted(tuple(r) for r in catalogue.queries()["tree_by_id"](spark, f"{tmp_path}/{name}").collect())
         assert got == [("dir", "spam-farm.example.org"), *([("file", "a")] if name == "some" else [])]
+
+
+def test_postings_are_made_where_texts_are_read(spark):
+    rows = [(1, "b a b"), (2, "a"), (3, ""), (4, None), (None, "a c")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert "Exchange" not in plan(index.postings(docs))
+    again = docs.unionByName(docs.where("doc_id = 1 or doc_id is null"))
+    for df in (docs, again, docs.limit(0)):
+        want = text.tokens(df).groupBy("word", "doc_id").agg(F.count("pos").alias("n_occ"), F.sort_array(F.collect_list("pos")).alias("positions"))
+        got = index.postings(df).select("word", "doc_id", "n_occ", "positions")
+        assert got.schema["n_occ"].dataType == want.schema["n_occ"].dataType
+        assert sorted(map(repr, got.collect())) == sorted(map(repr, want.collect()))
+
+
+@pytest.mark.parametrize("few", [0, 1 << 16])
+def test_a_frequent_word_is_never_one_task(spark, tmp_path, monkeypatch, few):
+    docs = spark.range(3000).select(F.col("id").alias("doc_id"), F.concat(F.lit("the nation of The "), F.col("id") % 7).alias("text"))
+    written = index.written(docs, path=str(tmp_path / "i"))
+    monkeypatch.setattr(index, "BROADCAST_WORDS", few)
+    for q in ("the or of", "TH* and *Tion", "the before 3"):
+        found = search.search_written(written, q)
+        assert "hashpartitioning(word#" not in plan(found)
+        want = search.search(text.tokens(docs), q)
+        assert sorted(map(repr, found.collect())) == sorted(map(repr, want.collect()))
+    ended = index.find_postings(written, "*tion")
+    assert "hashpartitioning(word#" not in plan(ended) and ended.count() == 3000
+
+
+def test_bitmaps_are_built_after_ids_are_dealt_out(spark):
+    ids = spark.range(5000).select((F.col("id") * 40_000 - 7).alias("id"))
+    shown = plan(idsets.as_bitmap(ids))
+    assert shown.rindex("bitmap_construct_agg") < shown.index("Exchange")
+    assert sorted(r["id"] for r in idsets.from_bitmap(idsets.as_bitmap(ids)).collect()) == sorted(r["id"] for r in ids.collect())
+
+
+def test_texts_are_cut_into_words_once(spark, sf):
+    assert "regexp_extract_all" not in plan(catalogue.queries()["lookup_folded"](spark, sf))
+
+
+def test_base_spans_need_no_scan_of_tokens(spark, sf):
+    assert "Exchange" not in plan(llm.queries()["secret_base"](spark, sf))

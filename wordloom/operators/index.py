@@ -144,7 +144,7 @@ def written(docs: DataFrame, text: str = "text", key: str = "doc_id", path: str
     path = path or f"{shared_folder(spark)}/index-{uuid.uuid4().hex}"
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = postings(docs, text, key, structure).repartitionByRange(parts, "word", key).withColumn("bucket", F.spark_partition_id())
-    rows.sortWithinPartitions("bucket", "word", key).write.partitionBy("bucket").parquet(f"{path}/postings")
+    rows.sortWithinPartitions("bucket", "word", key).write.partitionBy("bucket").option("compression", "zstd").parquet(f"{path}/postings")
     return _lexicon_of(spark, path, key, whole=structure is None)
 
 
@@ -155,9 +155,9 @@ def _lexicon_of(spark: SparkSession, path: str, key: str, whole: bool) -> Writte
     if not whole:
         pairs = pairs.groupBy("word", key).agg(F.sum("n_occ").alias("n_occ"), F.min("low").alias("low"), F.max("high").alias("high"))
     found = pairs.groupBy("word").agg(F.count(F.lit(1)).alias("n_docs"), F.sum("n_occ").alias("n_occ"), F.min("low").alias("first"), F.max("high").alias("last"))
-    with_keys(found).withColumn("word_id", word_id(F.col("word"))).write.parquet(f"{path}/lexicon")
+    with_keys(found).withColumn("word_id", word_id(F.col("word"))).write.option("compression", "zstd").parquet(f"{path}/lexicon")
     for k in KEYS:
-        spark.read.parquet(f"{path}/lexicon").repartitionByRange(k).sortWithinPartitions(k).write.parquet(f"{path}/by_{k}")
+        spark.read.parquet(f"{path}/lexicon").repartitionByRange(k).sortWithinPartitions(k).write.option("compression", "zstd").parquet(f"{path}/by_{k}")
     return open_written(spark, path)
 
 
