@@ -29,7 +29,7 @@ from wordloom.llm.textcols import REMEMBERED as REMEMBERED_BY_KIND
 from wordloom.llm.textcols import Words, batches, lower_ascii, text_bytes
 
 #: Pieces in a partition, and words that a worker remembers.
-PIECES, REMEMBERED = 50_000, 600_000
+PIECES, REMEMBERED = 50_000, 300_000
 
 
 class WordTokens:
