@@ -15,15 +15,23 @@ roundings whose word total is nearest to the target.
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from wordloom.llm.shared import materialize
 
 BLOCK, LANDING = 20_000, 12
 EPS = 1e-9
+#: Slots for each row and at most in ``taken_rows``: two bits of each are broadcast, so 32 MB at most.
+SLOTS, MOST_SLOTS = 8, 1 << 27
+#: Fixed value: the bits of one of Spark's bitmaps.
+BITS = 32768
+#: A slot whose rows are not taken equally often.
+OPEN = 3
 
 
 def _direction(size: tuple[float, float, float]) -> tuple[float, float, float]:
@@ -167,3 +175,51 @@ def mix_sources(docs: DataFrame, share: float = 1.5, cap: float = 2.0, weights:
         level += 1
     copies = F.col("base") + F.round("p").cast("long")
     return done.select("doc_id", "source", "size", "source_size", "target", copies.alias("copies"), (F.col("size") * copies).alias("taken"), "twin")
+
+
+def _placed(rows: DataFrame, slots: int) -> DataFrame:
+    """``rows`` with the ``bucket`` and the bit ``at`` of the slot that the hash of id and source gives."""
+    slot = F.pmod(F.xxhash64("doc_id", "source"), F.lit(slots)) + 1
+    return rows.withColumn("bucket", F.bitmap_bucket_number(slot)).withColumn("at", F.bitmap_bit_position(slot))
+
+
+def _slot_bits(mixed: DataFrame, slots: int) -> DataFrame:
+    """(``bucket``, ``low``, ``high``): two bits for each slot, 0 to 2 where
+    all of its rows are taken that often, else ``OPEN``."""
+    alike = (F.min("copies") == F.max("copies")) & (F.max("copies") < OPEN)
+    states = _placed(mixed, slots).repartition("bucket").groupBy("bucket", "at").agg(F.when(alike, F.max("copies")).otherwise(OPEN).cast("int").alias("state"))
+    bits = [F.expr(f"bitmap_construct_agg(at) FILTER (WHERE (state & {k}) > 0)").alias(name) for k, name in ((1, "low"), (2, "high"))]
+    return states.where("state > 0").groupBy("bucket").agg(*bits)
+
+
+def taken_rows(rows: DataFrame, mixed: DataFrame) -> DataFrame:
+    """The rows that the mix takes, with ``copies``.
+
+    ``rows``: what was mixed, with ``doc_id``, ``source``, ``text`` and any
+    other columns; ``mixed``: ``doc_id, source, size, twin, copies`` as
+    ``mix_sources`` returns them, written.  Rows are dealt out to slots by a
+    hash of id and source.  A slot whose rows are all taken equally often says
+    so in two broadcast bits, and such rows stay where they are.  Only rows of
+    other slots (about 6 in 100; more where ``MOST_SLOTS`` are filled) are
+    shuffled, to meet their numbers of copies.  Rows that agree in id, source
+    and size lie in one slot and are told apart by the order of their texts'
+    hashes.
+    """
+    slots = min(MOST_SLOTS, BITS * max(1, -(-SLOTS * mixed.count() // BITS)))
+    bits = materialize(_slot_bits(mixed, slots), "slots")
+
+    def bit(name: str) -> Column:
+        byte = F.conv(F.hex(F.substring(name, (F.floor(F.col("at") / 8) + 1).cast("int"), F.lit(1))), 16, 10)
+        return F.coalesce(F.getbit(byte.cast("int"), F.pmod("at", F.lit(8)).cast("int")).cast("int"), F.lit(0))
+
+    def seen(df: DataFrame) -> DataFrame:
+        found = _placed(df, slots).join(F.broadcast(bits), "bucket", "left")
+        return found.select(*df.columns, (bit("low") + 2 * bit("high")).alias("state"))
+
+    keys = ("doc_id", "source", "size", "twin")
+    sure = seen(rows).where(f"state > 0 and state < {OPEN}").select(*rows.columns, F.col("state").cast("long").alias("copies"))
+    order = Window.partitionBy(*keys[:-1]).orderBy(F.xxhash64("text"), *rows.columns)
+    numbered = seen(rows).where(f"state = {OPEN}").withColumn("size", word_count()).withColumn("twin", F.row_number().over(order).cast("long"))
+    wanted = seen(mixed).where(f"state = {OPEN} and copies > 0").select("copies", *(F.col(k).alias(f"of_{k}") for k in keys))
+    same = reduce(lambda x, y: x & y, [F.col(k).eqNullSafe(F.col(f"of_{k}")) for k in keys])
+    return sure.unionByName(numbered.join(wanted, same).select(*rows.columns, "copies"))
