@@ -46,11 +46,9 @@ from wordloom.llm.textcols import batches, mix, text_bytes
 WIDTH, ANCHOR = 200, 48
 TURN = (WIDTH - ANCHOR) // 2
 FLANK = WIDTH - TURN
+#: Bytes of text whose hashes are looked at together; their arrays fit a core's cache.
+BATCH = 1 << 19
 BASE = np.uint64(0x9E3779B97F4A7C15)
-#: Bytes that the suffix order begins with, beside the group.
-START = 5
-
-
 _BYTES = mix(np.arange(256, dtype=np.uint64), 9)
 _INVERSE = np.uint64(pow(int(BASE), -1, 1 << 64))
 _POWERS: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
@@ -79,13 +77,14 @@ class Rolling:
 
 
 def window_minima(values: np.ndarray, width: int) -> np.ndarray:
-    """The smallest value of each window of ``width`` values."""
-    n = len(values) - width + 1
-    pad = -len(values) % width
-    grid = np.pad(values, (0, pad), constant_values=np.uint64(0xFFFFFFFFFFFFFFFF)).reshape(-1, width)
-    left = np.minimum.accumulate(grid, axis=1).reshape(-1)
-    right = np.minimum.accumulate(grid[:, ::-1], axis=1)[:, ::-1].reshape(-1)
-    return np.minimum(right[:n], left[width - 1 : width - 1 + n])
+    """The smallest value of each window of ``width`` values: minima of 2, 4,
+    8... values, and then of the two that a window ends with."""
+    low, step = values, 1
+    while 2 * step <= width:
+        low = np.minimum(low[:-step], low[step:])
+        step *= 2
+    rest = width - step
+    return np.minimum(low[: len(low) - rest], low[rest:]) if rest else low
 
 
 def anchors(data: np.ndarray, offsets: np.ndarray, rolling: Rolling, width: int = WIDTH, k: int = ANCHOR) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -159,7 +158,7 @@ class Places:
 def _sides(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Each side's hash with the smallest and largest text that has it; one
     that a text has twice spans all texts."""
-    for table in batches(frames, size=1 << 20):
+    for table in batches(frames, size=BATCH):
         p = Places(*text_bytes(table["text"]))
         key = np.concatenate([p.left[p.has_left], p.right[p.has_right]])
         text = np.concatenate([p.text[p.has_left], p.text[p.has_right]])
@@ -177,7 +176,7 @@ def _sides(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _find(shared):
     def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in batches(frames, size=1 << 20):
+        for table in batches(frames, size=BATCH):
             data, offsets = text_bytes(table["text"])
             p = Places(data, offsets)
             live = [has & may_hold(shared.value, side.view(np.int64)) for has, side in ((p.has_left, p.left), (p.has_right, p.right))]
@@ -237,16 +236,20 @@ class RunIndex:
         self.region = region
 
     def _sort(self) -> np.ndarray:
-        """Suffix order by prefix doubling; a region's end sorts before all
-        bytes and ends are told apart by place.  Only rows whose rank is still
-        shared are sorted again, by one packed number each."""
+        """Suffix order by ranks of prefixes, each round three times as long; a
+        region's end sorts before all bytes and ends are told apart by place.
+        Only rows whose rank is still shared are sorted again, by one packed
+        number each."""
         n = len(self.data)
-        bits = np.uint64(n.bit_length())
+        bits = n.bit_length()
+        far = np.int32 if n < 1 << 28 else np.int64  # holds three times a place
         place = np.arange(n, dtype=np.int32)
         left = self.end - place
+        # As many bytes as fit beside the group.
+        span = max(1, min(7, (64 - int(self.group.max()).bit_length()) // 8)) if n else 1
         key = self.group.astype(np.uint64)
-        padded = np.concatenate([self.data, np.zeros(START, np.uint8)])
-        for j in range(START):
+        padded = np.concatenate([self.data, np.zeros(span, np.uint8)])
+        for j in range(span):
             key = (key << np.uint64(8)) | np.where(left > j, padded[j : j + n], np.uint8(0))
         order = np.argsort(key).astype(np.int32)
         key = key[order]
@@ -255,24 +258,22 @@ class RunIndex:
         rank = np.empty(n, np.int32)
         rank[order] = np.maximum.accumulate(np.where(head, place, 0))
         del key, padded
-        span = START
         shared = np.zeros(n, bool)
         shared[:-1] = ~head[1:]
         shared[1:] |= ~head[1:]
         rows = np.flatnonzero(shared)
+        ahead = 2 if 3 * bits + 2 <= 64 else 1  # ranks that fit beside a row's own
         while len(rows):
-            items = order[rows].astype(np.int64)
-            nxt = items + span
-            inside = nxt < self.end[items]
-            follow = np.where(inside, rank[np.minimum(nxt, n - 1)].astype(np.int64) + n, items)  # past the end: by place
-            both = (rank[items].astype(np.uint64) << (bits + np.uint64(1))) | follow.astype(np.uint64)
-            if 3 * n.bit_length() + 1 <= 64:
-                packed = (both << bits) | items.astype(np.uint64)
-                packed.sort()
-                items, both = (packed & ((np.uint64(1) << bits) - np.uint64(1))).astype(np.int32), packed >> bits
-            else:  # the place doesn't fit beside the two ranks
-                sub = np.argsort(both)
-                items, both = items[sub].astype(np.int32), both[sub]
+            items = order[rows].astype(far)
+            stop = self.end[items]
+            both = rank[items].astype(np.uint64)
+            for k in range(1, ahead + 1):
+                nxt = items + far(k * span)
+                # Past the end: by place, below all ranks.
+                follow = np.where(nxt < stop, rank[np.minimum(nxt, n - 1)] + far(n), items)
+                both = (both << np.uint64(bits + 1)) | follow.astype(np.uint64)
+            sub = np.argsort(both)
+            items, both = items[sub], both[sub]
             order[rows] = items
             lead = np.ones(len(rows), bool)
             lead[1:] = both[1:] != both[:-1]
@@ -281,7 +282,7 @@ class RunIndex:
             again[:-1] = ~lead[1:]
             again[1:] |= ~lead[1:]
             rows = rows[again]
-            span *= 2
+            span *= ahead + 1
         return order
 
     def _common(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -315,14 +316,11 @@ class RunIndex:
 
     def matching_statistics(self) -> np.ndarray:
         """For each position the longest match with another place."""
-        n = len(self.data)
         up = np.zeros(len(self.first), np.int64)
         has = self.same_group[self.first] & (self.first > 0)
         up[has] = self._common(self.order[self.first[has]], self.order[self.first[has] - 1])
-        down = np.zeros(len(self.last), np.int64)
-        has = self.last < n - 1
-        has[has] = self.same_group[self.last[has] + 1]
-        down[has] = self._common(self.order[self.last[has]], self.order[self.last[has] + 1])
+        # A run's last row and the next run's first row are one pair.
+        down = np.append(up[1:], 0)
         return np.maximum(self._stream(self.order[self.first], up), self._stream(self.order[self.last], down))
 
 
@@ -412,7 +410,8 @@ def remove_repeats(docs: DataFrame, bucket_bytes: int = 1 << 18) -> DataFrame:
     # Places of equal texts count once.
     one = places.groupBy("anchor", "content", "text_id", "at", "size").agg(F.max("inner").alias("inner"), F.min("row").alias("row"))
     classes = materialize(one.groupBy("anchor", "content").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("text_id", "row", "at", "size")).alias("one"), F.max("inner").alias("inner")), "classes")
-    several = classes.groupBy("anchor").agg(F.count(F.lit(1)).alias("classes"), F.max("inner").alias("inner")).where("classes > 1 or inner")
+    # A class found twice is repeated as a whole; an anchor with such classes alone has nothing left to find.
+    several = classes.groupBy("anchor").agg(F.count(F.lit(1)).alias("classes"), F.max("inner").alias("inner"), F.min("n").alias("least")).where("least = 1 and (classes > 1 or inner)")
     indexed = classes.join(several.select("anchor"), "anchor").select(F.col("one.text_id").alias("text_id"), F.col("one.row").alias("row"), F.struct("anchor", "content", F.col("one.at").alias("at"), F.col("one.size").alias("size")).alias("place"))
     wanted = indexed.groupBy("text_id", "row").agg(F.collect_list("place").alias("places"))
     names = named.select("text_id", "name")
