@@ -125,6 +125,7 @@ def train(docs: DataFrame, labels: DataFrame, per_label: int = 1500) -> ToxicMod
 
 def _score(shared, kept: list[str]):
     def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        give_back()  # before the model is loaded, what a task of another kind has left
         model: ToxicModel = shared.value
         for table in batches(frames, size=2 << 20):
             words = CoreWords(table["text"])
